@@ -24,21 +24,22 @@ def longest_run(samples: Column, hit: Callable[[Column], Column]) -> Column:
     earliest of equally long stretches wins. Adjacent means adjacent samples, whatever
     buckets are missing between them.
     """
+    # evaluate the predicate once per sample, then count over (ts, hit)
+    flags = F.transform(samples, lambda p: F.struct(p["ts"].alias("ts"), F.coalesce(hit(p["value"]), F.lit(False)).alias("hit")))
     none = F.lit(None).cast("timestamp")
     zero = F.struct(
         F.lit(0).alias("cur"), none.alias("cur_start"), F.lit(0).alias("best"), none.alias("best_start"))
 
     def step(acc: Column, p: Column) -> Column:
-        ok = F.coalesce(hit(p["value"]), F.lit(False))
-        cur = F.when(ok, acc["cur"] + 1).otherwise(F.lit(0))
-        start = F.when(ok & (acc["cur"] == 0), p["ts"]).otherwise(acc["cur_start"])
-        longer = cur > acc["best"]
+        cur = F.when(p["hit"], acc["cur"] + 1).otherwise(F.lit(0))
+        start = F.when(acc["cur"] == 0, p["ts"]).otherwise(acc["cur_start"])
+        longer = p["hit"] & (acc["cur"] >= acc["best"])
         return F.struct(
             cur.alias("cur"), start.alias("cur_start"),
-            F.when(longer, cur).otherwise(acc["best"]).alias("best"),
+            F.when(longer, acc["cur"] + 1).otherwise(acc["best"]).alias("best"),
             F.when(longer, start).otherwise(acc["best_start"]).alias("best_start"))
 
-    return F.aggregate(samples, zero, step, lambda acc: F.struct(acc["best"].alias("n"), acc["best_start"].alias("start")))
+    return F.aggregate(flags, zero, step, lambda acc: F.struct(acc["best"].alias("n"), acc["best_start"].alias("start")))
 
 
 def run_islands(points: DataFrame, keys: list[str], hit: Column) -> DataFrame:
@@ -182,7 +183,8 @@ def deviation_score(amplitude: Column, duration: Column, blast: Column, critical
         SCORE_AMPLITUDE * clamp01(amplitude)
         + SCORE_DURATION * F.least(F.lit(1.0), F.greatest(F.lit(0.0), duration) / DURATION_SATURATION)
         + SCORE_BLAST * clamp01(blast) + SCORE_CRITICALITY * clamp01(criticality))
-    return F.round(clamp01(s), 4)
+    # amplitudes have four decimals, so exact halves are common: do not let the last bit decide them
+    return F.round(clamp01(s) + 1e-9, 4)
 
 
 def match_row_levels(rule: Rule, facts: dict[str, Column]) -> Column:

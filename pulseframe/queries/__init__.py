@@ -1,2 +1,2 @@
-from pulseframe.queries import q_sources, q_clean, q_stats, q_baseline
+from pulseframe.queries import q_sources, q_clean, q_stats, q_baseline, q_facts, q_rules, q_anomalies, q_score, q_graph
 from pulseframe.queries.registry import ORACLES, QUERIES

@@ -54,38 +54,38 @@ def policy() -> Policy:
     )
     d = STEP
     return base.with_rules(
-        _rule("BIZ-01", {}, (1, {"drop_points": 20.3, "duration_minutes": 2 * d}), (2, {"drop_points": 15.3, "duration_minutes": d}),
-              (3, {"drop_points": 8.7}), (4, {"below_slo": True, "duration_minutes": 2 * d})),
-        _rule("BIZ-02", {}, (1, {"rise_points": 12.3, "duration_minutes": 2 * d}), (2, {"rise_points": 9.3}),
-              (3, {"rise_points": 6.1}), (4, {"rise_points": 3.3})),
-        _rule("BIZ-03", {}, (1, {"multiplier": 2.03, "duration_minutes": 2 * d}), (2, {"multiplier": 1.83}),
-              (3, {"multiplier": 1.43}), (4, {"z_score": 2.03})),
-        _rule("BIZ-04", {}, (1, {"down_pct": 70.3, "duration_minutes": 2 * d}), (2, {"down_pct": 50.3}),
-              (3, {"down_pct": 30.3}), (4, {"z_score": 2.03})),
-        _rule("BIZ-05", {}, (1, {"multiplier": 3.97, "min_absolute": 6.0}), (2, {"multiplier": 2.97, "min_absolute": 5.0}),
-              (3, {"multiplier": 1.97, "min_absolute": 4.0}), (4, {"multiplier": 1.47, "min_absolute": 2.0})),
-        _rule("BIZ-06", {}, (1, {"deviation_pct": 40.3}), (2, {"deviation_pct": 30.3}), (3, {"deviation_pct": 20.3}),
+        _rule("BIZ-01", {}, (1, {"drop_points": 38.3, "duration_minutes": 2 * d}), (2, {"drop_points": 35.3, "duration_minutes": d}),
+              (3, {"drop_points": 17.7}), (4, {"below_slo": True, "duration_minutes": 2 * d})),
+        _rule("BIZ-02", {}, (1, {"rise_points": 22.3, "duration_minutes": 2 * d}), (2, {"rise_points": 20.3}),
+              (3, {"rise_points": 9.1}), (4, {"rise_points": 3.3})),
+        _rule("BIZ-03", {}, (1, {"multiplier": 2.43, "duration_minutes": d}), (2, {"multiplier": 2.03}),
+              (3, {"multiplier": 1.83}), (4, {"z_score": 2.03})),
+        _rule("BIZ-04", {}, (1, {"down_pct": 75.3, "duration_minutes": d}), (2, {"down_pct": 62.3}),
+              (3, {"down_pct": 50.3}), (4, {"z_score": 1.53})),
+        _rule("BIZ-05", {}, (1, {"multiplier": 3.97, "min_absolute": 6.0}), (2, {"multiplier": 3.47, "min_absolute": 5.0}),
+              (3, {"multiplier": 2.97, "min_absolute": 4.0}), (4, {"multiplier": 1.47, "min_absolute": 2.0})),
+        _rule("BIZ-06", {}, (1, {"deviation_pct": 80.3}), (2, {"deviation_pct": 70.3}), (3, {"deviation_pct": 50.3}),
               (4, {"deviation_pct": 5.3})),
         _rule("PERF-01", {}, (1, {"value": 400.7, "duration_minutes": 2 * d}), (2, {"value": 350.7, "duration_minutes": d}),
               (3, {"value": 280.7}), (4, {"value": 230.7})),
-        _rule("PERF-02", {}, (1, {"value": 250.7, "duration_minutes": 2 * d}), (2, {"value": 230.7}),
-              (3, {"value": 200.7}), (4, {"value": 160.7})),
-        _rule("PERF-03", {}, (1, {"cv": 0.6017, "value": 250.3}), (2, {"cv": 0.4503, "value": 200.3}), (3, {"cv": 0.3017}),
+        _rule("PERF-02", {}, (1, {"value": 250.7, "duration_minutes": 2 * d}), (2, {"value": 240.7}),
+              (3, {"value": 210.7}), (4, {"value": 160.7})),
+        _rule("PERF-03", {}, (1, {"cv": 0.6017, "value": 250.3}), (2, {"cv": 0.5003, "value": 250.3}), (3, {"cv": 0.4517}),
               (4, {"cv": 0.1501})),
-        _rule("PERF-04", {}, (1, {"ratio": 9.3, "ratio_rise_pct": 110.3}), (2, {"ratio": 7.3, "ratio_rise_pct": 75.3}),
-              (3, {"ratio": 6.1, "ratio_rise_pct": 30.3}), (4, {"ratio": 4.9})),
-        _rule("PERF-05", {"min_t_stat": 1.503, "min_r2": 0.0503}, (1, {"slope_pct_per_hour": 0.3503}),
+        _rule("PERF-04", {}, (1, {"ratio": 12.3, "ratio_rise_pct": 210.3}), (2, {"ratio": 9.3, "ratio_rise_pct": 175.3}),
+              (3, {"ratio": 6.1, "ratio_rise_pct": 130.3}), (4, {"ratio": 4.9})),
+        _rule("PERF-05", {"min_t_stat": 1.203, "min_r2": 0.0303}, (1, {"slope_pct_per_hour": 0.3503}),
               (2, {"slope_pct_per_hour": 0.2503}), (3, {"slope_pct_per_hour": 0.1503}), (4, {"slope_pct_per_hour": 0.0303})),
-        _rule("RES-01", {}, (1, {"value": 70.3, "duration_minutes": d}), (2, {"value": 64.3}), (3, {"value": 58.3}),
-              (4, {"z_score": 2.03})),
-        _rule("RES-02", {}, (1, {"value": 55.3, "duration_minutes": d}), (2, {"value": 47.3}), (3, {"value": 40.3}),
-              (4, {"z_score": 2.03})),
-        _rule("RES-03", {"lookback_hours": 336, "min_t_stat": 1.503, "min_r2": 0.0303},
+        _rule("RES-01", {}, (1, {"value": 72.3, "duration_minutes": d}), (2, {"value": 68.3}), (3, {"value": 64.3}),
+              (4, {"z_score": 1.03})),
+        _rule("RES-02", {}, (1, {"value": 64.3, "duration_minutes": d}), (2, {"value": 58.3}), (3, {"value": 52.3}),
+              (4, {"z_score": 1.03})),
+        _rule("RES-03", {"lookback_hours": 336, "min_t_stat": 1.203, "min_r2": 0.0203},
               (1, {"slope_pct_per_hour": 0.1903, "value": 25.3}), (2, {"slope_pct_per_hour": 0.1303, "value": 10.3}),
               (3, {"slope_pct_per_hour": 0.0703}), (4, {"slope_pct_per_hour": 0.0203})),
         _rule("RES-04", {}, (1, {"value": 98.3, "duration_minutes": 3 * d}), (2, {"value": 97.3, "duration_minutes": 2 * d}),
-              (3, {"value": 96.3}), (4, {"z_score": 2.03})),
-        _rule("RES-05", {}, (2, {"ratio": 1.3503, "value": 20.3}), (3, {"ratio": 1.1503}), (4, {"ratio": 1.0703})),
+              (3, {"value": 98.7}), (4, {"z_score": 0.33})),
+        _rule("RES-05", {}, (2, {"ratio": 1.2503, "value": 20.3}), (3, {"ratio": 1.1503}), (4, {"ratio": 1.0703})),
     )
 
 

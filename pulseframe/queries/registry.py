@@ -48,7 +48,8 @@ def with_views(body: str) -> str:
                 need.add(word)
                 todo.append(VIEWS[word])
     if not need:
-        return body.strip()
+        body = body.strip()
+        return "WITH RECURSIVE " + body[5:] if body.upper().startswith("WITH ") and "RECURSIVE" not in body[:20] else body
     parts = []
     for name, text in VIEWS.items():
         if name in need:
