@@ -4,40 +4,38 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _fixed(c: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", F.round(c, digits))
+def _fixed(c: str, digits: int) -> str:
+    return f"format_string('%.{digits}f', round({c}, {digits}))"
 
 
-def fmt(c: Column, digits: int = 2) -> Column:
+def fmt_sql(c: str, digits: int = 2) -> str:
+    """SQL of `fmt` for the double expression `c`."""
+    return (f"CASE WHEN {c} IS NULL OR isnan({c}) OR abs({c}) = double('infinity') THEN '-' "
+            f"WHEN {c} = floor({c}) AND abs({c}) < 1e9 THEN string(bigint({c})) ELSE {_fixed(c, digits)} END")
+
+
+def fmt(c: str, digits: int = 2) -> Column:
     """Whole numbers without decimals, others with `digits`; missing or infinite as '-'."""
-    c = c.cast("double")
-    bad = c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
-    whole = (c == F.floor(c)) & (F.abs(c) < 1e9)
-    return F.when(bad, "-").when(whole, c.cast("long").cast("string")).otherwise(_fixed(c, digits))
+    return F.expr(fmt_sql(f"double({c})", digits))
 
 
-def metric_text(c: Column, unit: Column) -> Column:
-    c = c.cast("double")
-    return (
-        F.when(c.isNull() | F.isnan(c), "-")
-        .when(unit == "ms", F.concat(_fixed(c, 0), F.lit("ms")))
-        .when(unit == "%", F.concat(_fixed(c, 2), F.lit("%")))
-        .when(unit == "req/s", _fixed(c, 1))
-        .when(unit == "count", _fixed(c, 0))
-        .otherwise(_fixed(c, 2))
-    )
+def metric_text_sql(c: str, unit: str) -> str:
+    """Value with the decimals and suffix of its unit."""
+    return (f"CASE WHEN {c} IS NULL OR isnan({c}) THEN '-' WHEN {unit} = 'ms' THEN concat({_fixed(c, 0)}, 'ms') "
+            f"WHEN {unit} = '%' THEN concat({_fixed(c, 2)}, '%') WHEN {unit} = 'req/s' THEN {_fixed(c, 1)} "
+            f"WHEN {unit} = 'count' THEN {_fixed(c, 0)} ELSE {_fixed(c, 2)} END")
 
 
-def render(template: Column, values: dict[str, Column]) -> Column:
-    """Fill {name} placeholders; names without a value stay as they are.
+def render(template: str, values: dict[str, str]) -> Column:
+    """Fill {name} placeholders of a template column with SQL texts; names without a value stay.
 
     Only formatted numbers and identifiers are filled in, none of which holds a brace, so
     one replacement can never create another placeholder.
     """
     out = template
     for name, value in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
-    return out
+        out = f"replace({out}, '{{{name}}}', coalesce({value}, ''))"
+    return F.expr(out)
 
 
 def truncate(c: Column, limit: int = 120) -> Column:
@@ -46,13 +44,12 @@ def truncate(c: Column, limit: int = 120) -> Column:
         F.concat(F.substring(text, 1, limit - 1), F.lit("…")))
 
 
-def duration_text(minutes: Column) -> Column:
-    return (
-        F.when(minutes < 1, F.concat(F.floor(minutes * 60).cast("string"), F.lit("s")))
-        .when(minutes < 60, F.concat(_fixed(minutes, 0), F.lit("min")))
-        .when(minutes < 1440, F.concat(_fixed(minutes / 60, 1), F.lit("h")))
-        .otherwise(F.concat(_fixed(minutes / 1440, 1), F.lit("d")))
-    )
+def duration_text(minutes: str) -> Column:
+    return F.expr(
+        f"CASE WHEN {minutes} < 1 THEN concat(string(floor({minutes} * 60)), 's') "
+        f"WHEN {minutes} < 60 THEN concat({_fixed(minutes, 0)}, 'min') "
+        f"WHEN {minutes} < 1440 THEN concat({_fixed(f'{minutes} / 60', 1)}, 'h') "
+        f"ELSE concat({_fixed(f'{minutes} / 1440', 1)}, 'd') END")
 
 
 def run_id_text(ts: Column, scenario: Column, tz: str = "UTC") -> Column:

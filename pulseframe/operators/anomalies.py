@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulseframe.operators.levels import deviation_score
+from pulseframe.operators.levels import deviation_score_sql
 
 DEDUP = ["run_id", "rule_id", "service", "instance", "metric"]
 
@@ -44,8 +44,8 @@ def affected_ratio(merged: DataFrame, services: DataFrame) -> DataFrame:
 def rescore(anomalies: DataFrame, services: DataFrame) -> DataFrame:
     """Deviation score with the final blast radius; unknown services count as half critical."""
     crit = services.select("service", F.col("criticality").alias("_crit"))
-    return anomalies.join(crit, "service", "left").withColumn("deviation_score", deviation_score(
-        F.col("amplitude"), F.col("duration_min"), F.col("affected_ratio"), F.coalesce("_crit", F.lit(0.5)))).drop("_crit")
+    return anomalies.join(crit, "service", "left").withColumn("deviation_score", F.expr(deviation_score_sql(
+        "amplitude", "duration_min", "affected_ratio", "coalesce(_crit, 0.5D)"))).drop("_crit")
 
 
 def suppress(anomalies: DataFrame) -> DataFrame:

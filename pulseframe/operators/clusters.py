@@ -37,9 +37,11 @@ def group(active: DataFrame, closure: DataFrame, services: DataFrame, induced: b
     By default components span the whole topology; `induced` keeps only dependencies between
     services affected in the same run.
     """
-    e = closure.where("hops = 1").select("src", "dst")
+    # all related pairs rather than direct edges: labels then settle in two rounds
+    e = closure.select("src", "dst")
     nodes = services.select(F.col("service").alias("node"))
     if induced:
+        e = closure.where("hops = 1").select("src", "dst")
         hit = active.select("run_id", "service").distinct().join(services.select("service"), "service", "left_semi")
         node = F.concat_ws("/", "run_id", "service")
         src = e.join(hit.withColumnRenamed("service", "src"), "src")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.functions import safe_ratio
 from pulseframe.operators import baseline as B
 from pulseframe.policy import Policy
 from pulseframe.schemas import RKEY
@@ -45,44 +44,34 @@ def series_base(windowed: DataFrame, base: DataFrame, policy: Policy) -> DataFra
     further exchange; the policy sides are literal tables.
     """
     spark = windowed.sparkSession
-    dim = policy.service_dim(spark)
-    declared = dim.select("service", "criticality", "owner", "instance_count", F.explode("instances").alias("instance"))
-    b = base.select(*RKEY, "mode", "sample_size", "median", "scale", F.col("stdev").alias("base_stdev"), "hour_median")
+    b = base.select(*RKEY, "mode", "sample_size", "median", "scale", "stdev", "hour_median")
     out = (
-        windowed.withColumnRenamed("stdev", "win_stdev").withColumnRenamed("mean", "win_mean")
-        .join(b, RKEY, "left").withColumnRenamed("base_stdev", "stdev")
-        .join(policy.catalog(spark).select("metric", "unit", "label", "hib"), "metric")
-        .join(declared, ["service", "instance"])
-    )
-    out = with_slo(with_thresholds(out, policy), policy)
-    return (
-        out.withColumn("mode", F.coalesce("mode", F.lit("static_fallback")))
-        .withColumn("sample_size", F.coalesce("sample_size", F.lit(0)))
-        .withColumn("baseline_value", reference_value())
-        .withColumn("baseline_confidence", B.confidence(F.col("mode"), F.col("sample_size")))
-        .withColumn("window_minutes", (F.unix_seconds("window_end") - F.unix_seconds("window_start")) / 60.0)
+        windowed.withColumnsRenamed({"stdev": "win_stdev", "mean": "win_mean"}).join(b, RKEY, "left")
+        .join(policy.series_dim(spark), ["service", "metric"])
+        .join(policy.declared_instances(spark), ["service", "instance"], "left_semi")
     )
+    out = out.withColumns({"mode": F.coalesce("mode", F.lit("static_fallback")), "sample_size": F.coalesce("sample_size", F.lit(0))})
+    return out.withColumns({
+        "baseline_value": reference_value(),
+        "baseline_confidence": B.confidence(F.col("mode"), F.col("sample_size")),
+        "window_minutes": F.expr("(unix_seconds(window_end) - unix_seconds(window_start)) / 60D")})
 
 
 def add_observed(df: DataFrame, observed: Column) -> DataFrame:
     """Everything that depends on the observed value. A reference of 0 counts as absent: then
     deviation is 0 and the multiplier 1."""
-    ref = F.col("baseline_value")
-    has = F.coalesce(ref, F.lit(0.0)) != 0
-    obs = F.col("observed")
-    return (
-        df.withColumn("observed", observed)
-        .withColumn("deviation_pct", F.when(has, B.deviation_pct(obs)).otherwise(0.0))
-        .withColumn("z_score", F.when(has, B.robust_z(obs)).otherwise(0.0))
-        .withColumn("drop_points", F.when(has, F.greatest(F.lit(0.0), ref - obs)).otherwise(0.0))
-        .withColumn("rise_points", F.when(has, F.greatest(F.lit(0.0), obs - ref)).otherwise(0.0))
-        .withColumn("down_pct", F.when(has, F.greatest(
-            F.lit(0.0), safe_ratio(ref - obs, F.abs(ref)) * 100.0)).otherwise(0.0))
-        .withColumn("multiplier", F.when(has, F.try_divide(obs, ref)).otherwise(1.0))
-        .withColumn("threshold", F.coalesce(F.when(F.col("hib"), F.col("red_min")).otherwise(F.col("red_max")), F.lit(0.0)))
-        .withColumn("below_slo", F.coalesce(
-            F.when(F.col("hib"), obs < F.col("slo")).otherwise(obs > F.col("slo")), F.lit(False)))
-    )
+    has, centre = "coalesce(baseline_value, 0D) <> 0", "coalesce(hour_median, median)"
+    spread = "CASE WHEN coalesce(scale, 0D) > 0 THEN scale ELSE stdev END"
+    return df.withColumn("observed", observed).withColumns({name: F.expr(text) for name, text in {
+        "deviation_pct": f"CASE WHEN {has} THEN coalesce(try_divide(observed - {centre}, abs({centre})), 0D) * 100D ELSE 0D END",
+        "z_score": f"CASE WHEN {has} THEN coalesce(try_divide(observed - {centre}, {spread}), 0D) ELSE 0D END",
+        "drop_points": f"CASE WHEN {has} THEN greatest(0D, baseline_value - observed) ELSE 0D END",
+        "rise_points": f"CASE WHEN {has} THEN greatest(0D, observed - baseline_value) ELSE 0D END",
+        "down_pct": f"CASE WHEN {has} THEN greatest(0D, try_divide(baseline_value - observed, abs(baseline_value)) * 100D) ELSE 0D END",
+        "multiplier": f"CASE WHEN {has} THEN try_divide(observed, baseline_value) ELSE 1D END",
+        "threshold": "coalesce(CASE WHEN hib THEN red_min ELSE red_max END, 0D)",
+        "below_slo": "coalesce(CASE WHEN hib THEN observed < slo ELSE observed > slo END, false)",
+    }.items()})
 
 
 def series_facts(windowed: DataFrame, base: DataFrame, policy: Policy) -> DataFrame:

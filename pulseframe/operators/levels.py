@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulseframe.functions import clamp01, fmt, metric_text, render, safe_ratio
+from pulseframe.functions import clamp01, fmt_sql, metric_text_sql, render
 from pulseframe.policy import LEVEL_BAND, POINTWISE, Rule
 
 # fixed values: weights of the deviation score and its duration saturation in minutes
@@ -17,29 +15,25 @@ DURATION_SATURATION = 15.0
 
 
 # ------------------------------------------------------------------ run lengths
-def longest_run(samples: Column, hit: Callable[[Column], Column]) -> Column:
+def longest_run(samples: str, hit: str) -> Column:
     """Longest stretch of adjacent samples that satisfy `hit`, as struct(n, start).
 
-    `samples` is the ordered array<struct<ts, value>> of one series in one window; the
-    earliest of equally long stretches wins. Adjacent means adjacent samples, whatever
-    buckets are missing between them.
+    `samples` names the ordered array<struct<ts, value>> of one series in one window; `hit` is
+    SQL over a sample `p`. The earliest of equally long stretches wins. Adjacent means
+    adjacent samples, whatever buckets are missing between them.
     """
     # evaluate the predicate once per sample, then count over (ts, hit)
-    flags = F.transform(samples, lambda p: F.struct(p["ts"].alias("ts"), F.coalesce(hit(p["value"]), F.lit(False)).alias("hit")))
-    none = F.lit(None).cast("timestamp")
-    zero = F.struct(
-        F.lit(0).alias("cur"), none.alias("cur_start"), F.lit(0).alias("best"), none.alias("best_start"))
-
-    def step(acc: Column, p: Column) -> Column:
-        cur = F.when(p["hit"], acc["cur"] + 1).otherwise(F.lit(0))
-        start = F.when(acc["cur"] == 0, p["ts"]).otherwise(acc["cur_start"])
-        longer = p["hit"] & (acc["cur"] >= acc["best"])
-        return F.struct(
-            cur.alias("cur"), start.alias("cur_start"),
-            F.when(longer, acc["cur"] + 1).otherwise(acc["best"]).alias("best"),
-            F.when(longer, start).otherwise(acc["best_start"]).alias("best_start"))
-
-    return F.aggregate(flags, zero, step, lambda acc: F.struct(acc["best"].alias("n"), acc["best_start"].alias("start")))
+    return F.expr(f"""
+        aggregate(
+          transform({samples}, p -> struct(p.ts AS ts, coalesce({hit}, false) AS hit)),
+          struct(0 AS cur, CAST(NULL AS TIMESTAMP) AS cur_start, 0 AS best, CAST(NULL AS TIMESTAMP) AS best_start),
+          (a, p) -> struct(
+            CASE WHEN p.hit THEN a.cur + 1 ELSE 0 END AS cur,
+            CASE WHEN a.cur = 0 THEN p.ts ELSE a.cur_start END AS cur_start,
+            CASE WHEN p.hit AND a.cur >= a.best THEN a.cur + 1 ELSE a.best END AS best,
+            CASE WHEN p.hit AND a.cur >= a.best THEN CASE WHEN a.cur = 0 THEN p.ts ELSE a.cur_start END
+                 ELSE a.best_start END AS best_start),
+          a -> struct(a.best AS n, a.best_start AS start))""")
 
 
 def run_islands(points: DataFrame, keys: list[str], hit: Column) -> DataFrame:
@@ -59,71 +53,60 @@ def run_islands(points: DataFrame, keys: list[str], hit: Column) -> DataFrame:
 
 
 # ------------------------------------------------------------------ generic matching
-def level_scale() -> Column:
-    """Service red line / default red line; 1 where the metric is better high or has no line."""
-    ok = ~F.col("hib") & F.col("red_max").isNotNull() & (F.coalesce("default_max", F.lit(0.0)) != 0)
-    return F.when(ok, F.try_divide(F.col("red_max"), F.col("default_max"))).otherwise(1.0)
-
-
 def scale_value_levels(df: DataFrame) -> DataFrame:
-    """Scale the `value` thresholds and bounds of rule levels to the service's own line."""
-    s = F.col("level_scale")
-    df = df.withColumn("level_scale", level_scale())
-    for c in ("t_value", "lo_value", "hi_value"):
-        df = df.withColumn(c, F.when(F.abs(s - 1.0) < 1e-9, F.col(c)).otherwise(F.round(F.col(c) * s, 4)))
-    return df
+    """Scale the `value` thresholds and bounds of rule levels by service line / default line;
+    not where the metric is better high or has no line."""
+    ok = "NOT hib AND red_max IS NOT NULL AND coalesce(default_max, 0D) <> 0"
+    df = df.withColumn("level_scale", F.expr(f"CASE WHEN {ok} THEN try_divide(red_max, default_max) ELSE 1D END"))
+    return df.withColumns({
+        c: F.expr(f"CASE WHEN abs(level_scale - 1D) < 1e-9 THEN {c} ELSE round({c} * level_scale, 4) END")
+        for c in ("t_value", "lo_value", "hi_value")})
 
 
-def _signed_ge(value: Column, target: Column) -> Column:
+def _signed(value: str, target: str) -> str:
     """abs(value) >= target, but with the rule's direction where it has one."""
-    return (
-        F.when(F.col("direction") == "up", value >= target)
-        .when(F.col("direction") == "down", -value >= target)
-        .otherwise(F.abs(value) >= target))
+    return (f"CASE direction WHEN 'up' THEN {value} >= {target} WHEN 'down' THEN -({value}) >= {target} "
+            f"ELSE abs({value}) >= {target} END")
 
 
 def conditions_hold() -> Column:
     """All window-level conditions of a level; a key the level does not use is NULL and passes."""
-    def unless_null(t: str, cond: Column) -> Column:
-        return F.col(t).isNull() | F.coalesce(cond, F.lit(False))
-
-    out = unless_null("t_value", F.col("observed") >= F.col("t_value"))
-    for k in ("drop_points", "rise_points", "multiplier", "cv"):
-        out = out & unless_null(f"t_{k}", F.col(k) >= F.col(f"t_{k}"))
-    out = out & unless_null("t_down_pct", F.abs("down_pct") >= F.col("t_down_pct"))
-    out = out & unless_null("t_deviation_pct", F.abs("deviation_pct") >= F.col("t_deviation_pct"))
-    out = out & unless_null("t_z_score", _signed_ge(F.col("z_score"), F.col("t_z_score")))
-    out = out & unless_null("t_min_absolute", F.col("observed") >= F.col("t_min_absolute"))
-    return out & unless_null("t_below_slo", F.col("below_slo") == F.col("t_below_slo"))
-
-
-def sample_hit(v: Column, slo_pointwise: bool = True) -> tuple[Column, Column]:
-    """(predicate on one sample, whether the level has any sample-wise condition).
+    tests = {
+        "value": "observed >= t_value",
+        "drop_points": "drop_points >= t_drop_points",
+        "rise_points": "rise_points >= t_rise_points",
+        "multiplier": "multiplier >= t_multiplier",
+        "cv": "cv >= t_cv",
+        "down_pct": "abs(down_pct) >= t_down_pct",
+        "deviation_pct": "abs(deviation_pct) >= t_deviation_pct",
+        "z_score": _signed("z_score", "t_z_score"),
+        "min_absolute": "observed >= t_min_absolute",
+        "below_slo": "below_slo = t_below_slo",
+    }
+    return F.expr(" AND ".join(f"(t_{k} IS NULL OR coalesce({c}, false))" for k, c in tests.items()))
+
+
+def sample_hit(v: str, slo_pointwise: bool = True) -> tuple[str, str]:
+    """(predicate on one sample `v`, whether the level has any sample-wise condition), as SQL.
 
     Uses the slot median, not the hour profile, as the centre. Conditions that cannot be
     evaluated (reference or scale of 0) do not take part.
     """
-    ref = F.coalesce("baseline_value", F.lit(0.0))
-    scale = F.coalesce("scale", F.lit(0.0))
-    slo_bad = F.when(F.col("hib"), v < F.col("slo")).otherwise(v > F.col("slo"))
+    ref, has_ref = "coalesce(baseline_value, 0D)", "coalesce(baseline_value, 0D) <> 0"
     checks = [
-        (F.col("t_value").isNotNull(), v >= F.col("t_value")),
-        (F.col("t_drop_points").isNotNull(), ref - v >= F.col("t_drop_points")),
-        (F.col("t_rise_points").isNotNull(), v - ref >= F.col("t_rise_points")),
-        (F.col("t_multiplier").isNotNull() & (ref != 0), F.try_divide(v, ref) >= F.col("t_multiplier")),
-        (F.col("t_down_pct").isNotNull() & (ref != 0),
-         F.try_divide(ref - v, F.abs(ref)) * 100.0 >= F.col("t_down_pct")),
-        (F.col("t_deviation_pct").isNotNull() & (ref != 0),
-         F.try_divide(F.abs(v - ref), F.abs(ref)) * 100.0 >= F.col("t_deviation_pct")),
-        (F.col("t_z_score").isNotNull() & (scale != 0), _signed_ge(F.try_divide(v - ref, scale), F.col("t_z_score"))),
+        ("t_value IS NOT NULL", f"{v} >= t_value"),
+        ("t_drop_points IS NOT NULL", f"{ref} - {v} >= t_drop_points"),
+        ("t_rise_points IS NOT NULL", f"{v} - {ref} >= t_rise_points"),
+        (f"t_multiplier IS NOT NULL AND {has_ref}", f"try_divide({v}, {ref}) >= t_multiplier"),
+        (f"t_down_pct IS NOT NULL AND {has_ref}", f"try_divide({ref} - {v}, abs({ref})) * 100D >= t_down_pct"),
+        (f"t_deviation_pct IS NOT NULL AND {has_ref}", f"try_divide(abs({v} - {ref}), abs({ref})) * 100D >= t_deviation_pct"),
+        ("t_z_score IS NOT NULL AND coalesce(scale, 0D) <> 0", _signed(f"try_divide({v} - {ref}, scale)", "t_z_score")),
     ]
     if slo_pointwise:
-        checks.append((F.coalesce("t_below_slo", F.lit(False)) & (F.coalesce("slo", F.lit(0.0)) != 0), slo_bad))
-    hit, used = F.lit(True), F.lit(False)
-    for active, cond in checks:
-        hit = hit & (~active | F.coalesce(cond, F.lit(False)))
-        used = used | active
-    return hit, used
+        checks.append(("coalesce(t_below_slo, false) AND coalesce(slo, 0D) <> 0",
+                       f"CASE WHEN hib THEN {v} < slo ELSE {v} > slo END"))
+    hit = " AND ".join(f"(NOT ({active}) OR coalesce({cond}, false))" for active, cond in checks)
+    return hit, " OR ".join(f"({active})" for active, _ in checks)
 
 
 def match_levels(facts: DataFrame, slo_pointwise: bool = True) -> DataFrame:
@@ -134,12 +117,13 @@ def match_levels(facts: DataFrame, slo_pointwise: bool = True) -> DataFrame:
     first level needs no exchange.
     """
     cand = facts.where((F.col("n") >= F.col("min_samples")) & conditions_hold())
-    _, used = sample_hit(F.lit(0.0), slo_pointwise)
-    cand = cand.withColumn("_run", F.when(used, longest_run(F.col("samples"), lambda v: sample_hit(v, slo_pointwise)[0])))
-    cand = cand.withColumn(
-        "duration_min", F.when(used, F.col("_run.n") * F.col("step_minutes")).otherwise(F.col("window_minutes"))
-    ).withColumn("first_seen", F.coalesce(F.col("_run.start"), F.col("first_ts")))
-    cand = cand.where(F.col("duration_min") + 1e-9 >= F.coalesce("t_duration", F.lit(0.0))).drop("samples", "_run")
+    hit, used = sample_hit("p.value", slo_pointwise)
+    cand = cand.withColumn("_used", F.expr(used))
+    cand = cand.withColumn("_run", F.when(F.col("_used"), longest_run("samples", hit)))
+    cand = cand.withColumns({
+        "duration_min": F.expr("CASE WHEN _used THEN _run.n * step_minutes ELSE window_minutes END"),
+        "first_seen": F.expr("coalesce(_run.start, first_ts)")})
+    cand = cand.where(F.col("duration_min") + 1e-9 >= F.coalesce("t_duration", F.lit(0.0))).drop("samples", "_run", "_used")
     keys = ["run_id", "service", "instance", "metric", "rule_id"]
     rest = [c for c in cand.columns if c not in keys]
     best = cand.groupBy(*keys).agg(F.min_by(F.struct(*rest), "level").alias("r"))
@@ -147,87 +131,92 @@ def match_levels(facts: DataFrame, slo_pointwise: bool = True) -> DataFrame:
 
 
 # ------------------------------------------------------------------ amplitude and score
-def amplitude_from_value(v: Column, warn: Column, critical: Column) -> Column:
+def amplitude_sql(v: str, warn: str, critical: str) -> str:
     """Linear from the mildest to the strictest threshold. With a single threshold: 0.2 on
     the line, 1 at twice the line."""
-    single = F.when((v < critical) | (critical <= 0), 0.0).otherwise(
-        clamp01(0.2 + 0.8 * F.least(F.lit(1.0), safe_ratio(v - critical, F.abs(critical)))))
-    return F.when(critical <= warn, single).otherwise(clamp01(safe_ratio(v - warn, critical - warn)))
+    return f"""CASE WHEN {critical} <= {warn} THEN
+        CASE WHEN {v} < {critical} OR {critical} <= 0 THEN 0D
+          ELSE greatest(0D, least(1D, 0.2D + 0.8D * least(1D, try_divide({v} - {critical}, abs({critical}))))) END
+        ELSE greatest(0D, least(1D, try_divide({v} - {warn}, {critical} - {warn}))) END"""
+
+
+def amplitude_from_value(v: str, warn: float | str, critical: float | str) -> Column:
+    """`amplitude_sql` as a column; bounds are column names or numbers."""
+    bound = [b if isinstance(b, str) else f"{float(b)!r}D" for b in (warn, critical)]
+    return F.expr(amplitude_sql(v, *bound))
 
 
 def amplitude_from_z(z: Column) -> Column:
     return clamp01((F.abs(z) - 3.0) / 9.0)
 
 
-def banded(raw: Column, level: Column) -> Column:
+def banded(raw: str, level: str = "level") -> Column:
     """Press a 0..1 amplitude into its level's range, so level decides before amplitude."""
-    lo = hi = F.lit(None).cast("double")
-    for lv, (a, b) in LEVEL_BAND.items():
-        lo = F.when(level == lv, F.lit(a)).otherwise(lo)
-        hi = F.when(level == lv, F.lit(b)).otherwise(hi)
-    return F.round(lo + (hi - lo) * clamp01(raw), 4)
+    lo = " ".join(f"WHEN {lv} THEN {a!r}D" for lv, (a, _) in LEVEL_BAND.items())
+    span = " ".join(f"WHEN {lv} THEN {b!r}D - {a!r}D" for lv, (a, b) in LEVEL_BAND.items())
+    return F.expr(f"round(CASE {level} {lo} END + (CASE {level} {span} END) * greatest(0D, least(1D, {raw})), 4)")
 
 
 def generic_amplitude() -> Column:
     """Largest exceedance over the matched level's own conditions and, with a dynamic baseline, z."""
     parts = []
     for k in (*POINTWISE, "cv"):
-        actual = F.abs(F.col("observed" if k == "value" else k))
-        parts.append(F.when(F.col(f"t_{k}").isNotNull(), amplitude_from_value(actual, F.col(f"lo_{k}"), F.col(f"hi_{k}"))))
-    parts.append(F.when(F.col("mode") == "dynamic", amplitude_from_z(F.col("z_score"))))
-    return banded(F.coalesce(F.greatest(*parts), F.lit(0.5)), F.col("level"))
+        v = f"abs({'observed' if k == 'value' else k})"
+        parts.append(f"CASE WHEN t_{k} IS NOT NULL THEN {amplitude_sql(v, f'lo_{k}', f'hi_{k}')} END")
+    parts.append("CASE WHEN mode = 'dynamic' THEN greatest(0D, least(1D, (abs(z_score) - 3D) / 9D)) END")
+    return banded(f"coalesce(greatest({', '.join(parts)}), 0.5D)")
+
 
+def deviation_score_sql(amplitude: str, duration: str, blast: str, criticality: str) -> str:
+    """0..1 severity; amplitudes have four decimals, so exact halves are common: 1e-9 keeps the
+    last bit of the sum from deciding them."""
+    def c01(x):
+        return f"greatest(0D, least(1D, {x}))"
 
-def deviation_score(amplitude: Column, duration: Column, blast: Column, criticality: Column) -> Column:
-    s = (
-        SCORE_AMPLITUDE * clamp01(amplitude)
-        + SCORE_DURATION * F.least(F.lit(1.0), F.greatest(F.lit(0.0), duration) / DURATION_SATURATION)
-        + SCORE_BLAST * clamp01(blast) + SCORE_CRITICALITY * clamp01(criticality))
-    # amplitudes have four decimals, so exact halves are common: do not let the last bit decide them
-    return F.round(clamp01(s) + 1e-9, 4)
+    s = (f"{SCORE_AMPLITUDE}D * {c01(amplitude)} + {SCORE_DURATION}D * least(1D, greatest(0D, {duration}) / {DURATION_SATURATION}D) "
+         f"+ {SCORE_BLAST}D * {c01(blast)} + {SCORE_CRITICALITY}D * {c01(criticality)}")
+    return f"round({c01(s)} + 1e-9, 4)"
 
 
-def match_row_levels(rule: Rule, facts: dict[str, Column]) -> Column:
-    """First matching level of a rule whose conditions are plain columns, as a CASE over its levels.
+def match_row_levels(rule: Rule, facts: dict[str, str]) -> str:
+    """First matching level of a rule whose conditions are plain columns, as an SQL CASE.
 
     Signed keys compare by absolute value; a NULL fact never matches.
     """
-    out = F.lit(None).cast("int")
-    for lv in reversed(rule.levels):
-        cond = F.lit(True)
+    whens = []
+    for lv in rule.levels:
+        conds = []
         for key, target in lv.when.items():
             v = facts[key]
             if key in ("deviation_pct", "z_score", "down_pct", "slope_pct_per_hour"):
-                v = F.abs(v)
-            cond = cond & F.coalesce(v >= float(target), F.lit(False))
-        out = F.when(cond, F.lit(lv.level)).otherwise(out)
-    return out
+                v = f"abs({v})"
+            conds.append(f"{v} >= {float(target)!r}D")
+        whens.append(f"WHEN {' AND '.join(conds)} THEN {lv.level}")
+    return f"CASE {' '.join(whens)} END"
 
 
-def reason_template(rule: Rule, level: Column) -> Column:
-    out = F.lit("")
-    for lv in rule.levels:
-        out = F.when(level == lv.level, F.lit(lv.reason)).otherwise(out)
-    return out
+def reason_template(rule: Rule) -> str:
+    """The reason template of a row's level, as an SQL CASE."""
+    def text(t):
+        return t.replace("\\", "\\\\").replace("'", "\\'")
+
+    return "CASE level " + " ".join(f"WHEN {lv.level} THEN '{text(lv.reason)}'" for lv in rule.levels) + " ELSE '' END"
 
 
 # ------------------------------------------------------------------ texts
-def reason(template: Column, label: Column, unit: Column, **extra: Column) -> Column:
-    """Fill a level's reason template from the finding's columns."""
-    zero = F.lit(0.0)
-
-    def col(name, default=zero):
-        return extra.get(name, default)
-
-    return render(template, {
-        "service": F.col("service"), "instance": F.coalesce("instance", "service"), "metric": label,
-        "observed": metric_text(F.col("observed"), unit), "baseline": metric_text(F.coalesce("baseline_value", zero), unit),
-        "observed_raw": fmt(F.col("observed")), "baseline_raw": fmt(F.coalesce("baseline_value", zero)),
-        "deviation": fmt(F.abs("deviation_pct")), "deviation_signed": fmt(F.col("deviation_pct")),
-        "drop": fmt(col("drop_points")), "rise": fmt(col("rise_points")), "z": fmt(F.abs("z_score"), 1),
-        "ratio": fmt(col("ratio", F.lit(1.0))), "multiplier": fmt(col("multiplier", F.lit(1.0))),
-        "samples": fmt(col("samples"), 0), "cv": fmt(col("cv")), "slope": fmt(F.abs(col("slope_pct")), 1),
-        "duration": fmt(F.round("duration_min", 0), 0), "threshold": fmt(F.round(col("threshold"), 0), 0),
-        "slo": metric_text(F.coalesce(col("slo"), zero), unit),
-        "path": col("path", F.lit("")), "forecast": col("forecast", F.lit("")),
+def reason() -> Column:
+    """Fill the reason template from a rule hit's columns."""
+    def num(c, default=0):
+        return f"coalesce({c}, {float(default)!r}D)"
+
+    return render("template", {
+        "service": "service", "instance": "coalesce(instance, service)", "metric": "label",
+        "observed": metric_text_sql("observed", "unit"), "baseline": metric_text_sql(num("baseline_value"), "unit"),
+        "observed_raw": fmt_sql("observed"), "baseline_raw": fmt_sql(num("baseline_value")),
+        "deviation": fmt_sql("abs(deviation_pct)"), "deviation_signed": fmt_sql("deviation_pct"),
+        "drop": fmt_sql(num("drop_points")), "rise": fmt_sql(num("rise_points")), "z": fmt_sql("abs(z_score)", 1),
+        "ratio": fmt_sql(num("ratio", 1)), "multiplier": fmt_sql(num("multiplier", 1)),
+        "samples": fmt_sql(f"double({num('samples')})", 0), "cv": fmt_sql(num("cv")), "slope": fmt_sql(f"abs({num('slope_pct')})", 1),
+        "duration": fmt_sql("round(duration_min, 0)", 0), "threshold": fmt_sql(f"round({num('threshold')}, 0)", 0),
+        "slo": metric_text_sql(num("slo"), "unit"), "path": "path", "forecast": "forecast",
     })

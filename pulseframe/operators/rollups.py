@@ -32,8 +32,8 @@ def service_stats(active: DataFrame, clusters: DataFrame, runs: DataFrame, servi
         out = out.join(side, key, "left")
     none = F.array().cast("array<string>")
     summary = F.when(F.col("worst").isNotNull(), F.concat(
-        F.lit("observed "), fmt(F.col("worst.observed")),
-        F.when(F.col("worst.baseline_value").isNotNull(), F.concat(F.lit(", baseline "), fmt(F.col("worst.baseline_value")))
+        F.lit("observed "), fmt("worst.observed"),
+        F.when(F.col("worst.baseline_value").isNotNull(), F.concat(F.lit(", baseline "), fmt("worst.baseline_value"))
                ).otherwise(F.lit("")),
         F.lit(" (P"), F.col("worst.level").cast("string"), F.lit(")")))
     return out.select(

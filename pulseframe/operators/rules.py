@@ -35,33 +35,48 @@ class Inputs:
     points     clean points, for rules with their own lookback
     windows    run_id, window_start, window_end, ...
     paths      head, path_id, pos, node of the dependency paths
+    facts      series_base() of the first two, where it has been written already
     """
 
     def __init__(self, windowed: DataFrame, base: DataFrame, points: DataFrame, windows: DataFrame,
-                 paths: DataFrame, policy: Policy):
+                 paths: DataFrame, policy: Policy, facts: DataFrame | None = None):
         self.windowed, self.base, self.points = windowed, base, points
         self.windows, self.paths, self.policy = windows, paths, policy
-        self.facts = series_base(windowed, base, policy)
+        self.facts = series_base(windowed, base, policy) if facts is None else facts
+
+
+#: what every rule reports of a hit, with the SQL type of columns a rule may leave out
+HIT_COLS = {
+    "run_id": "string", "rule_id": "string", "dimension": "string", "service": "string", "instance": "string", "metric": "string",
+    "level": "int", "observed": "double", "baseline_value": "double", "deviation_pct": "double", "z_score": "double",
+    "amplitude": "double", "duration_min": "double", "first_seen": "timestamp", "last_seen": "timestamp", "mode": "string",
+    "baseline_confidence": "string", "instance_count": "int", "criticality": "double", "owner": "string", "template": "string",
+    "label": "string", "unit": "string", "samples": "bigint", "drop_points": "double", "rise_points": "double",
+    "multiplier": "double", "cv": "double", "ratio": "double", "slope_pct": "double", "threshold": "double", "slo": "double",
+    "path": "string", "forecast": "string", "details": "map<string,string>",
+}
 
 
-def _finding(df: DataFrame, evidence: dict[str, Column]) -> DataFrame:
-    """Common tail of every rule: blast radius of one instance, score, evidence, column order.
+def _hits(df: DataFrame, rule: Rule | None = None, details: str | None = None, **columns: str) -> DataFrame:
+    """Bring a rule's rows to HIT_COLS: given SQL first, then same-named columns, then NULL."""
+    if rule is not None:
+        columns = {"rule_id": f"'{rule.rule_id}'", "dimension": f"'{rule.dimension}'", "template": L.reason_template(rule),
+                   "z_score": "0D", **columns}
+    if details:
+        columns["details"] = f"map({details})"
+    have = set(df.columns)
+    return df.selectExpr(*[
+        f"CAST({columns.get(c) or (c if c in have else 'NULL')} AS {t}) AS {c}" for c, t in HIT_COLS.items()])
 
-    Expects level, observed, baseline_value, deviation_pct, z_score, amplitude, duration_min,
-    first_seen, last_seen, mode, baseline_confidence, reason, instance_count, criticality, owner.
-    """
-    blast = 1.0 / F.greatest(F.lit(1), F.col("instance_count"))
-    ev = {"owner": F.col("owner"), "instance_count": F.col("instance_count"), **evidence}
-    pairs = [x for k, v in ev.items() for x in (F.lit(k), v.cast("string"))]
-    return (
-        df.withColumn("amplitude", F.round("amplitude", 4))
-        .withColumn("affected_ratio", blast)
-        .withColumn("deviation_score", L.deviation_score(
-            F.col("amplitude"), F.col("duration_min"), F.col("affected_ratio"), F.col("criticality")))
-        .withColumn("baseline_mode", F.col("mode"))
-        .withColumn("evidence", F.create_map(*pairs))
-        .select(*FINDING_COLS)
-    )
+
+def finish(hits: DataFrame) -> DataFrame:
+    """Hits of any rules -> findings: blast radius of one instance, score, reason, evidence."""
+    out = hits.withColumns({"amplitude": F.round("amplitude", 4), "affected_ratio": F.expr("1D / greatest(1, instance_count)")})
+    evidence = ("map_concat(map('owner', owner, 'instance_count', string(instance_count), 'samples', string(samples)), "
+                "coalesce(details, map()))")
+    return out.withColumns({
+        "deviation_score": F.expr(L.deviation_score_sql("amplitude", "duration_min", "affected_ratio", "criticality")),
+        "baseline_mode": F.col("mode"), "reason": L.reason(), "evidence": F.expr(evidence)}).select(*FINDING_COLS)
 
 
 # ------------------------------------------------------------------ generic rules
@@ -75,14 +90,9 @@ def rule_facts(inputs: Inputs, rule_ids: list[str] | None = None) -> DataFrame:
     return L.scale_value_levels(add_observed(df, observed))
 
 
-def generic_findings(inputs: Inputs, rule_ids: list[str] | None = None, slo_pointwise: bool = True) -> DataFrame:
+def generic_hits(inputs: Inputs, rule_ids: list[str] | None = None, slo_pointwise: bool = True) -> DataFrame:
     m = L.match_levels(rule_facts(inputs, rule_ids), slo_pointwise)
-    m = m.withColumn("amplitude", L.generic_amplitude()).withColumn("last_seen", F.col("last_ts"))
-    m = m.withColumn("reason", L.reason(
-        F.col("reason_template"), F.col("label"), F.col("unit"), drop_points=F.col("drop_points"),
-        rise_points=F.col("rise_points"), multiplier=F.col("multiplier"), cv=F.col("cv"),
-        threshold=F.col("threshold"), slo=F.col("slo"), samples=F.col("n")))
-    return _finding(m, {"samples": F.col("n")})
+    return _hits(m.withColumn("amplitude", L.generic_amplitude()), last_seen="last_ts", template="reason_template", samples="n")
 
 
 # ------------------------------------------------------------------ long tail
@@ -117,27 +127,20 @@ def long_tail(inputs: Inputs, rule: Rule) -> DataFrame:
             p["value"], F.try_element_at(F.col("_low"), p["ts"])).alias("value"))),
         lambda p: p["value"].isNotNull())
     per = per.withColumn("_low", low).withColumn("ratios", ratios).where(F.size("ratios") > 0)
-    per = per.withColumn("observed", F.array_max(F.transform("ratios", lambda p: p["value"])))
-    per = per.withColumn("baseline_value", F.try_divide(F.col("_mt"), F.col("_mb"))).where(F.col("baseline_value") > 0)
-    rise = safe_ratio(F.col("observed") - F.col("baseline_value"), F.col("baseline_value")) * 100.0
-    per = per.withColumn("deviation_pct", rise).withColumn("z_score", F.lit(0.0))
-    per = per.withColumn("level", L.match_row_levels(rule, {
-        "ratio": F.col("observed"), "ratio_rise_pct": F.col("deviation_pct"), "value": F.col("observed"),
-        "deviation_pct": F.col("deviation_pct")})).where("level IS NOT NULL")
-    parts = [
-        L.amplitude_from_value(F.abs(F.col(c)), F.lit(lo), F.lit(hi))
-        for key, c in (("ratio", "observed"), ("ratio_rise_pct", "deviation_pct"))
-        for lo, hi in [rule.bounds(key)] if lo is not None]
-    per = per.withColumn("amplitude", F.greatest(*parts) if len(parts) > 1 else (parts or [F.lit(0.3)])[0])
-    out = (
-        per.withColumn("rule_id", F.lit(rule.rule_id)).withColumn("dimension", F.lit(rule.dimension))
-        .withColumn("metric", F.lit(num)).withColumn("duration_min", F.col("window_minutes"))
-        .withColumn("first_seen", F.element_at("ratios", 1)["ts"]).withColumn("last_seen", F.element_at("ratios", -1)["ts"])
-    )
-    out = out.withColumn("reason", L.reason(
-        L.reason_template(rule, F.col("level")), F.lit(f"{num}/{den}"), F.lit("x"), ratio=F.col("observed"),
-        threshold=F.col("baseline_value")))
-    return _finding(out, {"numerator": F.lit(num), "denominator": F.lit(den), "samples": F.size("ratios")})
+    per = per.withColumns({
+        "observed": F.array_max(F.transform("ratios", lambda p: p["value"])), "baseline_value": F.expr("try_divide(_mt, _mb)")})
+    per = per.where("baseline_value > 0").withColumn("deviation_pct", F.expr("(observed - baseline_value) / baseline_value * 100D"))
+    per = per.withColumn("level", F.expr(L.match_row_levels(rule, {
+        "ratio": "observed", "value": "observed", "ratio_rise_pct": "deviation_pct", "deviation_pct": "deviation_pct"})))
+    parts = [L.amplitude_sql(f"abs({c})", f"{lo!r}D", f"{hi!r}D")
+             for key, c in (("ratio", "observed"), ("ratio_rise_pct", "deviation_pct"))
+             for lo, hi in [rule.bounds(key)] if lo is not None]
+    amplitude = f"greatest({', '.join(parts)})" if len(parts) > 1 else (parts or ["0.3D"])[0]
+    return _hits(
+        per.where("level IS NOT NULL"), rule, f"'numerator', '{num}', 'denominator', '{den}'", metric=f"'{num}'",
+        amplitude=amplitude, duration_min="window_minutes", first_seen="element_at(ratios, 1).ts",
+        last_seen="element_at(ratios, -1).ts", label=f"'{num}/{den}'", unit="'x'", ratio="observed",
+        threshold="baseline_value", samples="size(ratios)")
 
 
 # ------------------------------------------------------------------ trends
@@ -172,35 +175,27 @@ def trend_rule(inputs: Inputs, rule: Rule, direction: str | None = None) -> Data
                 & (F.col("r2") >= float(p.get("min_r2", 0.0))))
     if direction == "up":
         t = t.where("slope_pct > 0")
-    t = t.withColumn("baseline_value", F.col("median")).withColumn(
-        "deviation_pct", safe_ratio(F.col("observed") - F.col("median"), F.abs("median")) * 100.0).withColumn(
-        "z_score", F.lit(0.0))
-    t = t.withColumn("level", L.match_row_levels(rule, {
-        "slope_pct_per_hour": F.col("slope_pct"), "value": F.col("observed"), "deviation_pct": F.col("deviation_pct"),
-    })).where("level IS NOT NULL")
-    lo, hi = rule.bounds("slope_pct_per_hour")
-    length = F.lit(minutes) if minutes is not None else (
-        seconds(F.col("window_end")) - seconds(F.col("window_start"))) / 60.0
-    t = t.withColumn("amplitude", L.amplitude_from_value(F.abs("slope_pct"), F.lit(lo or 0.0), F.lit(hi or lo or 1.0)))
-    t = t.withColumn("duration_min", length.cast("double"))
-    dim = inputs.policy.service_dim(spark)
-    declared = dim.select("service", "criticality", "owner", "instance_count", F.explode("instances").alias("instance"))
-    b = inputs.base.select(*RKEY, "mode", "sample_size")
-    t = t.join(declared, ["service", "instance"]).join(b, RKEY, "left")
-    t = t.withColumn("mode", F.coalesce("mode", F.lit("static_fallback"))).withColumn(
-        "baseline_confidence", confidence(F.col("mode"), F.coalesce("sample_size", F.lit(0))))
+    t = t.withColumn("level", F.expr(L.match_row_levels(rule, {
+        "slope_pct_per_hour": "slope_pct", "value": "observed", "deviation_pct": "slope_pct"}))).where("level IS NOT NULL")
+    dim = inputs.policy.series_dim(spark).select("service", "metric", "label", "unit", "criticality", "owner", "instance_count")
+    b = inputs.base.where(F.col("metric") == p["metric"]).select(*RKEY, "mode", "sample_size")
+    t = t.join(dim, ["service", "metric"]).join(
+        inputs.policy.declared_instances(spark), ["service", "instance"], "left_semi").join(b, RKEY, "left")
     usage = p["metric"] in ("mem_usage", "cpu_usage", "conn_usage")
-    hrs = forecast_hours(F.col("observed"), F.col("slope_pct")) if usage else F.lit(None).cast("double")
-    text = F.when(F.col("slope_pct") <= 0, "falling at the current rate").otherwise(F.coalesce(F.concat(
-        F.lit("about "), F.format_string("%.1f", F.round(hrs, 1)), F.lit(f"h until {FORECAST_LIMIT:.0f}%")), F.lit("")))
-    cat = inputs.policy.catalog(spark).select("metric", "label", "unit")
-    t = t.withColumn("rule_id", F.lit(rule.rule_id)).withColumn("dimension", F.lit(rule.dimension)).join(cat, "metric")
-    t = t.withColumn("reason", L.reason(
-        L.reason_template(rule, F.col("level")), F.col("label"), F.col("unit"), slope_pct=F.col("slope_pct"),
-        samples=F.col("n"), forecast=text, threshold=F.col("median")))
-    return _finding(t, {
-        "trend_t_stat": F.round("t_stat", 2), "trend_r2": F.round("r2", 4), "slope_pct_per_hour": F.round("slope_pct", 4),
-        "samples": F.col("n")})
+    t = t.withColumns({
+        "mode": F.coalesce("mode", F.lit("static_fallback")),
+        "hours": forecast_hours(F.col("observed"), F.col("slope_pct")) if usage else F.lit(None).cast("double")})
+    t = t.withColumn("baseline_confidence", confidence(F.col("mode"), F.coalesce("sample_size", F.lit(0))))
+    lo, hi = rule.bounds("slope_pct_per_hour")
+    length = f"{minutes!r}D" if minutes is not None else "(unix_seconds(window_end) - unix_seconds(window_start)) / 60D"
+    forecast = (f"CASE WHEN slope_pct <= 0 THEN 'falling at the current rate' WHEN hours IS NULL THEN '' "
+                f"ELSE format_string('about %.1fh until {FORECAST_LIMIT:.0f}%%', round(hours, 1)) END")
+    return _hits(
+        t, rule, "'trend_t_stat', string(round(t_stat, 2)), 'trend_r2', string(round(r2, 4)), "
+                 "'slope_pct_per_hour', string(round(slope_pct, 4))",
+        baseline_value="median", deviation_pct="coalesce(try_divide(observed - median, abs(median)), 0D) * 100D",
+        amplitude=L.amplitude_sql("abs(slope_pct)", f"{float(lo or 0)!r}D", f"{float(hi or lo or 1)!r}D"),
+        duration_min=length, forecast=forecast, threshold="median", samples="n")
 
 
 # ------------------------------------------------------------------ instance skew
@@ -222,19 +217,13 @@ def instance_skew(inputs: Inputs, rule: Rule) -> DataFrame:
     ratio = F.try_divide(F.col("observed"), F.col("baseline_value"))
     floor = max(rule.bounds("ratio")[0] or SKEW_FLOOR, SKEW_FLOOR)
     per = per.withColumn("ratio", ratio).where((F.col("ratio") >= floor) & (F.col("instance_count") >= need))
-    per = per.withColumn("deviation_pct", (F.col("ratio") - 1.0) * 100.0).withColumn("z_score", F.lit(0.0))
-    per = per.withColumn("level", L.match_row_levels(rule, {
-        "ratio": F.col("ratio"), "value": F.col("observed"), "deviation_pct": F.col("deviation_pct")})).where("level IS NOT NULL")
+    per = per.withColumn("deviation_pct", F.expr("(ratio - 1D) * 100D")).withColumn("level", F.expr(L.match_row_levels(rule, {
+        "ratio": "ratio", "value": "observed", "deviation_pct": "deviation_pct"}))).where("level IS NOT NULL")
     lo, hi = rule.bounds("ratio")
-    per = per.withColumn("amplitude", L.amplitude_from_value(F.col("ratio"), F.lit(lo), F.lit(hi)))
-    per = (
-        per.withColumn("rule_id", F.lit(rule.rule_id)).withColumn("dimension", F.lit(rule.dimension))
-        .withColumn("duration_min", F.col("window_minutes")).withColumn("first_seen", F.col("first_ts"))
-        .withColumn("last_seen", F.col("last_ts")))
-    per = per.withColumn("reason", L.reason(
-        L.reason_template(rule, F.col("level")), F.col("label"), F.col("unit"), ratio=F.col("ratio"),
-        threshold=F.col("baseline_value")))
-    return _finding(per, {"instances": F.col("instances"), "median_of_service": F.round("baseline_value", 2)})
+    return _hits(
+        per, rule, "'instances', string(instances), 'median_of_service', string(round(baseline_value, 2))",
+        amplitude=L.amplitude_sql("ratio", f"{lo!r}D", f"{hi!r}D"), duration_min="window_minutes", first_seen="first_ts",
+        last_seen="last_ts", threshold="baseline_value", samples="n")
 
 
 # ------------------------------------------------------------------ dependency chains
@@ -257,7 +246,7 @@ def chain_health(inputs: Inputs, metric: str, min_length: int) -> DataFrame:
     the one with the lowest window mean, earliest on the path on ties.
     """
     spark = inputs.points.sparkSession
-    declared = inputs.policy.service_dim(spark).select("service", F.explode("instances").alias("instance"))
+    declared = inputs.policy.declared_instances(spark)
     pts = assign_windows(
         inputs.points.where(F.col("metric") == metric).join(declared, ["service", "instance"], "left_semi"),
         inputs.windows.select("run_id", "window_start", "window_end"))
@@ -287,21 +276,17 @@ def chain_rule(inputs: Inputs, rule: Rule) -> DataFrame:
     metric = rule.params.get("health_metric", "success_rate")
     spark = inputs.points.sparkSession
     c = chain_health(inputs, metric, int(rule.params.get("min_path_length", 2)))
-    c = c.withColumn("deviation_pct", safe_ratio(F.col("observed") - F.col("baseline_value"), F.col("baseline_value")) * 100.0)
-    c = c.withColumn("z_score", F.lit(0.0)).withColumn("level", L.match_row_levels(rule, {
-        "deviation_pct": F.col("deviation_pct"), "value": F.col("observed")})).where("level IS NOT NULL")
+    c = c.withColumn("deviation_pct", F.expr("coalesce(try_divide(observed - baseline_value, baseline_value), 0D) * 100D"))
+    c = c.withColumn("level", F.expr(L.match_row_levels(rule, {"deviation_pct": "deviation_pct", "value": "observed"})))
     lo, hi = rule.bounds("deviation_pct")
-    c = c.withColumn("amplitude", L.amplitude_from_value(F.abs("deviation_pct"), F.lit(lo or 0.0), F.lit(hi or 1.0)))
     dim = inputs.policy.service_dim(spark).select(F.col("service").alias("head"), "criticality", "owner", "instance_count")
-    w = inputs.windows.select("run_id", ((seconds(F.col("window_end")) - seconds(F.col("window_start"))) / 60.0).alias("duration_min"))
-    c = c.join(dim, "head").join(w, "run_id").withColumnRenamed("head", "service").withColumn("instance", F.col("weakest"))
-    c = (
-        c.withColumn("rule_id", F.lit(rule.rule_id)).withColumn("dimension", F.lit(rule.dimension))
-        .withColumn("metric", F.lit(metric)).withColumn("mode", F.lit("static_fallback")).withColumn("baseline_confidence", F.lit("low")))
-    c = c.withColumn("reason", L.reason(
-        L.reason_template(rule, F.col("level")), F.lit("chain health"), F.lit("%"), path=F.col("path_text"),
-        samples=F.col("samples"), threshold=F.col("baseline_value")))
-    return _finding(c, {"chain": F.col("path_text"), "hop_count": F.col("path_len"), "weakest_node": F.col("weakest")})
+    w = inputs.windows.selectExpr("run_id", "(unix_seconds(window_end) - unix_seconds(window_start)) / 60D AS duration_min")
+    c = c.where("level IS NOT NULL").join(dim, "head").join(w, "run_id")
+    return _hits(
+        c, rule, "'chain', path_text, 'hop_count', string(path_len), 'weakest_node', weakest", service="head",
+        instance="weakest", metric=f"'{metric}'", mode="'static_fallback'", baseline_confidence="'low'",
+        amplitude=L.amplitude_sql("abs(deviation_pct)", f"{float(lo or 0)!r}D", f"{float(hi or 1)!r}D"),
+        label="'chain health'", unit="'%'", path="path_text", threshold="baseline_value")
 
 
 # ------------------------------------------------------------------ registry
@@ -313,13 +298,19 @@ RULE_KINDS: dict[str, Callable[[Inputs, Rule], DataFrame]] = {
 }
 
 
+def findings(inputs: Inputs, rule_id: str) -> DataFrame:
+    """Findings of one rule."""
+    rule = inputs.policy.rule(rule_id)
+    return finish(generic_hits(inputs, [rule_id]) if rule.kind == "generic" else RULE_KINDS[rule.kind](inputs, rule))
+
+
 def all_findings(inputs: Inputs) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Findings of every rule of the policy, and the rules that could not be planned.
 
     A rule that fails to analyse is reported and left out; the others still run. New rule
-    kinds register in RULE_KINDS.
+    kinds register in RULE_KINDS and return HIT_COLS.
     """
-    parts, failed = [generic_findings(inputs)], []
+    parts, failed = [generic_hits(inputs)], []
     for rule in inputs.policy.rules:
         if rule.kind == "generic":
             continue
@@ -327,7 +318,7 @@ def all_findings(inputs: Inputs) -> tuple[DataFrame, list[tuple[str, str]]]:
             parts.append(RULE_KINDS[rule.kind](inputs, rule))
         except Exception as exc:  # noqa: BLE001 - one bad rule must not stop the rest
             failed.append((rule.rule_id, f"{type(exc).__name__}: {exc}"))
-    return reduce(DataFrame.unionByName, parts), failed
+    return finish(reduce(DataFrame.unionByName, parts)), failed
 
 
 def rule_hits(findings: DataFrame, runs: DataFrame, policy: Policy) -> DataFrame:

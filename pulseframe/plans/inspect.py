@@ -14,6 +14,7 @@ from pulseframe.operators import clusters as CL
 from pulseframe.operators import graph as G
 from pulseframe.operators import rollups as R
 from pulseframe.operators import rules, score, stats
+from pulseframe.operators.facts import series_base
 from pulseframe.operators.windows import assign_windows
 from pulseframe.policy import Policy
 from pulseframe.schemas import RKEY
@@ -24,8 +25,10 @@ from pulseframe.session import write_stage
 class Inspection:
     """Stages of an inspection, each built on first use.
 
-    Two stages are written when `staged`: the clean points, read by every branch, and the
-    findings, from which all later stages start. Everything else stays one Catalyst plan.
+    When `staged`, the results that several branches read are written once: clean points,
+    baselines, series facts, findings and what follows from them. Besides surviving executor
+    loss this keeps each plan small; a single plan over all rules would be re-optimised after
+    every one of its many exchanges. The archive is only read where baselines are built.
     """
 
     points: DataFrame
@@ -68,12 +71,16 @@ class Inspection:
     @cached_property
     def baselines(self) -> DataFrame:
         archive = self.clean if self.archive is self.points else self.archive
-        return B.baselines(archive, self.windows, self.policy, self.min_samples)
+        return self._stage(B.baselines(archive, self.windows, self.policy, self.min_samples), "baselines")
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return self._stage(series_base(self.windowed, self.baselines, self.policy), "facts")
 
     @cached_property
     def rule_inputs(self) -> rules.Inputs:
         paths = G.leaf_walks(self.walks, self.edges)
-        return rules.Inputs(self.windowed, self.baselines, self.clean, self.windows, paths, self.policy)
+        return rules.Inputs(self.windowed, self.baselines, self.clean, self.windows, paths, self.policy, self.facts)
 
     @cached_property
     def findings(self) -> DataFrame:

@@ -11,7 +11,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.session import literal_table
+from pulseframe.session import literal_table, write_stage
 
 # ---- fixed values: metric catalogue (unit, label, higher is better, valid low, valid high) ----
 METRICS = {
@@ -297,6 +297,31 @@ class Policy:
             spark, [("rule_id", "string"), ("rule_name", "string"), ("dimension", "string")],
             [(r.rule_id, r.name, r.dimension) for r in self.rules])
 
+    def declared_instances(self, spark: SparkSession) -> DataFrame:
+        """(service, instance) of the topology."""
+        return self.service_dim(spark).selectExpr("service", "explode(instances) AS instance")
+
+    def series_dim(self, spark: SparkSession) -> DataFrame:
+        """Everything the policy says about a (service, metric), resolved once on the driver.
+
+        Small policies become a literal table; a policy of thousands of services is written to
+        the stage folder, so joins are planned by its true size either way.
+        """
+        cols = [("service", "string"), ("metric", "string"), ("unit", "string"), ("label", "string"), ("hib", "boolean"),
+                ("red_min", "double"), ("red_max", "double"), ("default_max", "double"), ("slo", "double"),
+                ("criticality", "double"), ("owner", "string"), ("instance_count", "int")]
+        rows = []
+        for s in self.services:
+            for m, (unit, label, hib, _, _) in METRICS.items():
+                default = self.thresholds.get(m, {})
+                line = self.threshold_overrides.get(s.name, {}).get(m, default)
+                objective = {**self.slo, **s.slo}.get(SLO_FIELD.get(m))
+                rows.append((s.name, m, unit, label, hib, _f(line.get("min")), _f(line.get("max")), _f(default.get("max")),
+                             _f(objective), float(s.criticality), s.owner or "unassigned", len(s.instances)))
+        if len(rows) <= 2000:
+            return literal_table(spark, cols, rows)
+        return write_stage(spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in cols)), "series-policy")
+
     def generic_levels(self, spark: SparkSession, rule_ids: list[str] | None = None) -> DataFrame:
         """One row per level of each generic rule, with a nullable column per condition key
         and the mildest/strictest threshold of every key that feeds the amplitude."""

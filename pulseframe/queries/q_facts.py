@@ -6,11 +6,13 @@ from pulseframe.functions import seconds
 from pulseframe.operators import facts as FA
 from pulseframe.operators import levels as L
 from pulseframe.operators import stats
-from pulseframe.operators.rules import Inputs, generic_findings, rule_facts
+from pulseframe.operators.rules import Inputs, finish, generic_hits, rule_facts
 from pulseframe.operators import graph as G
 from pulseframe.policy import LEVEL_BAND, POINTWISE
 from pulseframe.queries import fixtures as X
-from pulseframe.queries.q_baseline import base
+from pulseframe.operators.baseline import baselines
+from pulseframe.operators.windows import assign_windows
+from pulseframe.queries import q_baseline  # noqa: F401 - registers the views used below
 from pulseframe.queries.q_stats import RK, window_points
 from pulseframe.queries.registry import query, rnd, values_sql, view
 from pulseframe.schemas import RKEY
@@ -56,7 +58,9 @@ def inputs(spark, d, with_paths=False):
         services = p.service_dim(spark)
         e = G.edges(services)
         paths = G.leaf_walks(G.walks(e, services.select(F.col("service").alias("node"))), e)
-    return Inputs(stats.window_series(window_points(spark, d), RKEY), base(spark, d), points, X.windows(spark), paths, p)
+    w = X.windows(spark)
+    windowed = stats.window_series(assign_windows(points, w.select("run_id", "window_start", "window_end")), RKEY)
+    return Inputs(windowed, baselines(points, w, p), points, w, paths, p)
 
 
 def _facts(spark, d):
@@ -115,7 +119,7 @@ def longest_run(spark, d):
 def longest_run_array(spark, d):
     """The same from the ordered sample arrays, as the rules do it."""
     f = inputs(spark, d).facts.where("slo IS NOT NULL")
-    r = L.longest_run(F.col("samples"), lambda v: F.when(F.col("hib"), v < F.col("slo")).otherwise(v > F.col("slo")))
+    r = L.longest_run("samples", "CASE WHEN hib THEN p.value < slo ELSE p.value > slo END")
     return f.select(*RKEY, r.alias("r")).where("r.n > 0").select(
         *RKEY, F.col("r.n").cast("long").alias("n"), seconds(F.col("r.start")).alias("start_s"))
 
@@ -219,7 +223,7 @@ SELECT {RK}, rule_id, level, rnd({_amp_value('abs(observed)', 'lo_value', 'hi_va
   rnd(least(1, greatest(0, (abs(z_score) - 3) / 9)), 4) AS z_amplitude FROM matched WHERE t_value IS NOT NULL""")
 def amplitude(spark, d):
     m = L.match_levels(rule_facts(inputs(spark, d))).where("t_value IS NOT NULL")
-    a = L.amplitude_from_value(F.abs("observed"), F.col("lo_value"), F.col("hi_value"))
+    a = L.amplitude_from_value("abs(observed)", "lo_value", "hi_value")
     return m.select(*RKEY, "rule_id", "level", rnd(a).alias("amplitude"), rnd(L.amplitude_from_z(F.col("z_score"))).alias("z_amplitude"))
 
 
@@ -236,7 +240,7 @@ _SCORE = """least(1, greatest(0, 0.55 * least(1, greatest(0, amplitude)) + 0.20
 @query("deviation_score", f"""
 SELECT {RK}, rule_id, round(1e-9 + {_SCORE.format(blast='1.0 / greatest(1, instance_count)', crit='criticality')}, 4) AS deviation_score FROM generic_findings""")
 def deviation_score(spark, d):
-    return generic_findings(inputs(spark, d)).select(*RKEY, "rule_id", "deviation_score")
+    return finish(generic_hits(inputs(spark, d))).select(*RKEY, "rule_id", "deviation_score")
 
 
 def _fmt(c, n=2):
@@ -259,5 +263,5 @@ SELECT {RK}, rule_id, replace(replace(replace(replace(replace(replace(template,
   '{{baseline}}', {_val('coalesce(baseline_value, 0)')}), '{{multiplier}}', {_fmt('multiplier')}), '{{cv}}', {_fmt('cv')}),
   '{{threshold}}', {_fmt('round(threshold, 0)', 0)}), '{{duration}}', {_fmt('round(duration_min, 0)', 0)}) AS reason FROM o""")
 def reason_text(spark, d):
-    f = generic_findings(inputs(spark, d), ["BIZ-05", "RES-04", "PERF-03"])
+    f = finish(generic_hits(inputs(spark, d), ["BIZ-05", "RES-04", "PERF-03"]))
     return f.select(*RKEY, "rule_id", "reason")

@@ -155,8 +155,7 @@ def _register(rule):
     @query(key, f"SELECT {_OUT_SQL} FROM findings WHERE rule_id = '{rule.rule_id}'")
     def q(spark, d):
         i = inputs(spark, d, with_paths=rule.kind == "chain")
-        f = R.generic_findings(i, [rule.rule_id]) if rule.kind == "generic" else R.RULE_KINDS[rule.kind](i, rule)
-        return out(f)
+        return out(R.findings(i, rule.rule_id))
     return q
 
 

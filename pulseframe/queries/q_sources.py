@@ -173,7 +173,7 @@ SELECT minutes, CASE WHEN minutes < 1 THEN concat(CAST(floor(minutes * 60) AS BI
   ELSE printf('%.1fd', round(minutes / 1440, 1)) END AS text FROM g""")
 def duration_text_q(spark, d):
     g = X.events(spark, d).select(F.round(F.col("value") * F.col("k"), 2).alias("minutes")).distinct()
-    return g.select("minutes", duration_text(F.col("minutes")).alias("text"))
+    return g.select("minutes", duration_text("minutes").alias("text"))
 
 
 @query("hour_of_week", """
