@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulseframe.functions import hour_of_day, hour_of_week, safe_ratio
@@ -45,36 +44,43 @@ def hour_profile(samples: DataFrame) -> DataFrame:
 def baselines(archive: DataFrame, windows: DataFrame, policy: Policy, min_samples: int | None = None) -> DataFrame:
     """One row per (run, series) in the archive.
 
-    One exchange on the series key: counts, the chosen sample set and its median are window
-    aggregates, and the grouped pass over deviations from that median keeps the partitioning.
-    A group is one series' archive range, at most (archive range / step) rows.
+    One exchange on the series key. A group is one series' archive range, at most
+    (archive range / step) samples after cleaning, so it is gathered once and sorted; every
+    order statistic is then an index into that array, where separate percentile aggregates
+    would each build a map of the values.
     """
     min_samples = policy.baseline_min_samples if min_samples is None else min_samples
     s = archive_samples(archive, windows, policy)
-    w = W.partitionBy(*RKEY)
-    s = (
-        s.withColumn("n_slot", F.count_if("in_slot").over(w)).withColumn("n_all", F.count(F.lit(1)).over(w))
-        .withColumn("chosen", (F.col("n_slot") < min_samples) | F.col("in_slot"))
-        .withColumn("_v", F.when(F.col("chosen"), F.col("value")))
-        .withColumn("_med", F.percentile("_v", F.lit(0.5)).over(w))
-    )
-    at_anchor = F.when(F.col("hour") == F.col("anchor_hour"), F.col("value"))
-    a = s.groupBy(*RKEY).agg(
-        F.first("n_slot").alias("n_slot"), F.first("n_all").alias("n_all"), F.count("_v").cast("long").alias("sample_size"),
-        F.first("_med").alias("median"), F.percentile(F.abs(F.col("_v") - F.col("_med")), F.lit(0.5)).alias("mad"),
-        F.avg("_v").alias("mean"), F.coalesce(F.stddev_pop("_v"), F.lit(0.0)).alias("stdev"),
-        F.percentile("_v", F.lit(0.5)).alias("p50"), F.percentile("_v", F.lit(0.95)).alias("p95"),
-        F.percentile("_v", F.lit(0.99)).alias("p99"), F.min("_v").alias("min"), F.max("_v").alias("max"),
-        F.count(at_anchor).alias("_nh"), F.percentile(at_anchor, F.lit(0.5)).alias("_hm"))
-    scale = F.greatest(F.col("mad") * MAD_SCALE, F.abs("median") * RELATIVE_FLOOR)
-    a = a.withColumn("scale", scale)
-    dynamic = (F.col("sample_size") >= min_samples) & (F.col("scale") > 0)
-    kept = ["median", "mad", "scale", "mean", "p50", "p95", "p99", "min", "max", "stdev"]
-    return a.select(
-        *RKEY, "n_slot", "n_all", "sample_size",
-        F.when(dynamic, "dynamic").otherwise("static_fallback").alias("mode"),
-        *[F.when(dynamic, F.col(c)).alias(c) for c in kept],
-        F.when(dynamic & (F.col("_nh") >= PROFILE_MIN), F.col("_hm")).alias("hour_median"))
+    # the hash leads the grouping key: the sort behind the aggregate then compares one long, not four strings
+    a = s.withColumn("_k", F.xxhash64(*RKEY)).groupBy("_k", *RKEY).agg(F.collect_list(F.struct(
+        "value", "in_slot", (F.col("hour") == F.col("anchor_hour")).alias("at_hour"))).alias("_s"))
+    a = a.withColumns({
+        "n_all": F.expr("bigint(size(_s))"), "n_slot": F.expr("bigint(size(filter(_s, x -> x.in_slot)))"),
+        "_h": F.expr("sort_array(transform(filter(_s, x -> x.at_hour), x -> x.value))")})
+    a = a.withColumn("_v", F.expr(
+        f"sort_array(transform(IF(n_slot >= {min_samples}, filter(_s, x -> x.in_slot), _s), x -> x.value))"))
+    a = a.withColumns({"sample_size": F.expr("bigint(size(_v))"), "median": F.expr(_quantile("_v", 0.5)),
+                       "mean": F.expr("aggregate(_v, 0D, (t, v) -> t + v) / size(_v)")})
+    a = a.withColumns({
+        "_d": F.expr("sort_array(transform(_v, v -> abs(v - median)))"),
+        "stdev": F.expr("sqrt(aggregate(_v, 0D, (t, v) -> t + (v - mean) * (v - mean)) / size(_v))")})
+    a = a.withColumn("mad", F.expr(_quantile("_d", 0.5)))
+    a = a.withColumn("scale", F.expr(f"greatest(mad * {MAD_SCALE}D, abs(median) * {RELATIVE_FLOOR}D)"))
+    dynamic = f"sample_size >= {min_samples} AND scale > 0"
+    values = {
+        "median": "median", "mad": "mad", "scale": "scale", "mean": "mean", "p50": "median", "p95": _quantile("_v", 0.95),
+        "p99": _quantile("_v", 0.99), "min": "element_at(_v, 1)", "max": "element_at(_v, -1)", "stdev": "stdev"}
+    return a.selectExpr(
+        *RKEY, "n_slot", "n_all", "sample_size", f"IF({dynamic}, 'dynamic', 'static_fallback') AS mode",
+        *[f"IF({dynamic}, {v}, NULL) AS {c}" for c, v in values.items()],
+        f"IF({dynamic} AND size(_h) >= {PROFILE_MIN}, {_quantile('_h', 0.5)}, NULL) AS hour_median")
+
+
+def _quantile(arr: str, q: float) -> str:
+    """Linearly interpolated quantile of a sorted, non-empty array, as SQL."""
+    pos = f"((size({arr}) - 1) * {q}D)"
+    lo, hi = f"element_at({arr}, int(floor({pos})) + 1)", f"element_at({arr}, int(ceil({pos})) + 1)"
+    return f"IF(size({arr}) = 0, NULL, {lo} + ({hi} - {lo}) * ({pos} - floor({pos})))"
 
 
 def confidence(mode: Column, n: Column) -> Column:

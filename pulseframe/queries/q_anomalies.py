@@ -145,7 +145,7 @@ WITH RECURSIVE hot AS (SELECT DISTINCT run_id, service FROM active WHERE level =
 reach AS (SELECT run_id, service AS a, service AS b FROM hot UNION
   SELECT r.run_id, r.a, h.service FROM reach r JOIN svc_edges e ON e.src = r.b OR e.dst = r.b
   JOIN hot h ON h.run_id = r.run_id AND h.service = CASE WHEN e.src = r.b THEN e.dst ELSE e.src END)
-SELECT a.run_id, a.anomaly_id, k.cluster_key FROM active a JOIN (SELECT run_id, a AS service, concat(run_id, '/', min(b)) AS cluster_key FROM reach GROUP BY ALL) k
+SELECT a.run_id, a.anomaly_id, k.cluster_key FROM active a JOIN (SELECT run_id, service, concat(run_id, '/', m) AS cluster_key FROM (SELECT run_id, a AS service, min(b) AS m FROM reach GROUP BY run_id, a)) k
   USING (run_id, service) WHERE a.level = 1 AND a.rule_id <> 'BIZ-06'""".replace("WITH RECURSIVE", "WITH"))
 def anomaly_clusters_induced(spark, d):
     """Components of the affected services only."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.policy import Policy
 from pulseframe.schemas import KEY
+from pulseframe.session import write_stage
 
 
 def read_points(
@@ -121,7 +122,8 @@ def write_points_if_changed(points: DataFrame, path: str, exists: bool) -> DataF
     if not exists:
         write_points(points, path)
         return points.select("dataset_id").distinct()
-    todo = changed_datasets(points, spark.read.parquet(path).select(*points.columns)).cache()
+    # decided and written down before the table changes under it
+    todo = write_stage(changed_datasets(points, spark.read.parquet(path).select(*points.columns)), "changed")
     if not todo.isEmpty():
         write_points(points.join(todo, "dataset_id", "left_semi"), path)
     return todo
