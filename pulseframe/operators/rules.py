@@ -12,7 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.functions import safe_ratio, seconds
 from pulseframe.operators import levels as L
 from pulseframe.operators import stats
 from pulseframe.operators.baseline import confidence

@@ -2,12 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from pulseframe.functions import seconds
 from pulseframe.operators import attribution as AT
 from pulseframe.operators import clusters as CL
 from pulseframe.operators import stats as S
 from pulseframe.queries import fixtures as X
-from pulseframe.queries.q_facts import _fmt  # noqa: F401
 from pulseframe.queries.q_rules import inspection
 from pulseframe.queries.q_stats import RK
 from pulseframe.queries.registry import query, rnd, values_sql, view

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from pulseframe.functions import bucket, seconds
 from pulseframe.operators import baseline as B
 from pulseframe.queries import fixtures as X
-from pulseframe.queries.q_stats import RK
 from pulseframe.queries.registry import query, rnd
 from pulseframe.schemas import KEY, METRIC_POINTS
 from pulseframe.session import write_stage
