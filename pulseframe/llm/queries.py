@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import simhash
+from pulseframe.llm import simhash, wordbpe
 from pulseframe.llm.common import table
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -21,3 +26,8 @@ def query(fn):
 @query
 def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_token_counts(spark, sf_dir):
+    return wordbpe.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
