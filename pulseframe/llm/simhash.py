@@ -141,12 +141,11 @@ def bucket_links(keys: DataFrame, words: list[str], radius: int) -> DataFrame:
         fp = np.stack([t[w].to_numpy().view(np.uint64) for w in words], axis=1)
         a, b = link_groups(ids, fp, radius)
         node = t["node"].to_numpy()
-        pairs = np.unique(np.stack([np.maximum(node[a], node[b]), np.minimum(node[a], node[b])], axis=1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-    return sorted_groups(cut, by, run, "a long, b long").distinct()
+        return pa.table({"a": pa.array(np.maximum(node[a], node[b]), pa.int64()), "b": pa.array(np.minimum(node[a], node[b]), pa.int64())})
+    return sorted_groups(cut, by, run, "a long, b long", rows=50_000).distinct()
 
 
-def link_groups(ids: np.ndarray, fp: np.ndarray, radius: int, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def link_groups(ids: np.ndarray, fp: np.ndarray, radius: int, small: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs that connect, in each group of equal `ids`, what its pairs within `radius` connect."""
     starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(ids)])))
@@ -159,6 +158,9 @@ def link_groups(ids: np.ndarray, fp: np.ndarray, radius: int, small: int = 64) -
         near = np.bitwise_count(fp[x] ^ fp[x + d]).sum(axis=1) <= radius
         left.append(x[near])
         right.append(x[near] + d)
+    if left:
+        left, right = spanning(np.concatenate(left), np.concatenate(right), len(ids))
+        left, right = [left], [right]
     for s, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist()):
         lab = link_block(fp[s:s + n], radius)
         x = np.flatnonzero(lab != np.arange(n))
@@ -168,6 +170,20 @@ def link_groups(ids: np.ndarray, fp: np.ndarray, radius: int, small: int = 64) -
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most n - 1 pairs that connect the same of n rows as the pairs (a, b)."""
+    lab = np.arange(n)
+    while True:
+        low = np.minimum(lab[a], lab[b])
+        if (low == np.maximum(lab[a], lab[b])).all():
+            break
+        np.minimum.at(lab, a, low)
+        np.minimum.at(lab, b, low)
+        lab = lab[lab]
+    x = np.flatnonzero(lab != np.arange(n))
+    return x, lab[x]
+
+
 def link_block(fp: np.ndarray, radius: int, rows: int = 256) -> np.ndarray:
     """For each row the first row that chains of rows within `radius` reach."""
     n = len(fp)
