@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import simhash, wordbpe
+from pulseframe.llm import idfile, simhash, wordbpe
 from pulseframe.llm.common import table
+from pulseframe.session import stage_root
 
 def vocabulary(name: str) -> str:
     import public_tokenizers
@@ -31,3 +33,10 @@ def op1_simhash(spark, sf_dir):
 @query
 def op3_token_counts(spark, sf_dir):
     return wordbpe.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op8_id_files(spark, sf_dir):
+    path = f"{stage_root(spark)}/id-files-{uuid.uuid4().hex}"
+    idfile.write_frames(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=1)
+    return idfile.read_frames(spark, path)
