@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import idfile, simhash, wordbpe
+from pulseframe.llm import idfile, neighbours, simhash, wordbpe
 from pulseframe.llm.common import table
 from pulseframe.session import stage_root
 
@@ -40,3 +40,8 @@ def op8_id_files(spark, sf_dir):
     path = f"{stage_root(spark)}/id-files-{uuid.uuid4().hex}"
     idfile.write_frames(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=1)
     return idfile.read_frames(spark, path)
+
+
+@query
+def op9_neighbours(spark, sf_dir):
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
