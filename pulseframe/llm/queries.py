@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import idfile, neighbours, simhash, wordbpe
+from pulseframe.llm import idfile, neighbours, quality, simhash, wordbpe
 from pulseframe.llm.common import table
 from pulseframe.session import stage_root
 
@@ -45,3 +45,8 @@ def op8_id_files(spark, sf_dir):
 @query
 def op9_neighbours(spark, sf_dir):
     return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_quality(spark, sf_dir):
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
