@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import idfile, neighbours, quality, simhash, wordbpe
+from pulseframe.llm import idfile, licences, neighbours, quality, simhash, wordbpe
 from pulseframe.llm.common import table
 from pulseframe.session import stage_root
 
@@ -50,3 +50,8 @@ def op9_neighbours(spark, sf_dir):
 @query
 def op10_quality(spark, sf_dir):
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_licences(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents"))
