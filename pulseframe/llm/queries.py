@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import idfile, licences, neighbours, quality, simhash, wordbpe
+from pulseframe.llm import extract, idfile, licences, neighbours, quality, simhash, wordbpe
 from pulseframe.llm.common import table
 from pulseframe.session import stage_root
 
@@ -55,3 +55,8 @@ def op10_quality(spark, sf_dir):
 @query
 def op6_licences(spark, sf_dir):
     return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_main_text(spark, sf_dir):
+    return extract.extract(table(spark, sf_dir, "pages"))
