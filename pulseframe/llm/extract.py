@@ -157,6 +157,9 @@ LABELLED = [
      [1, 1, 1, 1, 1, 1, 0, 1, 0, 0]),
     ("""<article><h1>A short walk</h1><p>We went up.</p><p>Then we came down again by the old road.</p><p>Fine.</p></article>""", [1, 1, 1, 1]),
     ("""<main><p>Only one line</p></main>""", [1]),
+    ("""<article><h1>The bridge</h1><p>They began in March with the two towers on the northern side of the river.</p><p>It was slow work.</p><p>Nobody complained</p></article>""", [1, 1, 1, 1]),
+    ("""<main><h1>On time</h1><p>We left early.</p><p>The road was empty, and by noon we stood in front of the gate and waited for the keys.</p></main>""", [1, 1, 1]),
+    ("""<article><p>It rained.</p><p>Still, all came.</p></article>""", [1, 1]),
     ("""<article><p>See <a href="/m">the map of all of the paths</a></p><p><a href="/more">More on this walk</a></p></article>""", [1, 1]),
     ("""<h1>The lake</h1><p>The lake froze early this year, and the ferry had to stop for the first time in many winters.</p>
         <p>People walk across it now, which the harbour master does not like to see at all, as he told us twice.</p>""", [1, 1, 1]),
