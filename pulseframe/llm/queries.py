@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import extract, idfile, licences, neighbours, quality, simhash, wordbpe
+from pulseframe.llm import extract, idfile, licences, neighbours, pieces, quality, simhash, wordbpe
 from pulseframe.llm.common import table
 from pulseframe.session import stage_root
 
@@ -60,3 +60,8 @@ def op6_licences(spark, sf_dir):
 @query
 def op2_main_text(spark, sf_dir):
     return extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_pieces(spark, sf_dir):
+    return pieces.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
