@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import extract, idfile, licences, neighbours, pieces, quality, simhash, wordbpe
+from pulseframe.llm import contamination, extract, idfile, licences, neighbours, pieces, quality, simhash, wordbpe
 from pulseframe.llm.common import table
 from pulseframe.session import stage_root
 
@@ -65,3 +65,8 @@ def op2_main_text(spark, sf_dir):
 @query
 def op4_pieces(spark, sf_dir):
     return pieces.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op5_contamination(spark, sf_dir):
+    return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
