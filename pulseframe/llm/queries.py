@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import contamination, extract, idfile, licences, neighbours, pieces, quality, simhash, wordbpe
+from pulseframe.llm import contamination, extract, idfile, licences, neighbours, pieces, quality, repeats, simhash, wordbpe
 from pulseframe.llm.common import table
 from pulseframe.session import stage_root
 
@@ -70,3 +70,8 @@ def op4_pieces(spark, sf_dir):
 @query
 def op5_contamination(spark, sf_dir):
     return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_repeats(spark, sf_dir):
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
