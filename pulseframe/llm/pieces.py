@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁"
 LITERAL = "\0" + SPACE  # stands for a U+2581 of the text: in no piece
@@ -119,7 +120,7 @@ def encoded(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 13, va
     """Add token_ids (array<int>) and decoded (the text that they decode to) to `docs`; columns of these names are replaced."""
     keep = [c for c in docs.columns if c not in ("token_ids", "decoded")]
     key = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(id_col).cast("long").alias("token_ids"), F.col(text_col).cast("string").alias("decoded"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("token_ids", "array<int>").add("decoded", "string")
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("token_ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
     def run(batches):
         pieces = Pieces(path, dropout, seed, variants)

@@ -75,3 +75,9 @@ def op5_contamination(spark, sf_dir):
 @query
 def op7_repeats(spark, sf_dir):
     return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def pipeline(spark, sf_dir):
+    from corpus_pipeline import run
+    return run(spark, sf_dir)

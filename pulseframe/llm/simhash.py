@@ -27,7 +27,7 @@ CHUNK = 4096
 #: Words of one text that are counted at a time: their sums fit 16 bits.
 WORDS = 50_000
 LANES = np.uint64(0x0001000100010001)
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+GOLDEN = 0x9E3779B97F4A7C15
 
 
 def shingle_hashes(texts: list[bytes], size: int):
@@ -67,7 +67,7 @@ def planes(h: np.ndarray, words: int) -> list[np.ndarray]:
     """`words` 64-bit hashes of each shingle: itself, then mixes of it."""
     out = [h]
     for i in range(1, words):
-        x = h + GOLDEN * np.uint64(i)
+        x = h + np.uint64(GOLDEN * i % 2**64)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         out.append(x ^ (x >> np.uint64(31)))
@@ -216,3 +216,93 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     low = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     ids = write_stage(nodes.join(low, "root").select("fp", "component_id"), "node-components")
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Classes of shingles with a fingerprint of their own, and shingles that a class has at the finer of two levels.
+CLASSES, CLASS_SIZE = 16, 6
+
+
+def class_fingerprints(texts: list[bytes], size: int, words: int):
+    """Fingerprints of the texts' distinct shingles, `words` 64-bit integers for each text,
+    and for each text its (level, class, fingerprint) triples.
+
+    A level of 2^level classes deals shingles by their hash; classes 0 to CLASSES - 1 have a
+    fingerprint. A text has the two levels around CLASS_SIZE shingles a class, so that texts
+    of nearly equal size share one.
+    """
+    parts = list(shingle_hashes(texts, size))
+    n = len(texts)
+    none = np.zeros(0, np.int64)
+    if not parts:
+        return np.zeros((n, words), np.uint64), none, none, none, none.view(np.uint64)
+    of, h = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.lexsort((h, of))
+    of, h = of[order], h[order]
+    new = np.concatenate(([True], (of[1:] != of[:-1]) | (h[1:] != h[:-1])))
+    of, h = of[new], h[new]
+    wide = np.zeros((n, words), np.uint64)
+    count = np.bincount(of, minlength=n)
+    at = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    for w, x in enumerate(planes(h, words)):
+        wide[of[at], w] = grouped_majority(x, at)
+    level = np.floor(np.log2(np.maximum(count / CLASS_SIZE, 1))).astype(np.int64)
+    out = []
+    mixed = planes(h, words + 1)[words]
+    for up in (0, 1):
+        lv = level[of] + up
+        cls = (mixed & ((np.uint64(1) << lv.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+        on = np.flatnonzero(cls < CLASSES)
+        on = on[np.lexsort((cls[on], of[on]))]
+        edge = np.flatnonzero(np.concatenate(([True], (of[on][1:] != of[on][:-1]) | (cls[on][1:] != cls[on][:-1]))))
+        first = on[edge]
+        out.append((of[first], lv[first], cls[first], grouped_majority(h[on], edge)))
+    return wide, *(np.concatenate(x) for x in zip(*out))
+
+
+def grouped_majority(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Fingerprints of the groups of hashes that begin at `at`."""
+    size = np.diff(np.concatenate((at, [len(h)])))
+    bits = np.zeros((len(at), 64), bool)
+    for j in range(64):
+        bits[:, j] = 2 * np.add.reduceat((h >> np.uint64(j)) & np.uint64(1), at).astype(np.int64) > size
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def bits_apart(similarity: float, bits: int) -> int:
+    """Differing bits of fingerprints of sets of that Jaccard similarity, with one standard deviation."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(bits * p + np.sqrt(bits * p * (1 - p))))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
+                radius: int = 3) -> DataFrame:
+    """doc_id, component_id of every row: texts whose distinct shingles are about as similar as `similarity`, or linked by such.
+
+    A text has a wide fingerprint of 256 bits over its shingles. Candidates are texts whose
+    first 64 bits meet in a covering table (every pair within `radius`), or that agree in
+    the fingerprint of a class of shingles, which pairs of that similarity nearly always
+    do in one of CLASSES. Candidates link if their wide fingerprints differ in no more bits
+    than `similarity` makes them differ on average, and a standard deviation. Texts of equal
+    wide fingerprints are one node; a null id counts for no component_id.
+    """
+    words = ["w0", "w1", "w2", "w3"]
+
+    def run(batch):
+        wide, of, level, cls, fp = class_fingerprints(list(utf8_texts(batch.column(1))), shingle, 4)
+        entry = pa.StructArray.from_arrays([pa.array(100 + level * CLASSES + cls, pa.int32()), pa.array(fp.view(np.int64))], ["table_no", "bucket"])
+        order = np.argsort(of, kind="stable")
+        ends = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(wide)))))
+        subs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entry.take(pa.array(order)))
+        return pa.table([batch.column(0), *(pa.array(wide[:, i].view(np.int64)) for i in range(4)), subs], names=["doc_id", *words, "subs"])
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    fps = map_rows(own, run, f"doc_id long, {', '.join(w + ' long' for w in words)}, subs array<struct<table_no int, bucket long>>")
+    fps = write_stage(fps.withColumn("node", F.xxhash64(*words)), "wide-fingerprints")
+    nodes = write_stage(fps.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.min(w).alias(w) for w in words],
+                                                F.min(F.struct("doc_id", "subs")).alias("m")), "wide-nodes")
+    keys = covering_keys(nodes, radius, *words[1:]).unionByName(
+        nodes.select(F.explode("m.subs").alias("e"), "node", *words).select("e.table_no", "e.bucket", "node", *words))
+    links = bucket_links(keys, words, bits_apart(similarity, 256))
+    roots = write_stage(components(links), "wide-roots")
+    nodes = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    low = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return fps.select("doc_id", "node").join(nodes.join(low, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
