@@ -182,7 +182,7 @@ def quality_report(points: DataFrame, issues: DataFrame, g: int, expected_bucket
         F.coalesce(F.sum("ni"), F.lit(0)).alias("interpolated"), F.min("t0").alias("t0"), F.max("t1").alias("t1"))
     buckets = expected_buckets if expected_buckets is not None else (
         F.floor((seconds(F.col("t1")) - seconds(F.col("t0"))) / g) + 1)
-    n_issues = issues.agg(F.least(F.coalesce(F.sum("issues"), F.lit(0)), F.lit(200)).cast("long").alias("issue_count"))
+    n_issues = issues.agg(F.coalesce(F.sum("issues"), F.lit(0)).cast("long").alias("issue_count"))
     rep = total.crossJoin(n_issues).withColumn(
         "expected_points", (F.col("series") * F.greatest(F.lit(1), F.coalesce(buckets, F.lit(0)))).cast("long"))
     missing = F.coalesce(F.try_divide(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,20 +12,20 @@ RECURRENCE = 0.6
 
 
 # ------------------------------------------------------------------ similar clusters
-def recent_clusters(clusters: DataFrame, runs: DataFrame, run_id: str, limit: int = 200) -> DataFrame:
-    """History one run may compare with: the latest clusters of recorded runs, except those
-    that looked at the same window (reruns are not recurrences).
+def recent_clusters(clusters: DataFrame, runs: DataFrame, run_id: str, since: Column | None = None) -> DataFrame:
+    """History one run may compare with: the clusters of recorded runs, except those that
+    looked at the same window (reruns are not recurrences); from `since` on, if given.
 
-    clusters: run_id, cluster_id, signature, created_at. `limit` is the history's depth.
+    clusters: run_id, cluster_id, signature, created_at.
     """
     me = runs.where(F.col("run_id") == run_id).select("window_end")
     same = runs.join(me, "window_end", "left_semi").select("run_id")
     h = clusters.join(runs.select("run_id"), "run_id", "left_semi").join(same, "run_id", "left_anti").where(F.col("run_id") != run_id)
-    return h.orderBy(F.desc("created_at"), "run_id", "cluster_id").limit(limit)
+    return h if since is None else h.where(F.col("created_at") >= since)
 
 
 def jaccard_matches(
-    clusters: DataFrame, history: DataFrame, runs: DataFrame, k: int | None = 3, earlier_only: bool = True,
+    clusters: DataFrame, history: DataFrame, runs: DataFrame, k: int | None, earlier_only: bool = True,
 ) -> DataFrame:
     """Signature similarity of each cluster to clusters of other windows, best k per cluster.
 
@@ -103,13 +103,13 @@ def score_trend(runs: DataFrame, scores: DataFrame, per_scenario: bool = False)
         "run_id", "prev_run_id", d.alias("delta"), F.when(d > 1.0, "up").when(d < -1.0, "down").otherwise("flat").alias("trend"))
 
 
-def score_history(runs: DataFrame, scores: DataFrame, limit: int = 12) -> DataFrame:
+def score_history(runs: DataFrame, scores: DataFrame, limit: int) -> DataFrame:
     """Latest scored runs, oldest first. `limit` is the length of the trend shown."""
     j = runs.join(scores.where("total IS NOT NULL").select("run_id", "total"), "run_id")
     return j.orderBy(F.desc("started_at"), F.desc("run_id")).limit(limit).orderBy("started_at", "run_id")
 
 
-def latest_runs(runs: DataFrame, n: int = 20) -> DataFrame:
+def latest_runs(runs: DataFrame, n: int) -> DataFrame:
     return runs.orderBy(F.desc("started_at"), F.desc("run_id")).limit(n)
 
 
@@ -132,8 +132,8 @@ def report_payload(runs: DataFrame, scores: DataFrame, counts: DataFrame, cluste
     return j.select("run_id", F.to_json(body).alias("payload"))
 
 
-def alert_payload(anomalies: DataFrame, scores: DataFrame, conclusions: DataFrame, max_level: int = 2, lines: int = 10) -> DataFrame:
-    """Alert text of each run with urgent active anomalies: its worst ten and the leading cause."""
+def alert_payload(anomalies: DataFrame, scores: DataFrame, conclusions: DataFrame, lines: int, max_level: int = 2) -> DataFrame:
+    """Alert text of each run with urgent active anomalies: how many there are, the worst `lines` of them, the leading cause."""
     urgent = anomalies.where(~F.col("is_suppressed") & (F.col("level") <= max_level))
     w = W.partitionBy("run_id").orderBy("level", F.desc("deviation_score"), "anomaly_id")
     top = urgent.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= lines)
@@ -143,7 +143,8 @@ def alert_payload(anomalies: DataFrame, scores: DataFrame, conclusions: DataFram
         duration_text("duration_min"))
     body = top.groupBy("run_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_i", line.alias("t")))), lambda x: x["t"]).alias("lines"))
+    count = urgent.groupBy("run_id").agg(F.count("*").alias("urgent"))
     cause = conclusions.groupBy("run_id").agg(F.min_by("category", "cluster_id").alias("cause"))
-    j = body.join(scores.select("run_id", "total", "grade"), "run_id", "left").join(cause, "run_id", "left")
+    j = body.join(count, "run_id").join(scores.select("run_id", "total", "grade"), "run_id", "left").join(cause, "run_id", "left")
     title = F.concat(F.lit("score "), fmt("total", 1), F.lit(" ("), F.coalesce("grade", F.lit("-")), F.lit(")"))
-    return j.select("run_id", title.alias("title"), F.array_join("lines", "\n").alias("text"), F.coalesce("cause", F.lit("unknown")).alias("cause"))
+    return j.select("run_id", "urgent", title.alias("title"), F.array_join("lines", "\n").alias("text"), F.coalesce("cause", F.lit("unknown")).alias("cause"))

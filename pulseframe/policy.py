@@ -304,8 +304,7 @@ class Policy:
     def series_dim(self, spark: SparkSession) -> DataFrame:
         """Everything the policy says about a (service, metric), resolved once on the driver.
 
-        Small policies become a literal table; a policy of thousands of services is written to
-        the stage folder, so joins are planned by its true size either way.
+        It is written to the stage folder, so joins are planned by its true size.
         """
         cols = [("service", "string"), ("metric", "string"), ("unit", "string"), ("label", "string"), ("hib", "boolean"),
                 ("red_min", "double"), ("red_max", "double"), ("default_max", "double"), ("slo", "double"),
@@ -318,8 +317,6 @@ class Policy:
                 objective = {**self.slo, **s.slo}.get(SLO_FIELD.get(m))
                 rows.append((s.name, m, unit, label, hib, _f(line.get("min")), _f(line.get("max")), _f(default.get("max")),
                              _f(objective), float(s.criticality), s.owner or "unassigned", len(s.instances)))
-        if len(rows) <= 2000:
-            return literal_table(spark, cols, rows)
         return write_stage(spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in cols)), "series-policy")
 
     def generic_levels(self, spark: SparkSession, rule_ids: list[str] | None = None) -> DataFrame:

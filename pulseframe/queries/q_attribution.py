@@ -111,7 +111,7 @@ def run_summary(spark, d):
 @query("evidence_bundle", f"""
 SELECT run_id, cluster_id, CAST(item AS INT) AS item, anomaly_id, level, samples, p50, trend FROM (
   SELECT g.*, c.cluster_id, row_number() OVER (PARTITION BY g.run_id, c.cluster_id ORDER BY (g.anomaly_id = c.pid) DESC, g.level, g.deviation_score DESC, g.anomaly_id) AS item
-  FROM grp0 g JOIN clus c USING (run_id, cluster_key)) x LEFT JOIN (SELECT {RK}, samples, rnd(p50, 2) AS p50, trend FROM dig) d USING ({RK}) WHERE item <= 40""")
+  FROM grp0 g JOIN clus c USING (run_id, cluster_key)) x LEFT JOIN (SELECT {RK}, samples, rnd(p50, 2) AS p50, trend FROM dig) d USING ({RK})""")
 def evidence_bundle(spark, d):
     from pulseframe.operators.windows import assign_windows
     i = inspection(spark, d)

@@ -160,7 +160,7 @@ def quality_issue_counts(spark, d):
 @query("quality_report", f"""
 WITH s AS (SELECT count(DISTINCT (service, instance, metric)) AS series, count(*) AS total, count(*) FILTER (interpolated) AS ip,
   (max(t) - min(t)) // {G} + 1 AS buckets FROM filled),
-i AS (SELECT least(200, count(*)) AS issue_count FROM gap WHERE missing > 3),
+i AS (SELECT count(*) AS issue_count FROM gap WHERE missing > 3),
 r AS (SELECT CAST(series AS BIGINT) AS series, CAST(total AS BIGINT) AS total_points, CAST(series * buckets AS BIGINT) AS expected_points,
   rnd(greatest(0, series * buckets - total) / CAST(series * buckets AS DOUBLE), 6) AS missing_ratio,
   rnd(ip / CAST(total AS DOUBLE), 6) AS interpolated_ratio, CAST(issue_count AS BIGINT) AS issue_count FROM s, i)

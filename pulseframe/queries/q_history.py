@@ -44,7 +44,7 @@ SELECT run_id, cluster_id, match_run, match_cluster, rnd(similarity, 6) AS simil
   SELECT *, row_number() OVER (PARTITION BY run_id, cluster_id ORDER BY similarity DESC, match_run, match_cluster) AS rank FROM sim) WHERE rank <= 3""")
 def jaccard_matches(spark, d):
     s = signatures(inspection(spark, d))
-    return H.jaccard_matches(s, s, X.windows(spark)).withColumn("similarity", rnd("similarity", 6))
+    return H.jaccard_matches(s, s, X.windows(spark), k=3).withColumn("similarity", rnd("similarity", 6))
 
 
 @query("recurrence", "SELECT * FROM recur")
@@ -63,7 +63,7 @@ def sync_recurrence(spark, d):
 
 
 @query("recent_clusters", """
-SELECT run_id, cluster_id, signature FROM sigs WHERE run_id <> 'run-4' ORDER BY created DESC, run_id, cluster_id LIMIT 20""")
+SELECT run_id, cluster_id, signature FROM sigs WHERE run_id <> 'run-4'""")
 def recent_clusters(spark, d):
     """With a rerun of the same window and clusters without a run in the history: neither counts."""
     s = signatures(inspection(spark, d))
@@ -71,7 +71,7 @@ def recent_clusters(spark, d):
     rerun = r.where("run_id = 'run-4'").withColumn("run_id", F.lit("rerun-4"))
     h = s.unionByName(s.where("run_id = 'run-4'").withColumn("run_id", F.lit("rerun-4"))).unionByName(
         s.where("run_id = 'run-1'").withColumn("run_id", F.lit("ghost")))
-    return H.recent_clusters(h, r.unionByName(rerun), "run-4", 20).select("run_id", "cluster_id", "signature")
+    return H.recent_clusters(h, r.unionByName(rerun), "run-4").select("run_id", "cluster_id", "signature")
 
 
 # ------------------------------------------------------------------ runs
@@ -161,12 +161,13 @@ def _dur(c):
 
 @query("alert_payload", f"""
 WITH u AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY level, deviation_score DESC, anomaly_id) AS i FROM active WHERE level <= 2),
-l AS (SELECT run_id, string_agg(concat('P', level, ' ', service, '/', instance, ' ', metric, ' ', {_fmt('observed')}, ' (baseline ', coalesce({_fmt('baseline_value')}, '-'), '), ', {_dur('duration_min')}), chr(10) ORDER BY i) AS text FROM u WHERE i <= 10 GROUP BY run_id)
-SELECT l.run_id, concat('score ', {_fmt('t.total', 1)}, ' (', t.grade, ')') AS title, l.text, coalesce(c.cause, 'unknown') AS cause
-FROM l JOIN totals t USING (run_id) LEFT JOIN (SELECT run_id, arg_min(category, cluster_id) AS cause FROM attr GROUP BY run_id) c USING (run_id)""")
+l AS (SELECT run_id, string_agg(concat('P', level, ' ', service, '/', instance, ' ', metric, ' ', {_fmt('observed')}, ' (baseline ', coalesce({_fmt('baseline_value')}, '-'), '), ', {_dur('duration_min')}), chr(10) ORDER BY i) AS text FROM u WHERE i <= 10 GROUP BY run_id),
+n AS (SELECT run_id, CAST(count(*) AS BIGINT) AS urgent FROM u GROUP BY run_id)
+SELECT l.run_id, n.urgent, concat('score ', {_fmt('t.total', 1)}, ' (', t.grade, ')') AS title, l.text, coalesce(c.cause, 'unknown') AS cause
+FROM l JOIN n USING (run_id) JOIN totals t USING (run_id) LEFT JOIN (SELECT run_id, arg_min(category, cluster_id) AS cause FROM attr GROUP BY run_id) c USING (run_id)""")
 def alert_payload(spark, d):
     i = inspection(spark, d)
-    return H.alert_payload(i.anomalies, i.score, conclusions(spark, d, i))
+    return H.alert_payload(i.anomalies, i.score, conclusions(spark, d, i), lines=10)
 
 
 # ------------------------------------------------------------------ labelled evaluation

@@ -30,9 +30,9 @@ DATASETS = "(SELECT 'wide' AS dataset_id, * FROM points UNION ALL SELECT 'sparse
 
 
 @query("series_explode", f"""
-SELECT service, instance, metric, t AS ts_s, rnd(value, 4) AS value FROM sparse WHERE t >= {T0} AND t < {T1}""")
+SELECT service, instance, metric, t AS ts_s, rnd(value, 4) AS value FROM sparse WHERE t >= {T0 + 7} AND t < {T1 + 7}""")
 def series_explode(spark, d):
-    p = S.explode_series(_compact(spark, d), _ts(T0), _ts(T1))
+    p = S.explode_series(_compact(spark, d), _ts(T0 + 7), _ts(T1 + 7))
     return p.select("service", "instance", "metric", seconds(F.col("ts")).alias("ts_s"), rnd("value").alias("value"))
 
 
@@ -117,11 +117,12 @@ def dataset_counts(spark, d):
 SELECT dataset_id, CAST(count(*) AS BIGINT) AS points, min(t) AS start_s, max(t) AS end_s, TRUE AS stable FROM {DATASETS} GROUP BY dataset_id""")
 def dataset_fingerprint(spark, d):
     p = _datasets(spark, d)
-    # the hash itself is engine-specific: show that it ignores row order and layout
-    again = P.fingerprint(p.repartition(7, "ts")).select("dataset_id", F.col("value_hash").alias("_h"))
-    return P.fingerprint(p).join(again, "dataset_id").select(
+    # the hashes are engine-specific: show that other values change them, and that rows that stand twice do not cancel
+    other = P.fingerprint(p.withColumn("value", F.col("value") + 1)).select("dataset_id", F.col("value_hash").alias("_h"))
+    twice = P.fingerprint(p.unionByName(p)).select("dataset_id", F.col("value_sum").alias("_s"))
+    return P.fingerprint(p).join(other, "dataset_id").join(twice, "dataset_id").select(
         "dataset_id", "points", seconds(F.col("start_ts")).alias("start_s"), seconds(F.col("end_ts")).alias("end_s"),
-        (F.col("value_hash") == F.col("_h")).alias("stable"))
+        ((F.col("value_hash") != F.col("_h")) & (F.col("_s") == 2 * F.col("value_sum"))).alias("stable"))
 
 
 @query("store_totals", """
@@ -154,14 +155,14 @@ def change_events(spark, d):
 
 @query("changes_visible", """
 SELECT w.run_id, c.change_id, c.service, c.t AS ts_s FROM windows w JOIN chg c
-  ON c.t >= w.we - 86400 AND c.t <= w.we AND (c.scenario_id IS NULL OR c.scenario_id = w.scenario_id)""")
+  ON c.t >= w.we - 86400 AND c.t < w.we AND (c.scenario_id IS NULL OR c.scenario_id = w.scenario_id)""")
 def changes_visible(spark, d):
     return C.visible_per_run(X.changes(spark, d), X.windows(spark)).select(
         "run_id", "change_id", "service", seconds(F.col("ts")).alias("ts_s"))
 
 
 @query("changes_in_scenario", f"""
-SELECT change_id, service, t AS ts_s FROM chg WHERE (scenario_id IS NULL OR scenario_id = 'A') AND t >= {T0} AND t <= {T1}""")
+SELECT change_id, service, t AS ts_s FROM chg WHERE (scenario_id IS NULL OR scenario_id = 'A') AND t >= {T0} AND t < {T1}""")
 def changes_in_scenario(spark, d):
     return C.visible(X.changes(spark, d), "A", _ts(T0), _ts(T1)).select("change_id", "service", seconds(F.col("ts")).alias("ts_s"))
 

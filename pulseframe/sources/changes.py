@@ -16,13 +16,13 @@ def change_events(specs: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def visible(changes: DataFrame, scenario: str | None = None, start: Column | None = None, end: Column | None = None) -> DataFrame:
-    """Changes in [start, end]; with a scenario, its own and the background ones, else all."""
+    """Changes in [start, end); with a scenario, its own and the background ones, else all."""
     if scenario:
         changes = changes.where(F.col("scenario_id").isNull() | (F.col("scenario_id") == scenario))
     if start is not None:
         changes = changes.where(F.col("ts") >= start)
     if end is not None:
-        changes = changes.where(F.col("ts") <= end)
+        changes = changes.where(F.col("ts") < end)
     return changes
 
 
@@ -36,6 +36,6 @@ def visible_per_run(changes: DataFrame, windows: DataFrame, hours: int = 24) ->
         "_b", F.explode(F.sequence(F.floor((F.unix_seconds("window_end") - span) / span), F.floor(F.unix_seconds("window_end") / span))))
     c = changes.withColumn("_b", F.floor(F.unix_seconds("ts") / span))
     j = c.join(w, "_b").where(
-        (F.col("ts") >= F.timestamp_seconds(F.unix_seconds("window_end") - span)) & (F.col("ts") <= F.col("window_end")))
+        (F.col("ts") >= F.timestamp_seconds(F.unix_seconds("window_end") - span)) & (F.col("ts") < F.col("window_end")))
     mine = F.col("_scenario").isNull() | F.col("scenario_id").isNull() | (F.col("scenario_id") == F.col("_scenario"))
     return j.where(mine).drop("_b", "_scenario", "window_end")

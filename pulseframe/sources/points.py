@@ -81,16 +81,16 @@ def dataset_counts(points: DataFrame) -> DataFrame:
 
 
 def fingerprint(points: DataFrame, keys: tuple[str, ...] = ("dataset_id",)) -> DataFrame:
-    """Count, range and an order-independent hash of all values, per dataset."""
+    """Count, range and order-independent hashes of all values, per dataset: equal rows cancel in the xor but not in the sum."""
     row = F.xxhash64(*KEY, "ts", "value")
     return points.groupBy(*keys).agg(
         F.count("*").alias("points"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"),
-        F.bit_xor(row).alias("value_hash"))
+        F.bit_xor(row).alias("value_hash"), F.sum(row.cast("decimal(38,0)")).alias("value_sum"))
 
 
 def changed_datasets(new: DataFrame, stored: DataFrame) -> DataFrame:
     """Datasets of `new` whose fingerprint differs from the stored one, or that are not stored."""
-    cols = ["dataset_id", "points", "start_ts", "end_ts", "value_hash"]
+    cols = ["dataset_id", "points", "start_ts", "end_ts", "value_hash", "value_sum"]
     return fingerprint(new).select(*cols).exceptAll(fingerprint(stored).select(*cols)).select("dataset_id")
 
 
@@ -104,16 +104,36 @@ def replace_partitions(df: DataFrame, path: str, by: tuple[str, ...]) -> None:
     """Replace exactly the partitions present in `df`.
 
     The option is set on this write, so it holds whatever the session default. Rows are
-    spread by partition and a hash of their content, so a hot partition is written by many
-    tasks and none opens every folder.
+    rebalanced by partition: Spark splits a hot one by its size and joins small ones.
     """
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(16))
-    (df.repartition(*by, spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*by).parquet(path))
 
 
-def write_points(points: DataFrame, path: str) -> None:
-    replace_partitions(points.withColumn("date", F.to_date("ts")), path, ("dataset_id", "date"))
+def replace_keys(df: DataFrame, path: str, by: tuple[str, ...], keys: DataFrame) -> None:
+    """Replace all that is stored under `keys` (values of by[0]) by `df`, which has no other keys.
+
+    Partitions of these keys that `df` does not fill are removed after the write, so a
+    dataset of fewer dates or a run without rows leaves nothing old behind. Only the names
+    of such folders reach the driver.
+    """
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stale = []
+    if fs.exists(at):
+        stored = spark.read.parquet(path).select(*by).distinct().join(keys.select(by[0]).distinct(), by[0], "left_semi")
+        stale = stored.join(df.select(*by).distinct(), list(by), "left_anti").select(*[F.col(c).cast("string") for c in by]).collect()
+    replace_partitions(df, path, by)
+    for row in stale:
+        folder = "/".join(f"{c}={v}" for c, v in zip(by, row))
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}"), True)
+
+
+def write_points(points: DataFrame, path: str, datasets: DataFrame | None = None) -> None:
+    """Replace whole datasets: those of `datasets`, else those present in `points`."""
+    points = points.withColumn("date", F.to_date("ts"))
+    replace_keys(points, path, ("dataset_id", "date"), points if datasets is None else datasets)
 
 
 def write_points_if_changed(points: DataFrame, path: str, exists: bool) -> DataFrame:
@@ -125,5 +145,5 @@ def write_points_if_changed(points: DataFrame, path: str, exists: bool) -> DataF
     # decided and written down before the table changes under it
     todo = write_stage(changed_datasets(points, spark.read.parquet(path).select(*points.columns)), "changed")
     if not todo.isEmpty():
-        write_points(points.join(todo, "dataset_id", "left_semi"), path)
+        write_points(points.join(todo, "dataset_id", "left_semi"), path, todo)
     return todo

@@ -19,15 +19,17 @@ def read_series_files(spark: SparkSession, path: str) -> DataFrame:
 def explode_series(series: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
     """Compact series -> points in [start, end); null buckets are skipped.
 
-    Arrays are cut to the range before they are exploded, so rows outside it never exist.
+    Arrays are cut to the buckets that meet the range before they are exploded; of the
+    first and last bucket the exact bounds decide.
     """
-    if start is not None or end is not None:
-        series = slice_series(series, start, end)
+    last = None if end is None else F.timestamp_seconds(seconds(end) + F.col("step_seconds") - 1)
+    series = slice_series(series, start, last)
     carry = [c for c in series.columns if c not in ("values", "start_epoch", "step_seconds")]
     p = series.select(*carry, "start_epoch", "step_seconds", F.posexplode("values").alias("_pos", "value"))
     return p.where("value IS NOT NULL").withColumn(
         "ts", F.timestamp_seconds(F.col("start_epoch") + F.col("_pos") * F.col("step_seconds"))
-    ).drop("start_epoch", "step_seconds", "_pos")
+    ).where((F.lit(True) if start is None else F.col("ts") >= start) & (F.lit(True) if end is None else F.col("ts") < end)
+            ).drop("start_epoch", "step_seconds", "_pos")
 
 
 def slice_series(series: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:

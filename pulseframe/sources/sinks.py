@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from pulseframe.sources.points import replace_partitions
+from pulseframe.sources.points import replace_keys
 
 
-def write_run_outputs(df: DataFrame, path: str) -> None:
-    """Replace the rows of the runs present in `df`, leaving other runs untouched."""
-    replace_partitions(df, path, ("run_id",))
+def write_run_outputs(df: DataFrame, path: str, runs: DataFrame | None = None) -> None:
+    """Replace the rows of `runs` (run_id), else of the runs present in `df`; other runs stay untouched.
+
+    A rerun without rows leaves none if it is named in `runs`.
+    """
+    replace_keys(df, path, ("run_id",), df if runs is None else runs)
 
 
 def write_alerts(alerts: DataFrame, path: str) -> None:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulseframe.functions import bucket
 from pulseframe.schemas import KEY
-from pulseframe.session import stage_root
+from pulseframe.session import stage_root, write_stage
 
 
 def merge_buckets(points: DataFrame, g: int, late: str) -> DataFrame:
@@ -91,13 +92,28 @@ def run_available(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/data")
 
 
-def upsert_available(df: DataFrame, path: str, by: str) -> DataFrame:
-    """Process everything that has arrived with foreachBatch, each batch replacing the
-    partitions `by` it touches, so a repeated batch leaves the same table."""
+def with_open(emitted: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """What a stream has emitted, and of the same operator over the whole bounded input what it has not:
+    the windows that were still open when the input ended."""
+    return emitted.unionByName(batch.join(emitted.select(*keys), keys, "left_anti").select(*emitted.columns))
+
+
+def upsert_available(df: DataFrame, path: str, by: str, keys: list[str]) -> DataFrame:
+    """Process everything that has arrived with foreachBatch: rows of a batch replace the
+    stored rows of equal `keys`, the others stay. Only the partitions `by` that a batch
+    touches are read and written, and a repeated batch leaves the same table."""
     from pulseframe.sources.points import replace_partitions
 
     def write(batch: DataFrame, _: int) -> None:
-        replace_partitions(batch, f"{path}/data", (by,))
+        spark = batch.sparkSession
+        batch = write_stage(batch, "batch")
+        try:
+            stored = spark.read.schema(df.schema).parquet(f"{path}/data")
+        except AnalysisException:  # the first batch
+            stored = batch.limit(0)
+        touched = stored.join(batch.select(by).distinct(), by, "left_semi").select(*batch.columns)
+        merged = write_stage(touched.join(batch.select(*keys).distinct(), keys, "left_anti").unionByName(batch), "merged")
+        replace_partitions(merged, f"{path}/data", (by,))
 
     q = (df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/_progress")
          .trigger(availableNow=True).start())

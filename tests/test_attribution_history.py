@@ -83,10 +83,10 @@ def test_jaccard_values_and_scope(spark):
     cur = sig(spark, ("now", "c", "a&b"))
     hist = sig(spark, ("r1", "x", "a&b"), ("r2", "x", "b&c"), ("r3", "x", "c&d"), ("same", "x", "a&b"))
     w = windows(spark, ("now", 100), ("r1", 10), ("r2", 20), ("r3", 30), ("same", 100))
-    m = {r.match_run: r.similarity for r in H.jaccard_matches(cur, hist, w).collect()}
+    m = {r.match_run: r.similarity for r in H.jaccard_matches(cur, hist, w, k=3).collect()}
     assert m == {"r1": 1.0, "r2": pytest.approx(1 / 3)}
     assert H.recurrence(cur, H.jaccard_matches(cur, hist, w, k=None)).first().is_recurring
-    only_same = H.jaccard_matches(cur, hist.where("run_id = 'same'"), w)
+    only_same = H.jaccard_matches(cur, hist.where("run_id = 'same'"), w, k=3)
     assert not H.recurrence(cur, only_same).first().is_recurring
 
 

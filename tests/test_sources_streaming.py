@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from pulseframe.schemas import METRIC_POINTS
+from pulseframe.schemas import KEY, METRIC_POINTS
 from pulseframe.sources import points as P
 from pulseframe.sources import series_files as SF
 from pulseframe.sources import sinks
@@ -22,6 +22,8 @@ def test_series_file_round_trip(spark, tmp_path):
     assert [(r.ts.timestamp(), r.value) for r in p.orderBy("ts").collect()] == [(600, 1.0), (720, 3.0), (780, 4.0)]
     cut = SF.explode_series(s, F.timestamp_seconds(F.lit(700)), F.timestamp_seconds(F.lit(780)))
     assert [r.value for r in cut.collect()] == [3.0]
+    off = SF.explode_series(s, F.timestamp_seconds(F.lit(661)), F.timestamp_seconds(F.lit(750)))
+    assert [r.value for r in off.collect()] == [3.0]
     assert SF.compact_series(p, 60).first()["values"] == [1.0, None, 3.0, 4.0]
     early = SF.slice_series(s, F.timestamp_seconds(F.lit(0)), F.timestamp_seconds(F.lit(100))).first()
     assert early["values"] == [] and early.start_epoch == 600
@@ -32,13 +34,42 @@ def test_points_table_is_replaced_per_dataset_and_prunes(spark, tmp_path):
     a = points(spark, rows("qps", [1.0] * 10)).withColumn("dataset_id", F.lit("a"))
     b = points(spark, rows("qps", [2.0] * 5)).withColumn("dataset_id", F.lit("b"))
     P.write_points(a.unionByName(b), path)
-    P.write_points(b.limit(3), path)
+    later = b.withColumn("ts", F.col("ts") + F.expr("INTERVAL 3 DAYS"))
+    P.write_points(b.unionByName(later), path)
+    P.write_points(b.limit(3), path)  # fewer dates than before
     counts = {r.dataset_id: r.points for r in P.manifest(spark.read.parquet(path)).collect()}
     assert counts == {"a": 10, "b": 3}
     plan = P.read_points(spark, path, datasets=["a"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "dataset_id" in plan.split("PartitionFilters")[1][:80]
 
 
+def test_a_rerun_without_rows_leaves_none(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    df = spark.createDataFrame([("r1", 1), ("r2", 2)], "run_id string, x int")
+    sinks.write_run_outputs(df, path)
+    sinks.write_run_outputs(df.limit(0), path, df.where("run_id = 'r1'"))
+    assert [r.run_id for r in spark.read.parquet(path).collect()] == ["r2"]
+
+
+def test_doubled_rows_do_not_cancel_in_the_fingerprint(spark):
+    a = points(spark, rows("qps", [1.0, 2.0])).withColumn("dataset_id", F.lit("a"))
+    b = points(spark, rows("qps", [5.0, 7.0])).withColumn("dataset_id", F.lit("a"))
+    assert P.changed_datasets(a.unionByName(a), b.unionByName(b)).count() == 1
+
+
+def test_an_upsert_keeps_other_series(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def go():
+        s = spark.readStream.schema(METRIC_POINTS).parquet(src)
+        return ST.upsert_available(s.withColumn("part", F.lit("p")), out, "part", [*KEY, "ts"])
+
+    _land(points(spark, rows("qps", [1.0], end=END)), src)
+    go()
+    _land(points(spark, rows("cpu_usage", [2.0], end=END)), src)
+    assert {r.metric for r in go().collect()} == {"qps", "cpu_usage"}
+
+
 def test_write_if_changed_sees_values(spark, tmp_path):
     path = str(tmp_path / "points")
     a = points(spark, rows("qps", [1.0, 2.0, 3.0])).withColumn("dataset_id", F.lit("a"))
@@ -68,7 +99,7 @@ def test_breach_runs_carry_over_batches(spark, tmp_path):
     def go():
         s = spark.readStream.schema(METRIC_POINTS).parquet(src)
         df = ST.breach_runs(s, F.col("value") > 5).withColumn("part", F.col("metric"))
-        return ST.upsert_available(df, out, "part").first()
+        return ST.upsert_available(df, out, "part", KEY).first()
 
     _land(first, src)
     assert go().longest == 2
