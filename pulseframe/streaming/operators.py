@@ -94,7 +94,12 @@ def run_available(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
 
 def with_open(emitted: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """What a stream has emitted, and of the same operator over the whole bounded input what it has not:
-    the windows that were still open when the input ended."""
+    the windows that were still open when the input ended.
+
+    The batch result is written first: an anti-join on a session's start must not move below
+    the step that merges sessions.
+    """
+    batch = write_stage(batch, "whole-input")
     return emitted.unionByName(batch.join(emitted.select(*keys), keys, "left_anti").select(*emitted.columns))
 
 
