@@ -38,12 +38,6 @@ def render(template: str, values: dict[str, str]) -> Column:
     return F.expr(out)
 
 
-def truncate(c: Column, limit: int = 120) -> Column:
-    text = F.trim(F.regexp_replace(c, r"\s+", " "))
-    return F.when(F.length(text) <= limit, text).otherwise(
-        F.concat(F.substring(text, 1, limit - 1), F.lit("…")))
-
-
 def duration_text(minutes: str) -> Column:
     return F.expr(
         f"CASE WHEN {minutes} < 1 THEN concat(string(floor({minutes} * 60)), 's') "

@@ -121,91 +121,115 @@ class Service:
     slo: dict[str, float] = field(default_factory=dict)
 
 
-def _levels(*rows: tuple[int, dict, str]) -> list[Level]:
-    return [Level(*r) for r in rows]
+#: what a condition says in a reason, by its key
+CONDITION_TEXTS = {
+    "drop_points": "{drop} points lower than the usual {baseline}",
+    "rise_points": "{rise} points higher than the usual {baseline}",
+    "multiplier": "{multiplier} times the usual {baseline}",
+    "down_pct": "{deviation}% less than the usual {baseline}",
+    "deviation_pct": "{deviation}% less than the usual {baseline}",
+    "value": "limit {threshold}",
+    "cv": "varies by {cv} of its mean",
+    "ratio": "ratio {ratio}",
+    "slope_pct_per_hour": "changes by {slope}% an hour",
+    "z_score": "outside its usual range around {baseline}",
+    "below_slo": "objective {slo}",
+    "duration_minutes": "lasting {duration} min",
+}
+
+
+def _levels(name: str, subject: str, *rows) -> list[Level]:
+    """Levels whose reasons are put together from the rule's name, its subject and its conditions.
+
+    A text before the levels (a forecast) takes the place of the limit.
+    """
+    texts = dict(CONDITION_TEXTS)
+    if rows and isinstance(rows[0], str):
+        texts["value"], rows = rows[0], rows[1:]
+    return [Level(level, when, "; ".join([f"{name}: {subject}", *(texts[k] for k in when if k in texts)])) for level, when in rows]
 
 
 # ---- fixed values: the sixteen rules and their level thresholds ----
 RULES = [
-    Rule("BIZ-01", "success rate drop", "business", "generic", {"metric": "success_rate", "min_samples": 5}, _levels(
-        (1, {"drop_points": 5.0, "duration_minutes": 3}, "success rate {observed}, {drop} points under baseline {baseline} for {duration} min"),
-        (2, {"drop_points": 2.0, "duration_minutes": 2}, "success rate {observed}, {drop} points under baseline {baseline}"),
-        (3, {"drop_points": 0.5}, "success rate {observed}, slightly down by {drop} points"),
-        (4, {"below_slo": True, "duration_minutes": 2}, "success rate {observed} under its objective {slo} for {duration} min"))),
-    Rule("BIZ-02", "business error rate rise", "business", "generic", {"metric": "business_error_rate"}, _levels(
-        (1, {"rise_points": 8.0, "duration_minutes": 3}, "business error rate {observed}, {rise} points over baseline {baseline} for {duration} min"),
-        (2, {"rise_points": 3.0, "duration_minutes": 2}, "business error rate {observed}, {rise} points over baseline {baseline}"),
-        (3, {"rise_points": 1.0}, "business error rate {observed}, up by {rise} points"),
-        (4, {"rise_points": 0.5}, "business error rate {observed} is rising"))),
-    Rule("BIZ-03", "traffic surge", "business", "generic", {"metric": "qps", "direction": "up"}, _levels(
-        (1, {"multiplier": 5.0, "duration_minutes": 5}, "QPS {observed} is {multiplier}x baseline {baseline} for {duration} min"),
-        (2, {"multiplier": 3.0, "duration_minutes": 3}, "QPS {observed} is {multiplier}x baseline {baseline}"),
-        (3, {"multiplier": 2.0}, "QPS {observed} doubled ({multiplier}x)"),
-        (4, {"z_score": 4.0}, "QPS {observed} is {z} robust deviations over baseline"))),
-    Rule("BIZ-04", "traffic drop", "business", "generic", {"metric": "qps", "direction": "down"}, _levels(
-        (1, {"down_pct": 80.0, "duration_minutes": 3}, "QPS {observed} fell {deviation}% from baseline {baseline}, nearly cut off"),
-        (2, {"down_pct": 50.0, "duration_minutes": 2}, "QPS {observed} fell {deviation}% from baseline {baseline}"),
-        (3, {"down_pct": 30.0}, "QPS {observed} fell {deviation}%"),
-        (4, {"z_score": 4.0}, "QPS {observed} is {z} robust deviations under baseline"))),
-    Rule("BIZ-05", "error surge", "business", "generic", {"metric": "error_count"}, _levels(
-        (1, {"multiplier": 10.0, "min_absolute": 500.0}, "errors {observed} reached {multiplier}x baseline {baseline}"),
-        (2, {"multiplier": 5.0, "min_absolute": 200.0}, "errors {observed} reached {multiplier}x baseline"),
-        (3, {"multiplier": 3.0, "min_absolute": 50.0}, "errors {observed} rose to {multiplier}x baseline"),
-        (4, {"multiplier": 2.0, "min_absolute": 20.0}, "errors {observed} doubled"))),
-    Rule("BIZ-06", "dependency chain health", "link", "chain", {"health_metric": "success_rate", "min_path_length": 2}, _levels(
-        (1, {"deviation_pct": 7.0}, "chain {path} health {observed} (baseline {baseline}), down {deviation}%, weakest {instance}, chain unusable"),
-        (2, {"deviation_pct": 3.0}, "chain {path} health {observed} (baseline {baseline}), down {deviation}%, weakest {instance}"),
-        (3, {"deviation_pct": 1.0}, "chain health {observed}, down {deviation}% from baseline"),
-        (4, {"deviation_pct": 0.3}, "chain health {observed} slightly under baseline ({deviation}%)"))),
-    Rule("PERF-01", "P99 latency over limit", "performance", "generic", {"metric": "latency_p99"}, _levels(
-        (1, {"value": 3000.0, "duration_minutes": 3}, "P99 {observed} over the {threshold}ms line for {duration} min"),
-        (2, {"value": 1500.0, "duration_minutes": 2}, "P99 {observed} well over the {threshold}ms line"),
-        (3, {"value": 800.0}, "P99 {observed} over the {threshold}ms line"),
-        (4, {"value": 760.0}, "P99 {observed} near the {threshold}ms line"))),
-    Rule("PERF-02", "P95 latency over limit", "performance", "generic", {"metric": "latency_p95"}, _levels(
-        (1, {"value": 1000.0, "duration_minutes": 3}, "P95 {observed} over the {threshold}ms line for {duration} min"),
-        (2, {"value": 500.0, "duration_minutes": 2}, "P95 {observed} well over the {threshold}ms line"),
-        (3, {"value": 300.0}, "P95 {observed} over the {threshold}ms line"),
-        (4, {"value": 285.0}, "P95 {observed} near the {threshold}ms line"))),
-    Rule("PERF-03", "latency jitter", "performance", "generic", {"metric": "latency_p99", "min_samples": 5}, _levels(
-        (1, {"cv": 1.0, "value": 800.0}, "P99 jitter severe (CV={cv}), peak {observed}"),
-        (2, {"cv": 0.6, "value": 500.0}, "P99 jitter clear (CV={cv}), peak {observed}"),
-        (3, {"cv": 0.4}, "P99 jitter high (CV={cv})"),
-        (4, {"cv": 0.25}, "P99 jitter slightly up (CV={cv})"))),
-    Rule("PERF-04", "long tail", "performance", "long_tail", {"numerator": "latency_p99", "denominator": "latency_p50"}, _levels(
-        (1, {"ratio": 20.0, "ratio_rise_pct": 200.0}, "P99/P50 reached {ratio} (baseline {baseline}), tail far worse"),
-        (2, {"ratio": 12.0, "ratio_rise_pct": 100.0}, "P99/P50 reached {ratio}, tail clearly worse"),
-        (3, {"ratio": 8.0, "ratio_rise_pct": 50.0}, "P99/P50 rose to {ratio}"),
-        (4, {"ratio": 6.0}, "P99/P50 is {ratio}, over the healthy range"))),
-    Rule("PERF-05", "latency trend", "performance", "trend", {"metric": "latency_p99", "min_samples": 8, "min_t_stat": 3.0, "min_r2": 0.5}, _levels(
-        (1, {"slope_pct_per_hour": 60.0}, "P99 climbs {slope}% per hour and will break its line within the hour"),
-        (2, {"slope_pct_per_hour": 30.0}, "P99 keeps climbing ({slope}% per hour)"),
-        (3, {"slope_pct_per_hour": 15.0}, "P99 trends up ({slope}% per hour)"),
-        (4, {"slope_pct_per_hour": 8.0}, "P99 creeps up ({slope}% per hour)"))),
-    Rule("RES-01", "CPU high", "resource", "generic", {"metric": "cpu_usage"}, _levels(
-        (1, {"value": 95.0, "duration_minutes": 5}, "CPU {observed} for {duration} min, nearly exhausted"),
-        (2, {"value": 90.0, "duration_minutes": 3}, "CPU {observed} high for {duration} min"),
-        (3, {"value": 85.0}, "CPU {observed} over the {threshold}% line"),
-        (4, {"z_score": 4.0}, "CPU {observed} far from baseline {baseline}"))),
-    Rule("RES-02", "memory high", "resource", "generic", {"metric": "mem_usage"}, _levels(
-        (1, {"value": 95.0, "duration_minutes": 5}, "memory {observed}, one step from exhaustion"),
-        (2, {"value": 90.0, "duration_minutes": 3}, "memory {observed} stays high"),
-        (3, {"value": 85.0}, "memory {observed} over the {threshold}% line"),
-        (4, {"z_score": 4.0}, "memory {observed} far from baseline {baseline}"))),
-    Rule("RES-03", "memory growth", "resource", "trend", {"metric": "mem_usage", "lookback_hours": 24, "min_samples": 20, "min_t_stat": 3.0, "min_r2": 0.6}, _levels(
-        (1, {"slope_pct_per_hour": 3.0, "value": 80.0}, "memory grows {slope}% per hour over {samples} samples, now {observed}; {forecast}"),
-        (2, {"slope_pct_per_hour": 1.5, "value": 70.0}, "memory keeps growing ({slope}% per hour), now {observed}; {forecast}"),
-        (3, {"slope_pct_per_hour": 0.8}, "memory grows steadily ({slope}% per hour), check for a leak"),
-        (4, {"slope_pct_per_hour": 0.4}, "memory creeps up ({slope}% per hour)"))),
-    Rule("RES-04", "connections exhausted", "resource", "generic", {"metric": "conn_usage"}, _levels(
-        (1, {"value": 95.0, "duration_minutes": 3}, "connection pool {observed}, new requests will be refused"),
-        (2, {"value": 90.0, "duration_minutes": 2}, "connection pool {observed} stays high"),
-        (3, {"value": 80.0}, "connection pool {observed} over the {threshold}% line"),
-        (4, {"z_score": 4.0}, "connection pool {observed} far from baseline {baseline}"))),
-    Rule("RES-05", "instance skew", "resource", "skew", {"metrics": ["cpu_usage", "mem_usage", "conn_usage", "latency_p99"], "min_instances": 2}, _levels(
-        (2, {"ratio": 3.0, "value": 80.0}, "{metric} of {instance} is {ratio}x its service median ({observed})"),
-        (3, {"ratio": 1.8}, "{metric} of {instance} is {ratio}x its service median"),
-        (4, {"ratio": 1.5}, "{metric} of {instance} is slightly over its siblings ({ratio}x)"))),
+    Rule("BIZ-01", "success rate drop", "business", "generic", {"metric": "success_rate", "min_samples": 5}, _levels("success rate drop", "{observed}",
+        (1, {"drop_points": 5.0, "duration_minutes": 3}),
+        (2, {"drop_points": 2.0, "duration_minutes": 2}),
+        (3, {"drop_points": 0.5}),
+        (4, {"below_slo": True, "duration_minutes": 2}))),
+    Rule("BIZ-02", "business error rate rise", "business", "generic", {"metric": "business_error_rate"}, _levels("business error rate rise", "{observed}",
+        (1, {"rise_points": 8.0, "duration_minutes": 3}),
+        (2, {"rise_points": 3.0, "duration_minutes": 2}),
+        (3, {"rise_points": 1.0}),
+        (4, {"rise_points": 0.5}))),
+    Rule("BIZ-03", "traffic surge", "business", "generic", {"metric": "qps", "direction": "up"}, _levels("traffic surge", "{observed}",
+        (1, {"multiplier": 5.0, "duration_minutes": 5}),
+        (2, {"multiplier": 3.0, "duration_minutes": 3}),
+        (3, {"multiplier": 2.0}),
+        (4, {"z_score": 4.0}))),
+    Rule("BIZ-04", "traffic drop", "business", "generic", {"metric": "qps", "direction": "down"}, _levels("traffic drop", "{observed}",
+        (1, {"down_pct": 80.0, "duration_minutes": 3}),
+        (2, {"down_pct": 50.0, "duration_minutes": 2}),
+        (3, {"down_pct": 30.0}),
+        (4, {"z_score": 4.0}))),
+    Rule("BIZ-05", "error surge", "business", "generic", {"metric": "error_count"}, _levels("error surge", "{observed}",
+        (1, {"multiplier": 10.0, "min_absolute": 500.0}),
+        (2, {"multiplier": 5.0, "min_absolute": 200.0}),
+        (3, {"multiplier": 3.0, "min_absolute": 50.0}),
+        (4, {"multiplier": 2.0, "min_absolute": 20.0}))),
+    Rule("BIZ-06", "dependency chain health", "link", "chain", {"health_metric": "success_rate", "min_path_length": 2}, _levels("dependency chain health", "{path} at {observed}, weakest {instance}",
+        (1, {"deviation_pct": 7.0}),
+        (2, {"deviation_pct": 3.0}),
+        (3, {"deviation_pct": 1.0}),
+        (4, {"deviation_pct": 0.3}))),
+    Rule("PERF-01", "P99 latency over limit", "performance", "generic", {"metric": "latency_p99"}, _levels("P99 latency over limit", "{observed}",
+        (1, {"value": 3000.0, "duration_minutes": 3}),
+        (2, {"value": 1500.0, "duration_minutes": 2}),
+        (3, {"value": 800.0}),
+        (4, {"value": 760.0}))),
+    Rule("PERF-02", "P95 latency over limit", "performance", "generic", {"metric": "latency_p95"}, _levels("P95 latency over limit", "{observed}",
+        (1, {"value": 1000.0, "duration_minutes": 3}),
+        (2, {"value": 500.0, "duration_minutes": 2}),
+        (3, {"value": 300.0}),
+        (4, {"value": 285.0}))),
+    Rule("PERF-03", "latency jitter", "performance", "generic", {"metric": "latency_p99", "min_samples": 5}, _levels("latency jitter", "{observed}",
+        (1, {"cv": 1.0, "value": 800.0}),
+        (2, {"cv": 0.6, "value": 500.0}),
+        (3, {"cv": 0.4}),
+        (4, {"cv": 0.25}))),
+    Rule("PERF-04", "long tail", "performance", "long_tail", {"numerator": "latency_p99", "denominator": "latency_p50"}, _levels("long tail", "{observed}",
+        (1, {"ratio": 20.0, "ratio_rise_pct": 200.0}),
+        (2, {"ratio": 12.0, "ratio_rise_pct": 100.0}),
+        (3, {"ratio": 8.0, "ratio_rise_pct": 50.0}),
+        (4, {"ratio": 6.0}))),
+    Rule("PERF-05", "latency trend", "performance", "trend", {"metric": "latency_p99", "min_samples": 8, "min_t_stat": 3.0, "min_r2": 0.5}, _levels("latency trend", "{observed}",
+        (1, {"slope_pct_per_hour": 60.0}),
+        (2, {"slope_pct_per_hour": 30.0}),
+        (3, {"slope_pct_per_hour": 15.0}),
+        (4, {"slope_pct_per_hour": 8.0}))),
+    Rule("RES-01", "CPU high", "resource", "generic", {"metric": "cpu_usage"}, _levels("CPU high", "{observed}",
+        (1, {"value": 95.0, "duration_minutes": 5}),
+        (2, {"value": 90.0, "duration_minutes": 3}),
+        (3, {"value": 85.0}),
+        (4, {"z_score": 4.0}))),
+    Rule("RES-02", "memory high", "resource", "generic", {"metric": "mem_usage"}, _levels("memory high", "{observed}",
+        (1, {"value": 95.0, "duration_minutes": 5}),
+        (2, {"value": 90.0, "duration_minutes": 3}),
+        (3, {"value": 85.0}),
+        (4, {"z_score": 4.0}))),
+    Rule("RES-03", "memory growth", "resource", "trend", {"metric": "mem_usage", "lookback_hours": 24, "min_samples": 20, "min_t_stat": 3.0, "min_r2": 0.6}, _levels("memory growth", "{observed}", "{forecast}",
+        (1, {"slope_pct_per_hour": 3.0, "value": 80.0}),
+        (2, {"slope_pct_per_hour": 1.5, "value": 70.0}),
+        (3, {"slope_pct_per_hour": 0.8}),
+        (4, {"slope_pct_per_hour": 0.4}))),
+    Rule("RES-04", "connections exhausted", "resource", "generic", {"metric": "conn_usage"}, _levels("connections exhausted", "{observed}",
+        (1, {"value": 95.0, "duration_minutes": 3}),
+        (2, {"value": 90.0, "duration_minutes": 2}),
+        (3, {"value": 80.0}),
+        (4, {"z_score": 4.0}))),
+    Rule("RES-05", "instance skew", "resource", "skew", {"metrics": ["cpu_usage", "mem_usage", "conn_usage", "latency_p99"], "min_instances": 2}, _levels("instance skew", "{metric} of {instance} at {observed}",
+        (2, {"ratio": 3.0, "value": 80.0}),
+        (3, {"ratio": 1.8}),
+        (4, {"ratio": 1.5}))),
 ]
 
 
@@ -355,27 +379,13 @@ def _f(v):
 
 
 def default_policy() -> Policy:
-    """Eight services in five groups with the shipped objectives and red lines (fixed values)."""
+    """A small example: a shop front over a cart, a ledger and a stock database."""
     return Policy(
         services=[
-            Service("gateway", ["gateway-0", "gateway-1", "gateway-2"], ["order-svc", "user-svc"], "trade", "entry",
-                    criticality=1.0, slo={"latency_p99_ms": 500.0, "latency_p95_ms": 200.0}),
-            Service("order-svc", ["order-svc-0", "order-svc-1", "order-svc-2"], ["payment-svc", "inventory-svc"], "trade", "core",
-                    criticality=1.0),
-            Service("payment-svc", ["payment-svc-0", "payment-svc-1"], ["bank-channel"], "payment", "core",
-                    criticality=1.0, slo={"latency_p99_ms": 1200.0}),
-            Service("inventory-svc", ["inventory-svc-0", "inventory-svc-1"], ["mysql-order"], "supply", "core", criticality=0.8),
-            Service("user-svc", ["user-svc-0", "user-svc-1"], ["redis-session"], "user", "general", criticality=0.6),
-            Service("bank-channel", ["bank-channel-0"], [], "external", "external", True, 1.0),
-            Service("mysql-order", ["mysql-order-0"], [], "external", "external", True, 0.8),
-            Service("redis-session", ["redis-session-0"], [], "external", "external", True, 0.6),
+            Service("front", ["front-0", "front-1"], ["cart", "ledger"], "shop", "entry", criticality=1.0, slo={"latency_p99_ms": 450.0}),
+            Service("cart", ["cart-0", "cart-1"], ["stock-db"], "shop", "core", criticality=0.9),
+            Service("ledger", ["ledger-0"], [], "money", "core", criticality=1.0),
+            Service("stock-db", ["stock-db-0"], [], "outside", "external", True, 0.7),
         ],
-        threshold_overrides={
-            "gateway": {"latency_p99": {"max": 500.0}, "latency_p95": {"max": 200.0}},
-            "order-svc": {"latency_p99": {"max": 900.0}},
-            "payment-svc": {"latency_p99": {"max": 1200.0}, "latency_p95": {"max": 400.0}},
-            "bank-channel": {"latency_p99": {"max": 1500.0}, "latency_p95": {"max": 460.0}, "conn_usage": {"max": 85.0}},
-            "mysql-order": {"conn_usage": {"max": 85.0}, "cpu_usage": {"max": 90.0}},
-        },
-        tz="Asia/Shanghai",
+        threshold_overrides={"front": {"latency_p99": {"max": 450.0}}, "stock-db": {"conn_usage": {"max": 88.0}}},
     )

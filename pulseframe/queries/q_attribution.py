@@ -77,16 +77,16 @@ def attribution_confidence(spark, d):
     return conclusions(spark, d, inspection(spark, d)).select("run_id", "cluster_id", "category", "confidence")
 
 
-_HOT = "Instances are close to exhausted: size for this peak plus 30% before the next one"
+_HOT = "This peak used nearly all there is: plan a third more for the next"
 
 
 @query("suggestions", f"""
-SELECT run_id, cluster_id, concat(CASE category WHEN 'dependency_failure' THEN concat('Check what ', ps, ' depends on and its connection use')
-  WHEN 'resource_bottleneck' THEN concat('Take ', pi, ' out and watch whether the level falls') WHEN 'change_induced' THEN concat('Roll back the latest change of ', ps)
-  WHEN 'code_defect' THEN concat('Pull error logs and stacks of ', ps) WHEN 'traffic_fluctuation' THEN 'Compare capacity and rate limits with the traffic'
-  WHEN 'capacity_config' THEN concat('Compare load across the instances of ', ps) ELSE 'Add logs and traces, then inspect again' END, ' | ',
+SELECT run_id, cluster_id, concat(CASE category WHEN 'dependency_failure' THEN concat('See which dependency of ', ps, ' answers slowly or not at all')
+  WHEN 'resource_bottleneck' THEN concat('Move load away from ', pi, ', and see if it recovers') WHEN 'change_induced' THEN concat('Undo the last change to ', ps)
+  WHEN 'code_defect' THEN concat('List the failing calls of ', ps) WHEN 'traffic_fluctuation' THEN 'Measure how much of the load can be served'
+  WHEN 'capacity_config' THEN concat('Line up the instances of ', ps) ELSE 'Record more signals and look again' END, ' | ',
   CASE WHEN category = 'traffic_fluctuation' AND (list_contains(rules, 'RES-01') OR list_contains(rules, 'RES-02') OR list_contains(rules, 'RES-04')) THEN '{_HOT} | ' ELSE '' END,
-  playbook, ' | Add an alert and a prepared response for ', pm) AS suggestions,
+  playbook, ' | Watch from now on: ', pm) AS suggestions,
   CASE WHEN len(services) = 1 THEN concat(ps, ': ', pm, ' only, no spread')
     ELSE concat(len(services), ' services (', array_to_string(list_filter(services, lambda x: x <> ps), ', '), '), ', size, ' signals') END AS impact
 FROM attr JOIN playbook USING (category)""")

@@ -35,17 +35,6 @@ SERIES_FILE = T.StructType([
     ]))),
 ])
 
-CHANGE_SPECS = T.StructType([
-    T.StructField("change_id", T.StringType()),
-    T.StructField("scenario", T.StringType()),
-    T.StructField("minutes_before_end", T.DoubleType()),
-    T.StructField("service", T.StringType()),
-    T.StructField("type", T.StringType()),
-    T.StructField("version", T.StringType()),
-    T.StructField("operator", T.StringType()),
-    T.StructField("description", T.StringType()),
-])
-
 #: columns every rule emits, in this order
 FINDING_COLS = [
     "run_id", "rule_id", "dimension", "service", "instance", "metric", "level",
