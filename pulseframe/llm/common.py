@@ -18,12 +18,19 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    """Apply `fn` to each Arrow batch of `df`."""
+def pieces_of(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about `size` bytes, a row at least: what numpy holds at a time stays small."""
+    rows = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table], schema: str) -> DataFrame:
+    """Apply `fn` to the rows of `df`, a few megabytes at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch).to_batches()
+            for piece in pieces_of(batch):
+                yield from fn(piece).to_batches()
     return df.mapInArrow(run, schema)
 
 
@@ -42,9 +49,7 @@ def sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Ta
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         n = 0
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
             held.append(batch)
             n += batch.num_rows
             if n < rows:
