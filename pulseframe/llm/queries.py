@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import contamination, extract, idfile, licences, neighbours, pieces, quality, repeats, simhash, wordbpe
+from pulseframe.llm import contamination, extract, idfile, licences, neighbours, oracles, pieces, quality, repeats, simhash, wordbpe
 from pulseframe.llm.common import table
 from pulseframe.session import stage_root
 
@@ -17,7 +17,7 @@ def vocabulary(name: str) -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_licences": oracles.licences_sql(), "op7_repeats": oracles.REPEATS_SQL}
 
 
 def query(fn):
