@@ -115,17 +115,28 @@ def evidence(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFr
     return featured(own, toxic).select("doc_id", "host", "lang", score(good).alias("quality"), score(bad).alias("toxicity"))
 
 
-def shrunk(rows: DataFrame, by: list[str], above: str, value: str, out: str) -> DataFrame:
-    """`by` and `out`: the posterior mean of `value` of each group, shrunk toward the column `above`."""
-    groups = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.avg(above).alias("up"),
-                                   F.coalesce(F.var_pop(value), F.lit(0.0)).alias("v"))
+def moments(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """`by`, n, m, v: rows, mean and variance of `value` of each group."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_pop(value), F.lit(0.0)).alias("v"))
+
+
+def together(groups: DataFrame, by: list[str]) -> DataFrame:
+    """Moments of coarser groups from those of finer ones."""
+    n = F.sum("n")
+    mean = F.sum(F.col("n") * F.col("m")) / n
+    square = F.sum(F.col("n") * (F.col("v") + F.col("m") * F.col("m"))) / n
+    return groups.groupBy(*by).agg(n.alias("n"), mean.alias("m"), F.greatest(F.lit(0.0), square - mean * mean).alias("v"))
+
+
+def shrunk(groups: DataFrame, out: str) -> DataFrame:
+    """Groups (n, m, v, up) with `out`, the posterior of their mean m, shrunk toward up; the moments go."""
     s = groups.agg(F.sum("n").alias("all"), F.count("*").alias("g"), F.sum(F.col("n") * F.col("v")).alias("within"),
                    F.sum(F.col("n") * F.pow(F.col("m") - F.col("up"), 2)).alias("between"), F.sum(F.col("n") * F.col("n")).alias("sq")).first()
     total, g = s["all"] or 0, s["g"] or 0
     inside = (s["within"] or 0.0) / max(1, total - g)
     spread = ((s["between"] or 0.0) - (g - 1) * inside) / max(1e-9, total - (s["sq"] or 0) / max(1, total))
     post = F.col("up") if spread <= 0 else (F.col("n") * F.col("m") + (inside / spread) * F.col("up")) / (F.col("n") + inside / spread)
-    return groups.select(*by, post.alias(out))
+    return groups.withColumn(out, post).drop("n", "m", "v", "up")
 
 
 def logit(c) -> F.Column:
@@ -140,9 +151,10 @@ def judged(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: float =
     out = rows
     for value, name in (("quality", "p_quality"), ("toxicity", "p_toxic")):
         mean = F.lit(float(means[value] if means[value] is not None else 0.5))
-        host = shrunk(rows.withColumn("up", mean), ["host"], "up", value, f"{value}_host")
-        path = shrunk(rows.join(host, "host"), ["host", "lang"], f"{value}_host", value, f"{value}_path")
-        out = out.join(host, "host").join(path, ["host", "lang"])
+        paths = write_stage(moments(rows, ["host", "lang"], value), "paths")
+        host = shrunk(together(paths, ["host"]).withColumn("up", mean), f"{value}_host")
+        path = shrunk(paths.join(host, "host").withColumn("up", F.col(f"{value}_host")), f"{value}_path")
+        out = out.join(write_stage(path, "path-posteriors"), ["host", "lang"])
         out = out.withColumn(name, 1 / (1 + F.exp(-(logit(F.col(value)) + logit(F.col(f"{value}_path")) - logit(mean)))))
     keep = (F.col("p_quality") >= least) & (F.col("p_toxic") < most)
     return out.select("doc_id", "host", "lang", "quality", "toxicity", "quality_host", "quality_path", "toxicity_host", "toxicity_path",

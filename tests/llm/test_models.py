@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pulseframe.llm import neighbours, quality
 from tests.llm.conftest import text
@@ -71,8 +72,12 @@ def test_quality_on_held_out_rows(spark):
 def test_sparse_sites_shrink_to_what_is_above(spark):
     rng = random.Random(1)
     rows = [("a", 0.9 + 0.05 * rng.random(), 0.5) for _ in range(200)] + [("b", 0.1 + 0.05 * rng.random(), 0.5) for _ in range(200)] + [("c", 0.95, 0.5)]
-    df = spark.createDataFrame(rows, "host string, p double, up double")
-    got = {r.host: r.m for r in quality.shrunk(df, ["host"], "up", "p", "m").collect()}
+    df = spark.createDataFrame([(h, h + str(i % 3), p) for i, (h, p, _) in enumerate(rows)], "host string, path string, p double")
+    fine = quality.moments(df, ["host", "path"], "p")
+    groups = quality.together(fine, ["host"]).withColumn("up", F.lit(0.5))
+    same = {r.host: (r.n, round(r.m, 9), round(r.v, 9)) for r in quality.moments(df, ["host"], "p").collect()}
+    assert {r.host: (r.n, round(r.m, 9), round(r.v, 9)) for r in groups.collect()} == same
+    got = {r.host: r.m2 for r in quality.shrunk(groups, "m2").collect()}
     assert abs(got["a"] - 0.925) < 0.01 and abs(got["b"] - 0.125) < 0.01 and 0.5 < got["c"] <= 0.95
 
 
