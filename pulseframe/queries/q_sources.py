@@ -8,6 +8,8 @@ from pulseframe.queries.registry import query, rnd
 from pulseframe.sources import changes as C
 from pulseframe.sources import points as P
 from pulseframe.sources import series_files as S
+from pulseframe.sources import sinks
+from pulseframe.streaming.operators import fresh_path
 
 T0, T1 = X.DAY0 + 10 * X.DAY, X.DAY0 + 20 * X.DAY
 
@@ -190,3 +192,41 @@ SELECT event_id, concat('run-', strftime(make_timestamp((t + 8 * 3600) * 1000000
 def run_id_text_q(spark, d):
     scen = F.when(F.col("event_id") % 2 == 0, F.col("event_type"))
     return X.events(spark, d).select("event_id", run_id_text(F.col("ts"), scen, "Asia/Shanghai").alias("run_id"))
+
+
+# ------------------------------------------------------------------ tables that are written, rewritten and read back
+@query("replace_dataset", f"""
+SELECT dataset_id, CAST(count(*) AS BIGINT) AS points, min(t) AS start_s, max(t) AS end_s, rnd(sum(value), 3) AS total
+FROM {DATASETS} WHERE dataset_id = 'wide' OR t < {T1} GROUP BY dataset_id""")
+def replace_dataset(spark, d):
+    """The second write of one dataset has fewer dates than the first."""
+    path, p = fresh_path(spark, "replaced"), _datasets(spark, d)
+    P.write_points(p, path)
+    P.write_points(p.where((F.col("dataset_id") == "sparse") & (F.col("ts") < _ts(T1))), path)
+    return P.read_points(spark, path).groupBy("dataset_id").agg(
+        F.count("*").alias("points"), seconds(F.min("ts")).alias("start_s"), seconds(F.max("ts")).alias("end_s"), rnd(F.sum("value"), 3).alias("total"))
+
+
+@query("write_if_changed", f"""
+SELECT dataset_id, dataset_id = 'sparse' AS written, rnd(sum(value + CASE WHEN dataset_id = 'sparse' THEN 1 ELSE 0 END), 3) AS total
+FROM {DATASETS} GROUP BY dataset_id""")
+def write_if_changed(spark, d):
+    """Of two stored datasets one comes again with other values: only that one is written."""
+    path, p = fresh_path(spark, "if-changed"), _datasets(spark, d)
+    P.write_points_if_changed(p, path, exists=False)
+    again = p.withColumn("value", F.col("value") + F.when(F.col("dataset_id") == "sparse", 1.0).otherwise(0.0))
+    written = P.write_points_if_changed(again, path, exists=True).withColumn("_w", F.lit(True))
+    total = P.read_points(spark, path).groupBy("dataset_id").agg(rnd(F.sum("value"), 3).alias("total"))
+    return total.join(written, "dataset_id", "left").select("dataset_id", F.coalesce("_w", F.lit(False)).alias("written"), "total")
+
+
+@query("replace_run_outputs", """
+SELECT w.run_id, c.change_id FROM windows w JOIN chg c
+  ON c.t >= w.we - 86400 AND c.t < w.we AND (c.scenario_id IS NULL OR c.scenario_id = w.scenario_id) WHERE w.run_id <> 'run-3'""")
+def replace_run_outputs(spark, d):
+    """A rerun of one run finds nothing: its earlier rows go, the other runs stay."""
+    path = fresh_path(spark, "run-outputs")
+    rows = C.visible_per_run(X.changes(spark, d), X.windows(spark)).select("run_id", "change_id")
+    sinks.write_run_outputs(rows, path)
+    sinks.write_run_outputs(rows.limit(0), path, X.windows(spark).where("run_id = 'run-3'"))
+    return spark.read.parquet(path).select("run_id", "change_id")
