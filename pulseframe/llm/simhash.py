@@ -219,43 +219,58 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: Classes of shingles with a fingerprint of their own, and shingles that a class has at the finer of two levels.
-CLASSES, CLASS_SIZE = 16, 6
+CLASSES, CLASS_SIZE = 16, 3
+#: Texts of at most so many shingles meet by single shingles instead of classes.
+FEW = 64
+#: Shingles of a group's texts that are compared in one task.
+CHUNK_SHINGLES = 1 << 21
 
 
-def class_fingerprints(texts: list[bytes], size: int, words: int):
-    """Fingerprints of the texts' distinct shingles, `words` 64-bit integers for each text,
-    and for each text its (level, class, fingerprint) triples.
-
-    A level of 2^level classes deals shingles by their hash; classes 0 to CLASSES - 1 have a
-    fingerprint. A text has the two levels around CLASS_SIZE shingles a class, so that texts
-    of nearly equal size share one.
-    """
+def distinct_shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text numbers, hashes) of the texts' distinct shingles, in that order."""
     parts = list(shingle_hashes(texts, size))
-    n = len(texts)
-    none = np.zeros(0, np.int64)
     if not parts:
-        return np.zeros((n, words), np.uint64), none, none, none, none.view(np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     of, h = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.lexsort((h, of))
     of, h = of[order], h[order]
     new = np.concatenate(([True], (of[1:] != of[:-1]) | (h[1:] != h[:-1])))
-    of, h = of[new], h[new]
+    return of[new], h[new]
+
+
+def class_fingerprints(of: np.ndarray, h: np.ndarray, n: int, words: int, similarity: float):
+    """For `n` texts of these distinct shingles: fingerprints, `words` 64-bit integers for each
+    text, and (text, table, key) triples of where texts of that similarity meet.
+
+    A text of over FEW shingles meets others by classes. A level of 2^level classes deals
+    shingles by their hash; classes 0 to CLASSES - 1 have a fingerprint. A text has the two
+    levels around CLASS_SIZE shingles a class, so that texts of nearly equal size share one.
+    A short text has as keys its smallest shingle hashes, one more than may be missing in a
+    text of that similarity: every such pair shares one. Texts up to FEW / similarity shingles
+    have these keys too, as a short text can be like them.
+    """
+    none = np.zeros(0, np.int64)
     wide = np.zeros((n, words), np.uint64)
+    if not len(of):
+        return wide, none, none, none.view(np.uint64)
     count = np.bincount(of, minlength=n)
     at = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
     for w, x in enumerate(planes(h, words)):
         wide[of[at], w] = grouped_majority(x, at)
     level = np.floor(np.log2(np.maximum(count / CLASS_SIZE, 1))).astype(np.int64)
-    out = []
+    place = np.arange(len(of)) - np.repeat(at, np.diff(np.concatenate((at, [len(of)]))))
+    keys = np.flatnonzero((count[of] <= FEW / similarity) & (place <= count[of] - np.ceil(similarity * count[of] - 1e-9)))
+    out = [(of[keys], np.full(len(keys), 99), h[keys])]
     mixed = planes(h, words + 1)[words]
     for up in (0, 1):
         lv = level[of] + up
         cls = (mixed & ((np.uint64(1) << lv.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
-        on = np.flatnonzero(cls < CLASSES)
-        on = on[np.lexsort((cls[on], of[on]))]
-        edge = np.flatnonzero(np.concatenate(([True], (of[on][1:] != of[on][:-1]) | (cls[on][1:] != cls[on][:-1]))))
-        first = on[edge]
-        out.append((of[first], lv[first], cls[first], grouped_majority(h[on], edge)))
+        on = np.flatnonzero((cls < CLASSES) & (count[of] > FEW))
+        if len(on):
+            on = on[np.lexsort((cls[on], of[on]))]
+            edge = np.flatnonzero(np.concatenate(([True], (of[on][1:] != of[on][:-1]) | (cls[on][1:] != cls[on][:-1]))))
+            first = on[edge]
+            out.append((of[first], 100 + lv[first] * CLASSES + cls[first], grouped_majority(h[on], edge)))
     return wide, *(np.concatenate(x) for x in zip(*out))
 
 
@@ -268,41 +283,122 @@ def grouped_majority(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def bits_apart(similarity: float, bits: int) -> int:
-    """Differing bits of fingerprints of sets of that Jaccard similarity, with one standard deviation."""
+def bits_apart(similarity: float, bits: int, deviations: float = 6) -> int:
+    """Differing bits that fingerprints of sets of at least that Jaccard similarity hardly ever exceed.
+
+    Six standard deviations over the mean; four for the worst short sets, of 4 and 5 members.
+    """
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.ceil(bits * p + np.sqrt(bits * p * (1 - p))))
+    return int(np.ceil(bits * p + deviations * np.sqrt(bits * p * (1 - p))))
+
+
+def alike(of: np.ndarray, h: np.ndarray, own: np.ndarray, fp: np.ndarray, similarity: float, radius: int) -> np.ndarray:
+    """For each text the first that chains of texts of at least that Jaccard similarity reach.
+
+    of, h: distinct shingles of the texts. Texts of different parts `own` are compared, or all
+    if there is one part only. Pairs that are chained already need no comparison.
+    """
+    n = len(own)
+    ids = np.unique(h, return_inverse=True)[1]
+    ends = np.searchsorted(of, np.arange(n + 1))
+    sets = [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    size, lab = np.diff(ends), np.arange(n)
+    mark = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
+    cross = own.min() != own.max()
+    for x in range(1, n):
+        low, high = np.minimum(size[:x], size[x]), np.maximum(size[:x], size[x])
+        near = (lab[:x] != lab[x]) & (low >= similarity * high - 1e-9)
+        if cross:
+            near &= own[:x] != own[x]
+        y = np.flatnonzero(near)
+        y = y[np.bitwise_count(fp[y] ^ fp[x]).sum(axis=1) <= radius]
+        mark[sets[x]] = True
+        while len(y):
+            shared = int(mark[sets[y[0]]].sum())
+            if shared >= similarity * (size[y[0]] + size[x] - shared) - 1e-9:
+                one, other = sorted((lab[y[0]], lab[x]))
+                lab[lab == other] = one
+                y = y[lab[y] != one]
+            else:
+                y = y[1:]
+        mark[sets[x]] = False
+    return lab
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
                 radius: int = 3) -> DataFrame:
-    """doc_id, component_id of every row: texts whose distinct shingles are about as similar as `similarity`, or linked by such.
+    """doc_id, component_id of every row: texts whose distinct shingles have a Jaccard similarity of at least `similarity`, or linked by such.
 
     A text has a wide fingerprint of 256 bits over its shingles. Candidates are texts whose
-    first 64 bits meet in a covering table (every pair within `radius`), or that agree in
-    the fingerprint of a class of shingles, which pairs of that similarity nearly always
-    do in one of CLASSES. Candidates link if their wide fingerprints differ in no more bits
-    than `similarity` makes them differ on average, and a standard deviation. Texts of equal
-    wide fingerprints are one node; a null id counts for no component_id.
+    first 64 bits meet in a covering table (every pair within `radius`), that share one of
+    the smallest shingle hashes (every pair, for short texts), or that agree in the
+    fingerprint of a class of shingles, which pairs of that similarity nearly always do in
+    one of CLASSES; and whose wide fingerprints are not too far apart. Groups of candidates
+    are then compared by their shingles: only pairs of that exact similarity link. Texts of
+    equal shingles are one node; a null id counts for no component_id.
     """
     words = ["w0", "w1", "w2", "w3"]
+    apart = bits_apart(similarity, 256)
 
     def run(batch):
-        wide, of, level, cls, fp = class_fingerprints(list(utf8_texts(batch.column(1))), shingle, 4)
-        entry = pa.StructArray.from_arrays([pa.array(100 + level * CLASSES + cls, pa.int32()), pa.array(fp.view(np.int64))], ["table_no", "bucket"])
-        order = np.argsort(of, kind="stable")
-        ends = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(wide)))))
-        subs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entry.take(pa.array(order)))
-        return pa.table([batch.column(0), *(pa.array(wide[:, i].view(np.int64)) for i in range(4)), subs], names=["doc_id", *words, "subs"])
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    fps = map_rows(own, run, f"doc_id long, {', '.join(w + ' long' for w in words)}, subs array<struct<table_no int, bucket long>>")
-    fps = write_stage(fps.withColumn("node", F.xxhash64(*words)), "wide-fingerprints")
-    nodes = write_stage(fps.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.min(w).alias(w) for w in words],
-                                                F.min(F.struct("doc_id", "subs")).alias("m")), "wide-nodes")
+        texts = list(utf8_texts(batch.column(2)))
+        of, h = distinct_shingles(texts, shingle)
+        wide, sub_of, table_no, key = class_fingerprints(of, h, len(texts), 4, similarity)
+        ends = np.searchsorted(of, np.arange(len(texts) + 1))
+        node = xxh64_slices(h.tobytes(), 8 * ends[:-1], 8 * ends[1:], SEED).view(np.int64)
+        entry = pa.StructArray.from_arrays([pa.array(table_no, pa.int32()), pa.array(key.view(np.int64))], ["table_no", "bucket"])
+        order = np.argsort(sub_of, kind="stable")
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(sub_of, minlength=len(wide)))))
+        subs = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), entry.take(pa.array(order)))
+        return pa.table([batch.column(0), batch.column(1), pa.array(node), pa.array(np.diff(ends)), *(pa.array(wide[:, i].view(np.int64)) for i in range(4)), subs],
+                        names=["doc_id", "text_key", "node", "size", *words, "subs"])
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    fps = map_rows(own, run, f"doc_id long, text_key long, node long, size long, {', '.join(w + ' long' for w in words)}, subs array<struct<table_no int, bucket long>>")
+    fps = write_stage(fps, "wide-fingerprints")
+    nodes = write_stage(fps.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("size").alias("size"), *[F.min(w).alias(w) for w in words],
+                                                F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "subs")).alias("m")), "wide-nodes")
     keys = covering_keys(nodes, radius, *words[1:]).unionByName(
         nodes.select(F.explode("m.subs").alias("e"), "node", *words).select("e.table_no", "e.bucket", "node", *words))
-    links = bucket_links(keys, words, bits_apart(similarity, 256))
+    maybe = write_stage(components(bucket_links(keys, words, apart)), "candidates")
+    links = exact_links(own, nodes, maybe, words, shingle, similarity, apart)
     roots = write_stage(components(links), "wide-roots")
     nodes = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return fps.select("doc_id", "node").join(nodes.join(low, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def exact_links(own: DataFrame, nodes: DataFrame, maybe: DataFrame, words: list[str], shingle: int, similarity: float, apart: int) -> DataFrame:
+    """Edges (a, b) that connect what the pairs of at least `similarity` in each group of `maybe` (node, root) connect.
+
+    The text of a node is that of its row of the smallest id. As in bucket_links, a large
+    group is cut into chunks, by its nodes and their shingles, and pairs of chunks are compared.
+    """
+    rows = maybe.join(nodes, "node").select("root", "node", "size", *words, F.coalesce("m.doc_id", F.lit(0)).alias("id"), F.col("m.doc_id").isNull().alias("no_id"),
+                                            F.col("m.text_key").alias("text_key"))
+    rows = write_stage(rows, "candidate-nodes")
+    c = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") / CHUNK_SHINGLES)).cast("int")
+    big = rows.groupBy("root").agg(c.alias("c")).where("c > 1")
+    cut = rows.join(big, "root", "left").withColumn("c", F.coalesce("c", F.lit(1)))
+    cut = write_stage(cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("c")).cast("int")), "candidate-chunks")
+    texts = own.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_key", "text")
+    cut = texts.join(cut, ["id", "no_id", "text_key"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    by = ["root", "i", "j"]
+    cut = cut.select("root", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), "own", "node", *words, "text")
+
+    def run(t: pa.Table) -> pa.Table:
+        edge = np.zeros(t.num_rows, bool)
+        for k in by:
+            col = t[k].to_numpy()
+            edge[1:] |= col[1:] != col[:-1]
+        starts = np.concatenate((np.flatnonzero(np.concatenate(([True], edge[1:]))), [t.num_rows]))
+        node, a, b = t["node"].to_numpy(), [], []
+        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            g = t.slice(s, e - s)
+            fp = np.stack([g[w].to_numpy().view(np.uint64) for w in words], axis=1)
+            lab = alike(*distinct_shingles(list(utf8_texts(g["text"].combine_chunks())), shingle), g["own"].to_numpy(), fp, similarity, apart)
+            x = np.flatnonzero(lab != np.arange(e - s))
+            a.append(node[s + x])
+            b.append(node[s + lab[x]])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+        return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64())})
+    return sorted_groups(cut, by, run, "a long, b long", rows=CHUNK).where("a <> b").distinct()

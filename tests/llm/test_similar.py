@@ -102,6 +102,28 @@ def test_near_copies(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("chunk", [4096, 7])
+def test_near_copies_have_the_exact_similarity(spark, monkeypatch, chunk):
+    """Pairs around the threshold, short and long: only exact Jaccard similarity of 0.8 links."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rng = random.Random(11)
+    rows = [(0, None), (1, ""), (2, " ")]
+    for n in [5, 8, 9, 12, 13, 15, 30, 60, 70, 85, 120, 300] * 4:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for share in (1, 0.7, 0.78, 0.8, 0.82):  # a passage of so many shingles' share, then other words
+            keep = n if share == 1 else int(np.ceil(2 * share / (1 + share) * (n - 4))) + 4
+            rows.append((len(rows), " ".join(base[:keep] + [f"x{rng.randrange(10**6)}" for _ in range(n - keep)])))
+    sets = {d: {tuple((t or "").split()[i:i + 5]) for i in range(max(1, len((t or "").split()) - 4))} for d, t in rows}
+    root = {d: d for d in sets}
+    for a in sets:
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == root
+
+
 def test_suffix_order_and_common_prefixes():
     rng = random.Random(6)
     for k in range(60):
