@@ -164,6 +164,20 @@ def test_repeats(docs, rows, monkeypatch, hot):
     assert got == plain_repeats(mine)
 
 
+def test_equal_windows_have_equal_anchors_across_the_cuts(monkeypatch):
+    monkeypatch.setattr(repeats, "PIECE", 1024)
+    monkeypatch.setattr(repeats, "PLACE", np.uint64(1023))
+    rng = random.Random(12)
+    text_ = bytes(rng.choices(b"abcdefgh", k=5000))
+    found = []
+    for shift in (0, 17, 68, 500):
+        _, anchor, _, _, _, start, n, _ = repeats.anchored([bytes(rng.choices(b"xyz", k=shift)) + text_], np.array([1]), np.array([0]), 100, {})
+        of = {s + i - shift: a for s, k, a in zip(start.tolist(), n.tolist(), anchor.tolist()) for i in range(k)}
+        found.append([of[i] for i in range(5000 - 99)])
+        assert len(of) == len(text_) + shift - 99
+    assert all(f == found[0] for f in found)
+
+
 def test_cut_texts_keep_characters_and_columns(spark):
     a = "".join(chr(0xE0 + i % 30) + str(i) for i in range(60)) + "end"
     df = spark.createDataFrame([(1, a, 0, "x"), (2, "q" + a, 0, "y"), (3, None, 0, "z")], "doc_id long, text string, n_chars long, t string")
