@@ -3,12 +3,13 @@
 A text is cut where no piece of the vocabulary can reach across: before each run of spaces,
 and around characters that stand in no longer piece. In each part an agenda holds the
 candidate merges, best score first, ties from the left. A candidate is skipped when the
-keyed hash of (seed, variant, part, place, merged piece) is below `dropout`; a skipped one
-only comes back if a neighbour changes. A part's variant comes from the seed, the document
-and the part's number, so the same word is segmented in up to `variants` ways over the
-corpus and always in the same way at the same place. With dropout 0 the ids equal the
-library's. What is no piece becomes bytes; a literal U+2581 does too, so that every text
-decodes to itself.
+keyed hash of (seed, document, part number, place, merged piece) is below `dropout`; a
+skipped one only comes back if a neighbour changes. So every occurrence of a word has draws
+of its own, and always the same at the same place of the same document. A task remembers
+for each part a tree of what was skipped or not, and so merges anew only where an occurrence
+takes a path that none took before. With `variants` above zero, the draws depend on (seed, one
+of so many variants, part) instead. With dropout 0 the ids equal the library's. What is no
+piece becomes bytes; a literal U+2581 does too, so that every text decodes to itself.
 
 Defined results: null and empty texts have no ids and decode to the empty text; a null id
 keys its document as -1, and rows of equal id and text have equal ids.
@@ -29,12 +30,20 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 LITERAL = "\0" + SPACE  # stands for a U+2581 of the text: in no piece
-#: Segmentations that a task remembers before it forgets them all.
-REMEMBER = 1_000_000
+#: Draws that a task remembers before it forgets them all, and characters of the longest part that it remembers.
+REMEMBER, LONGEST = 4_000_000, 32
+M64, GOLDEN, MIX, MIX2 = 0xFFFFFFFFFFFFFFFF, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finisher of SplitMix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX2)
+    return x ^ (x >> np.uint64(31))
 
 
 class Pieces:
-    def __init__(self, path: str, dropout: float, seed: int, variants: int):
+    def __init__(self, path: str, dropout: float, seed: int, variants: int = 0):
         import sentencepiece
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.dropout, self.seed, self.variants = int(dropout * 2**64), seed, variants
@@ -55,23 +64,25 @@ class Pieces:
         alone = [c for c in map(chr, range(32)) if c not in joined]
         own = "".join(map(re.escape, alone))
         self.parts = re.compile(f"[{own}]| *[^ {own}]+| +")
-        self.held: dict[tuple[int, str], tuple[int, ...]] = {}
+        self.held: dict[str, list] = {}
+        self.keys: dict[int, int] = {}
+        self.draws = 0
 
-    def segment(self, part: str, variant: int) -> tuple[int, ...]:
-        """The ids of a part."""
+    def segment(self, part: str, dropped) -> tuple[int, ...]:
+        """The ids of a part; dropped(place, rank of the merged piece) says which candidates are skipped."""
         s: list[str | None] = [SPACE if c == " " else LITERAL if c == SPACE else c for c in part]
         n = len(s)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank, hash_of = self.rank, xxhash.xxh64_intdigest(f"{self.seed} {variant} {part}".encode())
+        rank = self.rank
         agenda = [(r, i, i + 1) for i in range(n - 1) if (r := rank.get(s[i] + s[i + 1])) is not None]
         heapq.heapify(agenda)
-        push, pop, dropout = heapq.heappush, heapq.heappop, self.dropout
+        push, pop = heapq.heappush, heapq.heappop
         while agenda:
             r, i, j = pop(agenda)
             left, right = s[i], s[j]
             if left is None or right is None or after[i] != j or rank.get(merged := left + right) != r:
                 continue
-            if dropout and ((hash_of ^ (r << 20 | i)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) < dropout:
+            if dropped(i, r):
                 continue
             s[i], s[j] = merged, None
             after[i] = k = after[j]
@@ -91,31 +102,98 @@ class Pieces:
                     out += [self.byte[b] for b in (SPACE if p == LITERAL else p).encode()]
         return tuple(out)
 
+    def key(self, draw: int) -> int:
+        """A hash of a draw's place and merged piece."""
+        x = draw * GOLDEN + GOLDEN & M64
+        x = (x ^ x >> 30) * MIX & M64
+        x = (x ^ x >> 27) * MIX2 & M64
+        self.keys[draw] = x = x ^ x >> 31
+        return x
+
+    def node(self, part: str, own: int | None) -> list:
+        """What the occurrence of a part with the hash `own` comes to, or one without dropout for None.
+
+        Its ids, the keys of its draws, the numbers of those that were skipped, and room for
+        the nodes that skip one more after these.
+        """
+        known, dropout, used, skipped = self.keys, self.dropout, [], []
+
+        def dropped(i, r):
+            key = known.get(draw := r << 32 | i) or self.key(draw)
+            used.append(key)
+            if own is None or ((own ^ key) * MIX & M64) >= dropout:
+                return False
+            skipped.append(len(used) - 1)
+            return True
+        return [self.segment(part, dropped), used, skipped, {}]
+
+    def kept(self, node: list) -> list:
+        """The node in the form in which it is remembered."""
+        self.draws += len(node[1]) + 4
+        node[1] = np.array(node[1], np.uint64)
+        return node
+
     def encode(self, text: str, doc: int) -> list[int]:
         if not text:
             return []
-        if len(self.held) > REMEMBER:
-            self.held = {}
+        if self.draws > REMEMBER:
+            self.held, self.keys, self.draws = {}, {}, 0
         parts = self.parts.findall(" " + text)
-        if self.dropout and self.variants > 1:
-            rng = xxhash.xxh64_intdigest(f"{self.seed} {doc}".encode())
-            turn = ((np.arange(1, len(parts) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(rng)) >> np.uint64(40)) % np.uint64(self.variants)
-            keys = list(zip(turn.tolist(), parts))
-        else:
-            keys = [(0, p) for p in parts]
-        held, out = self.held, []
-        for k in keys:
-            ids = held.get(k)
-            if ids is None:
-                held[k] = ids = self.segment(k[1], k[0])
-            out += ids
+        held, nodes = self.held, []
+        for p in parts:
+            node = held.get(p)
+            if node is None:
+                held[p] = node = self.kept(self.node(p, None))
+            nodes.append(node)
+        if self.dropout:
+            self.draw(parts, nodes, self.occurrences(parts, doc))
+        out = []
+        for node in nodes:
+            out += node[0]
         return out
 
+    def occurrences(self, parts: list[str], doc: int) -> np.ndarray:
+        """A hash for each part of a document; with variants, one of few for equal parts."""
+        rng = np.uint64(xxhash.xxh64_intdigest(f"{self.seed} {doc}".encode()))
+        own = mixed(np.arange(1, len(parts) + 1, dtype=np.uint64) * np.uint64(GOLDEN) + rng)
+        if not self.variants:
+            return own
+        turn = ((own >> np.uint64(40)) % np.uint64(self.variants)).tolist()
+        return np.array([xxhash.xxh64_intdigest(f"{self.seed} {v} {p}".encode()) for v, p in zip(turn, parts)], np.uint64)
+
+    def draw(self, parts: list[str], nodes: list, own: np.ndarray) -> None:
+        """Replace the nodes of the parts in which a candidate is skipped: along the remembered
+        nodes, one skipped candidate a round, and by merging anew where these end."""
+        limit = np.uint64(self.dropout)
+        on = np.arange(len(parts))
+        while len(on):
+            keys = [nodes[x][1] for x in on.tolist()]
+            size = np.fromiter(map(len, keys), np.int64, len(keys))
+            row = np.repeat(np.arange(len(on)), size)
+            low = np.flatnonzero((np.concatenate(keys) ^ own[on][row]) * np.uint64(MIX) < limit)
+            row, place = row[low], low - (np.cumsum(size) - size)[row[low]]
+            done = np.fromiter((nodes[x][2][-1] if nodes[x][2] else -1 for x in on.tolist()), np.int64, len(on))
+            new = place > done[row]
+            row, place = row[new], place[new]
+            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else row
+            on, again = on[row[first]], []
+            for x, k in zip(on.tolist(), place[first].tolist()):
+                node, part = nodes[x], parts[x]
+                more = node[3].get(k)
+                if more is not None:
+                    again.append(x)
+                else:
+                    more = self.node(part, int(own[x]))
+                    if more[2] == [*node[2], k] and len(part) <= LONGEST:
+                        node[3][k] = self.kept(more)
+                nodes[x] = more
+            on = np.array(again, np.int64)
+
     def decode(self, ids) -> str:
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode()
 
 
-def encoded(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 13, variants: int = 2, id_col: str = "doc_id",
+def encoded(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 13, variants: int = 0, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """Add token_ids (array<int>) and decoded (the text that they decode to) to `docs`; columns of these names are replaced."""
     keep = [c for c in docs.columns if c not in ("token_ids", "decoded")]
@@ -132,7 +210,7 @@ def encoded(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 13, va
     return key.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 13, variants: int = 2, id_col: str = "doc_id",
+def digests(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 13, variants: int = 0, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, ids_crc32 and lossless (decoding gives the text back) of every whole text."""
     def run(batches):

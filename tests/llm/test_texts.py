@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -108,6 +109,24 @@ def test_dropout_varies_and_loses_nothing(docs, rows):
     assert more.where("NOT (decoded <=> coalesce(text, ''))").count() == 0 and set(docs.columns) <= set(more.columns)
 
 
+def test_every_occurrence_has_draws_of_its_own(spark):
+    """Segmentations of a word are as frequent as with a random number for each draw, in one document and over many."""
+    p, rng, n = pieces.Pieces(PIECES, 0.1, 13), np.random.default_rng(1), 8000
+    word = next(w for w in ("bridge", "market", "people", "stone") if len(pieces.Pieces(PIECES, 0, 1).encode(w, 1)) == 1)
+    want = Counter(p.segment(" " + word, lambda i, r: rng.random() < 0.1) for _ in range(n))
+    many = Counter(tuple(p.encode(word, d)) for d in range(n))
+    one = p.encode(" ".join([word] * n), 1)
+    whole = max(want, key=want.get)
+    assert len(whole) == 1 and abs(one.count(whole[0]) - want[whole]) < 0.03 * n
+    assert len(many) > 4 and all(abs(many[k] - want[k]) < 0.03 * n for k in {*many, *want})
+    rows = [(d, word) for d in range(300)]
+    got = pieces.digests(spark.createDataFrame(rows, "doc_id long, text string"), PIECES).collect()
+    assert len({r.ids_crc32 for r in got}) > 4 and all(r.lossless for r in got)
+    again = pieces.Pieces(PIECES, 0.1, 13)  # what is remembered does not matter
+    t = "x" * 300 + " several different words and several more "
+    assert [again.encode(t, d) for d in (5, 3)] == [p.encode(t, d) for d in (5, 3)]
+
+
 def plain_scan(t, threshold):
     words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
