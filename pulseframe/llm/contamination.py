@@ -1,4 +1,4 @@
-"""Benchmark passages in documents: SimHash of item-sized windows, Hamming blocks, exact verification.
+"""Benchmark passages in documents: SimHash of item-sized windows, exact verification.
 
 Words are cut at white space, in lower case; shingles are five words, or the whole text of
 an item or document that has fewer. A window has as many words as a benchmark item and
@@ -6,15 +6,16 @@ stands where a shingle of such an item puts it: shingle p of a document equal to
 of an item of L words gives the window of L words from p - j, moved inside the document. A
 window without any shingle of an item has similarity zero with it, so it is no candidate.
 
-Windows and items have 64-bit SimHash fingerprints of their shingles. The bits are cut into
-radius + 1 blocks; fingerprints within the radius agree in at least one, so a join on
-(words, block, its bits) meets them all. Pairs within the radius are then verified by the
-weighted Jaccard similarity of their shingles as multisets. A shingle that k items share
-weighs 1 / k, any other 1.
+Windows and items that share a shingle are verified by the weighted Jaccard similarity of
+their shingles as multisets. A shingle that the texts of k items share weighs 1 / k, any
+other 1; items of equal words are one text. The distance of their 64-bit SimHash
+fingerprints is given, and refuses pairs only if a radius is asked for: no radius is sure
+to hold every pair of a similarity.
 
 Only DataFrame functions are used. Defined results: null or empty texts and items match
-nothing; repeated rows match alike; a null id is kept as null; ties of similarity go to the
-earlier window.
+nothing; repeated rows match alike; a null id is kept as null, of documents and of items;
+an item is its id and words, so different texts of one id give a row each; ties of
+similarity go to the earlier window.
 """
 
 from __future__ import annotations
@@ -58,20 +59,15 @@ def fingerprinted(shingled: DataFrame, *key: str) -> DataFrame:
     return counted.select(*key, bits.alias("fp"))
 
 
-def hamming_blocks(fp: Column, radius: int) -> Column:
-    """(block, its bits) of the radius + 1 blocks of a fingerprint."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1)).alias("bits"))
-                     for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 15, id_col: str = "doc_id", text_col: str = "text",
+def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int | None = None, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, start, n_words, distance, similarity: the best window of each document for each item that it holds."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), words_of(F.col(text_col)).alias("words"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), words_of(F.col(item_text_col)).alias("words")).where("item_id IS NOT NULL")
-    items = write_stage(items.dropDuplicates(["item_id"]).withColumn("size", F.size("words")).where("size > 0"), "items")
-    of_items = write_stage(shingles(items, "words", "item_id", "size"), "item-shingles")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), words_of(F.col(item_text_col)).alias("words"))
+    items = items.withColumn("size", F.size("words")).where("size > 0").withColumn("item", F.xxhash64(F.array_join("words", " ")))
+    item_ids = write_stage(items.select("item_id", "item").distinct(), "item-ids")
+    items = write_stage(items.select("item", "size", "words").dropDuplicates(["item"]), "items")
+    of_items = write_stage(shingles(items, "words", "item", "size"), "item-shingles")
 
     # Where a document holds a shingle of an item of `size` words, and the window that it gives.
     places = of_items.select("h", "size", F.col("p").alias("j")).distinct()
@@ -82,23 +78,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int
     texts = texts.select("key", "size", "start", F.slice("words", F.col("start") + 1, F.col("size")).alias("words"))
     of_windows = write_stage(shingles(texts, "words", "key", "size", "start"), "window-shingles")
 
-    ours = fingerprinted(of_windows, "key", "size", "start").select("*", F.explode(hamming_blocks(F.col("fp"), radius)).alias("b"))
-    theirs = fingerprinted(of_items, "item_id", "size").select("*", F.explode(hamming_blocks(F.col("fp"), radius)).alias("b"))
-    theirs = theirs.select("item_id", "size", "b", F.col("fp").alias("item_fp"))
-    near = ours.join(theirs, ["size", "b"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
-    near = write_stage(near.where(F.col("distance") <= radius).select("key", "size", "start", "item_id", "distance").distinct(), "near")
-
-    weight = of_items.groupBy("h").agg((F.lit(1.0) / F.countDistinct("item_id")).alias("w"))
-    item_counts = of_items.groupBy("item_id", "h").agg(F.count("*").alias("c")).join(weight, "h")
-    item_total = item_counts.groupBy("item_id").agg(F.sum(F.col("c") * F.col("w")).alias("item_total"))
+    weight = of_items.groupBy("h").agg((F.lit(1.0) / F.countDistinct("item")).alias("w"))
+    item_counts = write_stage(of_items.groupBy("item", "size", "h").agg(F.count("*").alias("c")).join(weight, "h"), "item-counts")
+    item_total = item_counts.groupBy("item").agg(F.sum(F.col("c") * F.col("w")).alias("item_total"))
     counts = of_windows.groupBy("key", "size", "start", "h").agg(F.count("*").alias("k")).join(weight, "h", "left").fillna(1.0, ["w"])
     counts = write_stage(counts, "window-counts")
     total = counts.groupBy("key", "size", "start").agg(F.sum(F.col("k") * F.col("w")).alias("total"))
-    shared = near.join(counts.select("key", "size", "start", "h", "k"), ["key", "size", "start"]).join(item_counts, ["item_id", "h"])
-    shared = shared.groupBy("key", "size", "start", "item_id", "distance").agg(F.sum(F.least("k", "c") * F.col("w")).alias("shared"))
-    both = shared.join(total, ["key", "size", "start"]).join(item_total, "item_id")
+    shared = counts.select("key", "size", "start", "h", "k").join(item_counts, ["h", "size"])
+    shared = shared.groupBy("key", "size", "start", "item").agg(F.sum(F.least("k", "c") * F.col("w")).alias("shared"))
+    both = shared.join(total, ["key", "size", "start"]).join(item_total, "item")
     both = both.withColumn("similarity", F.col("shared") / (F.col("total") + F.col("item_total") - F.col("shared")))
-    best = both.where(F.col("similarity") >= least - 1e-12).groupBy("key", "item_id").agg(
+    near = write_stage(both.where(F.col("similarity") >= least - 1e-12).select("key", "size", "start", "item", "similarity"), "near")
+
+    window = ["key", "size", "start"]
+    ours = fingerprinted(of_windows.join(near.select(*window).distinct(), window, "left_semi"), *window)
+    theirs = fingerprinted(of_items, "item").withColumnRenamed("fp", "item_fp")
+    near = near.join(ours, window).join(theirs, "item").withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
+    if radius is not None:
+        near = near.where(F.col("distance") <= radius)
+    best = near.groupBy("key", "item").agg(
         F.max(F.struct("similarity", (-F.col("start")).alias("s"), F.col("size").alias("n_words"), "distance")).alias("m"))
     ids = rows.select("key", "doc_id")
-    return best.join(ids, "key").select("doc_id", "item_id", (-F.col("m.s")).alias("start"), "m.n_words", "m.distance", "m.similarity")
+    return best.join(ids, "key").join(item_ids, "item").select("doc_id", "item_id", (-F.col("m.s")).alias("start"), "m.n_words", "m.distance", "m.similarity")

@@ -222,6 +222,23 @@ def test_contamination(spark, docs, rows):
     assert got == want and (9, 1) in got and (9, 2) in got and (7, 6) in got and (9, 8) in got
 
 
+def test_contamination_of_repeated_and_odd_items(spark):
+    """Items of equal text do not protect each other, a null id is an item, one id can have two texts, no radius refuses."""
+    rng = random.Random(13)
+    a, b, c = ([f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (58, 40, 30))
+    near = [*a[:20], "changed", *a[21:]]
+    items = [(1 + i, " ".join(a)) for i in range(10)] + [(None, " ".join(b)), (50, " ".join(c)), (50, " ".join(b[::-1]))]
+    docs = [(1, " ".join(["x", *near, "y"])), (2, " ".join(["x", "y", *b])), (3, " ".join(c)), (4, " ".join(b[::-1]))]
+    many = []
+    for d in range(100, 700):  # one word at the end of 13 changed: similarity 8 of 10
+        w = [f"v{rng.randrange(10**6)}" for _ in range(13)]
+        items.append((d, " ".join(w)))
+        docs.append((d, " ".join([*w[:-1], "other"])))
+        many.append((d, d))
+    got = contamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id or 0) for r in got) == sorted([(1, 1 + i) for i in range(10)] + [(2, 0), (3, 50), (4, 50)] + many)
+
+
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0 and simhash.near_copies(empty).count() == 0
