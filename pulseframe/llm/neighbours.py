@@ -9,7 +9,9 @@ coordinate (queries by zero), so that near on the curve means a large inner prod
 
 A query whose neighbours the orderings do not confirm (fewer than `confirmed` of them were
 met by two orderings or more) is not left at that: it is compared with all vectors, in
-blocks. Isotropic data without near neighbours needs that; clustered data does not.
+blocks. Isotropic data without near neighbours needs that; clustered data does not. So is
+a query beside vectors of one key of which it met only a part: equal vectors share a key
+in every ordering, and only a comparison with all finds the smallest ids of them.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part, nor does a null id. Rows of equal id count as one candidate of
@@ -128,7 +130,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = 2048,
 
     keyed = base.mapInArrow(order, "curve int, key long, query boolean, vec_id long, v array<double>")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by = ["curve", "key", F.xxhash64("vec_id"), "query"]
+    by = ["curve", "key", F.xxhash64("curve", "vec_id"), "query"]
 
     def place(batches):
         part, at = TaskContext.get().partitionId(), 0
@@ -140,13 +142,19 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = 2048,
                                              ["curve", "key", "query", "vec_id", "v", "part", "pos"])
     placed = keyed.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(
         place, "curve int, key long, query boolean, vec_id long, v array<double>, part int, pos long")
-    placed = write_stage(placed.drop("key"), "curves")
+    placed = write_stage(placed, "curves")
     # A row for each partition of the ordering: running sums over them are small.
     sizes = placed.where("NOT query").groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
     ranked = placed.join(before, "part", "left").withColumn("at", F.coalesce("before", F.lit(0)) + F.col("pos"))
     b = F.floor(F.col("at") / block)
     side = F.when(F.col("at") % block < block // 2, b - 1).otherwise(b + 1)
+    # A key's vectors that reach over an edge between blocks; runs of half a block are met by the queries in them.
+    runs = ranked.where("NOT query").groupBy("curve", "key").agg(
+        F.count("*").alias("n"), F.floor(F.min("at") / block).alias("a"), F.floor(F.max("at") / block).alias("z")).where((F.col("n") > block // 2) & F.expr("a < z"))
+    edges = write_stage(runs.select(F.explode(F.sequence(F.col("a") + 1, F.col("z"))).alias("edge")).distinct(), "edges")
+    asked = ranked.where("query").select(F.col("vec_id").alias("query_id"), F.explode(F.array(F.least(b, side), F.least(b, side) + 2)).alias("edge"))
+    past = write_stage(asked.join(edges, "edge", "left_semi").select("query_id").distinct(), "past-blocks")
     ranked = ranked.withColumn("block", F.explode(F.when(F.col("query"), F.array(b, side)).otherwise(F.array(b))))
 
     def meet(t: pa.Table) -> pa.Table:
@@ -169,7 +177,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = 2048,
     first = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = write_stage(found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k), "found")
     sure = found.groupBy("query_id").agg(F.sum((F.col("curves") > 1).cast("int")).alias("twice"))
-    sure = sure.where(F.col("twice") >= confirmed * k).select("query_id")
+    sure = sure.where(F.col("twice") >= confirmed * k).select("query_id").join(past, "query_id", "left_anti")
     open_ = base.where(F.col("vec_id") % every == 0).join(sure.withColumnRenamed("query_id", "vec_id"), "vec_id", "left_anti")
     rest = scanned(base, open_, dim, k).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
     return found.join(sure, "query_id").select("query_id", "rank", "vec_id", "score").unionByName(

@@ -34,6 +34,19 @@ def test_neighbours(spark):
     assert sorted(r.vec_id for r in few) == [1, 2, 3, 4]
 
 
+def test_neighbours_in_a_large_group_of_equal_vectors(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(1500, 16))
+    v[rng.permutation(1500)[:700]] = v[0]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    got = {}
+    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=10, block=64).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    want = plain_neighbours(rows, 10, 20)
+    grouped = [q for q in want if (v[q] == v[0]).all()]
+    assert len(grouped) > 20 and all([j for _, j in sorted(got[q])] == [j for _, j in want[q]] for q in grouped)
+
+
 def test_hilbert_keys_are_a_path():
     side = 1 << 3
     points = np.array([(a, b) for a in range(side) for b in range(side)])
