@@ -37,6 +37,10 @@ SIDE_WORDS = frozenset("ad ads advert advertisement adverts banner sponsor spons
                        "breadcrumbs sidebar side rail header masthead footer comment comments discussion reply replies respond notice notices "
                        "cookie cookies consent alert popup modal overlay newsletter subscribe signup share sharing social related recommended "
                        "widget toolbar pagination pager tags legal copyright login search".split())
+# Last words of names of whole pages, words of names that tell a state, and words for a text.
+WHOLE = frozenset("page layout site template theme".split())
+STATES = frozenset("has no not with without".split())
+TEXTS = frozenset("article entry post story".split())
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -45,8 +49,14 @@ FIELDS = ("words", "links", "before_words", "before_links", "after_words", "afte
 
 
 def beside(attributes: str) -> bool:
+    """Whether a class, id or role name is that of a part beside the text: not of a page that has such a part, or of a text's own header."""
     names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)) if "=" in attributes else ""
-    return any(w in SIDE_WORDS for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
+    for name in names.split():
+        parts = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+        side = SIDE_WORDS.intersection(parts)
+        if side and not WHOLE.intersection(parts[-1:]) and not STATES.intersection(parts) and not (side <= {"header"} and TEXTS.intersection(parts)):
+            return True
+    return False
 
 
 def hidden(attributes: str) -> bool:
@@ -107,6 +117,8 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         quiet = tag in SILENT or hidden(attributes)
         inner = tag in MAIN
         aside = tag in ASIDE or (tag == "header" and not main) or (not inner and tag not in ("body", "html") and beside(attributes))
+        if tag == "main" and not main:
+            aside = -side  # the main part is beside nothing, whatever it stands in
         stack.append((tag, quiet, aside, inner))
         silent, side, main, anchors = silent + quiet, side + aside, main + inner, anchors + (tag == "a")
         if tag in RAW:
@@ -165,6 +177,8 @@ LABELLED = [
         <p>People walk across it now, which the harbour master does not like to see at all, as he told us twice.</p>""", [1, 1, 1]),
     ("""<p><a href="/i">Index</a></p><p>Nobody knows who planted the tall trees along the road, but they are older than the houses behind them.</p>
         <p>They will be measured in spring.</p><p>Printed on Monday</p>""", [0, 1, 1, 0]),
+    ("""<div class="layout has-sidebar"><article><header class="entry-header"><h1>The mill</h1></header><p>The old mill grinds again, after a winter in which its wheel was mended.</p>
+        <p>Visitors may come on Sundays.</p></article><div class="sidebar"><p>Most read today</p></div></div>""", [1, 1, 1, 0]),
 ]
 
 

@@ -31,6 +31,20 @@ def test_the_tree_fits_its_table():
         assert extract.kept(tree, extract.features(extract.blocks(html))).tolist() == [bool(x) for x in labels]
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "content-with-nav", "search-page", "site hasSidebar"])
+@pytest.mark.parametrize("header", ['<div class="article-header">{}</div>', '<header class="entry-header">{}</header>'])
+def test_wrappers_of_a_text_are_not_beside_it(name, header):
+    body = "<p>The ferry runs again from Monday, the town said in a letter.</p><p>It had been closed since March.</p>"
+    html = f"""<div class="{name}"><div class="site-header"><p>The Daily Note, every day of the year.</p></div><article>{header.format("<h1>The ferry</h1>")}{body}</article>
+      <div class="share-buttons"><p>Share this with your friends.</p></div><div class="main-nav"><p>All of our pages are here.</p></div></div>"""
+    tree = extract.trained()
+    found = extract.blocks(html)
+    keep = extract.kept(tree, extract.features(found))
+    assert [b[0] for b, k in zip(found, keep) if k] == ["The ferry", "The ferry runs again from Monday, the town said in a letter.", "It had been closed since March."]
+    found = extract.blocks(f'<div class="search"><main><h1>The ferry</h1>{body}</main><p>Side.</p></div>')
+    assert [b[4] for b in found] == [False, False, False, True]
+
+
 ODD = ["", "<|endoftext|> a<|startoftext|>", "Σας ΣΑΣ", "it's 12 don't WE'LL !!'s", "İstanbul ſ ²½ x̀e", "a\x1cb\x0bc d　e", "A\tB\r\nc", "x" * 3000]
 
 
