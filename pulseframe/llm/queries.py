@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, and the pipeline."""
+"""The operators over their whole tables, and the pipeline."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import contamination, extract, idfile, licences, neighbours, oracles, pieces, quality, repeats, simhash, wordbpe
+from pulseframe.llm import (alignment, contamination, extract, idfile, licences, neighbours, oracles, pieces, quality, ranking, repeats,
+                            sharding, simhash, wordbpe)
 from pulseframe.llm.common import table
 from pulseframe.session import stage_root
 
@@ -17,7 +18,8 @@ def vocabulary(name: str) -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op6_licences": oracles.licences_sql(), "op7_repeats": oracles.REPEATS_SQL}
+ORACLES: dict[str, str] = {"op6_licences": oracles.licences_sql(), "op7_repeats": oracles.REPEATS_SQL,
+                           "op11_shards": sharding.sharding_sql(), "op13_ranked": ranking.SEARCH_SQL}
 
 
 def query(fn):
@@ -77,6 +79,24 @@ def op7_repeats(spark, sf_dir):
     return repeats.without_repeats(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_shards(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    path = f"{stage_root(spark)}/shards-{uuid.uuid4().hex}"
+    sharding.write_shards(docs, path)
+    return sharding.digests(sharding.read_shards(spark, path, docs))
+
+
+@query
+def op12_alignment(spark, sf_dir):
+    return alignment.alignment_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op13_ranked(spark, sf_dir):
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def pipeline(spark, sf_dir):
     from corpus_pipeline import run
