@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from pulseframe.llm.common import write_stage
 
-#: Bytes of text of a batch, and of what a library encodes at a time.
-BATCH, ENCODE = 4 << 20, 1 << 20
+#: Bytes of text that share a dictionary of pairs, and characters that are aligned and that are encoded at a time.
+BATCH, ALIGN, ENCODE = 4 << 20, 512 << 10, 128 << 10
 #: Entries that a row product expands at a time.
-EXPAND = 4_000_000
+EXPAND = 1_000_000
 
 
 @dataclass
@@ -270,20 +270,26 @@ def linked(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         pair, number = None, 0
         for t in batches_of(batches):
             pair = pair or Pair(path_a, path_b)
-            x = Aligned(pair, [v or "" for v in t["text"].to_pylist()])
-            row, column, _ = x.overlap_links()
-            text = np.repeat(np.arange(len(x.n_a)), x.n_a)[row]
-            key, local = np.unique(x.a[row].astype(np.int64) << 32 | x.b[column], return_inverse=True)
+            texts, keys, digests, figures, at = [], [], [], [], 0
+            for part in by_bytes([v or "" for v in t["text"].to_pylist()], ALIGN):
+                x = Aligned(pair, part)
+                row, column, _ = x.overlap_links()
+                texts.append(at + np.repeat(np.arange(len(part), dtype=np.int32), x.n_a)[row])
+                keys.append(x.a[row].astype(np.int64) << 32 | x.b[column])
+                ends = np.concatenate(([True], x.group_a[1:] != x.group_a[:-1])) if len(x.a) else np.zeros(0, bool)
+                links = np.bincount(row, minlength=len(x.a))
+                figures.append((x.n_a, x.n_b, x.by_text(ends), x.by_text(links), x.by_text(x.group_link_counts())))
+                digests += [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in x.texts()]
+                at += len(part)
+            text = np.concatenate(texts)
+            key, local = np.unique(np.concatenate(keys), return_inverse=True)
             width = max(len(key), 1)
-            cell, times = np.unique(text * width + local, return_counts=True)
+            cell, times = np.unique(text * np.int64(width) + local, return_counts=True)
             of, local = cell // width, (cell % width).astype(np.int32)
-            cuts = np.searchsorted(of, np.arange(len(x.n_a) + 1))
-            ends = np.concatenate(([True], x.group_a[1:] != x.group_a[:-1])) if len(x.a) else np.zeros(0, bool)
-            links = np.bincount(row, minlength=len(x.a))
-            figures = dict(zip(COUNTS, (x.n_a, x.n_b, x.by_text(ends), x.by_text(links), x.by_text(x.group_link_counts()))))
+            cuts = np.searchsorted(of, np.arange(at + 1))
             block = (TaskContext.get().partitionId() << 32) + number
             number += 1
-            n, one = len(x.n_a), pa.array([None], pa.int64())
+            n, one = at, pa.array([None], pa.int64())
 
             def blobs(values):
                 return pa.array([values[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])] + [None], pa.binary())
@@ -291,8 +297,7 @@ def linked(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             def whole(values):
                 return pa.array([None] * n + [values.tobytes()], pa.binary())
             out = {"block": pa.array(np.full(n + 1, block)), "doc_id": pa.concat_arrays([t["doc_id"].combine_chunks(), one])}
-            out |= {c: pa.concat_arrays([pa.array(v, pa.int64()), one]) for c, v in figures.items()}
-            digests = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in x.texts()]
+            out |= {c: pa.concat_arrays([pa.array(np.concatenate(v), pa.int64()), one]) for c, v in zip(COUNTS, zip(*figures))}
             out |= {"groups_sha256": pa.array(digests + [None], pa.string()), "pair": blobs(local), "times": blobs(times.astype(np.int32)),
                     "keys": whole(key), "documents": whole(np.bincount(local, minlength=len(key)).astype(np.int32))}
             yield from pa.table(out).to_batches(max_chunksize=1000)
