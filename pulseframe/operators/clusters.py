@@ -79,9 +79,12 @@ def root_cause_scores(grouped: DataFrame, closure: DataFrame) -> DataFrame:
     return s.withColumn("cause_score", total).drop("_e", "_l", "is_candidate")
 
 
-def assign(active: DataFrame, closure: DataFrame, services: DataFrame, induced: bool = False) -> DataFrame:
-    """Active anomalies with `cluster_key` and `is_primary`: severity first, then the weighted score."""
-    grouped = group(active, closure, services, induced)
+def assign(active: DataFrame, closure: DataFrame, services: DataFrame, induced: bool = False, edges: DataFrame | None = None) -> DataFrame:
+    """Active anomalies with `cluster_key` and `is_primary`: severity first, then the weighted score.
+
+    `closure` needs the pairs of affected services only, where `edges` has the topology's dependencies.
+    """
+    grouped = group(active, closure if edges is None else edges.withColumn("hops", F.lit(1)), services, induced)
     best = root_cause_scores(grouped, closure).groupBy(*CKEY).agg(F.min_by(
         F.struct("anomaly_id", "cause_score"), F.struct("level", -F.round("cause_score", 9), "anomaly_id")).alias("b"))
     best = best.select(*CKEY, F.col("b.anomaly_id").alias("_pid"), F.col("b.cause_score").alias("cause_score"))
@@ -89,7 +92,11 @@ def assign(active: DataFrame, closure: DataFrame, services: DataFrame, induced:
 
 
 def clusters(grouped: DataFrame, closure: DataFrame, walks: DataFrame) -> DataFrame:
-    """One row per cluster, numbered per run by severity, with path, signature and hypothesis."""
+    """One row per cluster, numbered per run by severity, with path, signature and hypothesis.
+
+    `walks` (head, path) holds a longest path of each service at least; `closure` the related
+    pairs of the affected services.
+    """
     p = F.when(F.col("is_primary"), F.struct(
         "anomaly_id", "rule_id", "dimension", "service", "instance", "metric", "level", "observed", "baseline_value",
         "deviation_score", "first_seen", "duration_min", "baseline_mode", "reason", "cause_score"))
@@ -101,8 +108,10 @@ def clusters(grouped: DataFrame, closure: DataFrame, walks: DataFrame) -> DataFr
     service = F.col("primary.service")
     down = walks.groupBy(F.col("head").alias("_o")).agg(F.min_by("path", F.struct(-F.size("path"), "path")).alias("_down"))
     up = closure.groupBy(F.col("dst").alias("_o")).agg(F.min_by("path", F.struct(-F.col("hops"), "path")).alias("_up"))
-    anc = closure.groupBy(F.col("dst").alias("_o")).agg(F.collect_set("src").alias("_anc"))
-    desc = closure.groupBy(F.col("src").alias("_o")).agg(F.collect_set("dst").alias("_desc"))
+    hit = grouped.select("service").distinct()
+    near = closure.join(hit.withColumnRenamed("service", "src"), "src", "left_semi").join(hit.withColumnRenamed("service", "dst"), "dst", "left_semi")
+    anc = near.groupBy(F.col("dst").alias("_o")).agg(F.collect_set("src").alias("_anc"))
+    desc = near.groupBy(F.col("src").alias("_o")).agg(F.collect_set("dst").alias("_desc"))
     c = c.withColumn("_o", service)
     for side in (down, up, anc, desc):
         c = c.join(side, "_o", "left")

@@ -16,9 +16,12 @@ from pulseframe.operators import levels as L
 from pulseframe.operators import stats
 from pulseframe.operators.baseline import confidence
 from pulseframe.operators.facts import add_observed, series_base
+from pulseframe.operators.graph import edges
+from pulseframe.operators.paths import Condensed, condense, path_rows, worst_paths
 from pulseframe.operators.windows import assign_windows
 from pulseframe.policy import Policy, Rule
 from pulseframe.schemas import FINDING_COLS, RKEY
+from pulseframe.session import write_stage
 
 #: instance ratios under this are ordinary noise (fixed value)
 SKEW_FLOOR = 1.05
@@ -33,14 +36,15 @@ class Inputs:
     base       baselines()
     points     clean points, for rules with their own lookback
     windows    run_id, window_start, window_end, ...
-    paths      head, path_id, pos, node of the dependency paths
+    paths      head, path_id, pos, node of dependency paths; None to find each head's worst path in the graph
     facts      series_base() of the first two, where it has been written already
+    graph      condense() of the policy's dependencies, where it is at hand
     """
 
     def __init__(self, windowed: DataFrame, base: DataFrame, points: DataFrame, windows: DataFrame,
-                 paths: DataFrame, policy: Policy, facts: DataFrame | None = None):
+                 paths: DataFrame | None, policy: Policy, facts: DataFrame | None = None, graph: Condensed | None = None):
         self.windowed, self.base, self.points = windowed, base, points
-        self.windows, self.paths, self.policy = windows, paths, policy
+        self.windows, self.paths, self.policy, self.graph = windows, paths, policy, graph
         self.facts = series_base(windowed, base, policy) if facts is None else facts
 
 
@@ -242,26 +246,35 @@ def chain_health(inputs: Inputs, metric: str, min_length: int) -> DataFrame:
     """Worst path of every head: product of the nodes' success shares at the worst timestamp.
 
     The path with the lowest health wins (smallest path text on ties); the weakest node is
-    the one with the lowest window mean, earliest on the path on ties.
+    the one with the lowest window mean, earliest on the path on ties. Paths are found layer by
+    layer; where `inputs.paths` lists paths, each of them is followed instead.
     """
     spark = inputs.points.sparkSession
     declared = inputs.policy.declared_instances(spark)
     pts = assign_windows(
         inputs.points.where(F.col("metric") == metric).join(declared, ["service", "instance"], "left_semi"),
         inputs.windows.select("run_id", "window_start", "window_end"))
-    svc = service_level(pts)
+    svc, found = service_level(pts), []
+    if inputs.paths is None:
+        svc, found = write_stage(svc, "service-level"), ["run_id"]
+        services = inputs.policy.service_dim(spark)
+        e = edges(services)
+        graph = inputs.graph or condense(e, services.select(F.col("service").alias("node")))
+        listed = path_rows(worst_paths(graph, e, svc.withColumn("share", F.col("value") / 100.0), found, min_length), found)
+    else:
+        listed = inputs.paths
     means = svc.groupBy("run_id", "service").agg(F.avg("value").alias("node_mean"))
     base = inputs.base.where(F.col("metric") == metric).join(declared, ["service", "instance"], "left_semi").groupBy(
         "run_id", "service").agg(F.avg("median").alias("node_base"))
-    paths = inputs.paths.select("head", "path_id", "pos", F.col("node").alias("service"), "path_len", "path_text").where(
+    paths = listed.select(*found, "head", "path_id", "pos", F.col("node").alias("service"), "path_len", "path_text").where(
         F.col("path_len") >= min_length)
-    curve = paths.join(svc, "service").groupBy("run_id", "head", "path_id", "path_len", "path_text", "ts").agg(
+    curve = paths.join(svc, [*found, "service"]).groupBy("run_id", "head", "path_id", "path_len", "path_text", "ts").agg(
         F.count("*").alias("k"), F.product(F.col("value") / 100.0).alias("health")).where(F.col("k") == F.col("path_len"))
     worst = curve.groupBy("run_id", "head", "path_id", "path_len", "path_text").agg(
         (F.min("health") * 100.0).alias("observed"), F.count("*").alias("samples"),
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
     nodes = (
-        paths.join(means, "service").join(base, ["run_id", "service"], "left")
+        paths.join(means, [*found, "service"]).join(base, ["run_id", "service"], "left")
         .groupBy("run_id", "head", "path_id").agg(
             (F.product(F.coalesce("node_base", F.lit(100.0)) / 100.0) * 100.0).alias("baseline_value"),
             F.min_by("service", F.struct("node_mean", "pos")).alias("weakest")))

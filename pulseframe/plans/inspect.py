@@ -12,6 +12,7 @@ from pulseframe.operators import anomalies as A
 from pulseframe.operators import baseline as B
 from pulseframe.operators import clusters as CL
 from pulseframe.operators import graph as G
+from pulseframe.operators import paths as P
 from pulseframe.operators import rollups as R
 from pulseframe.operators import rules, score, stats
 from pulseframe.operators.facts import series_base
@@ -51,13 +52,24 @@ class Inspection:
         return G.edges(self.services)
 
     @cached_property
-    def walks(self) -> DataFrame:
-        heads = self.services.select(F.col("service").alias("node"))
-        return self._stage(G.walks(self.edges, heads), "walks")
+    def graph(self) -> P.Condensed:
+        """Layers of the dependency graph, with a longest path of every service."""
+        return P.condense(self.edges, self.services.select(F.col("service").alias("node")))
+
+    @cached_property
+    def longest(self) -> DataFrame:
+        return self.graph.nodes.select(F.col("node").alias("head"), "path")
+
+    @cached_property
+    def related(self) -> DataFrame:
+        """Pairs of the affected services and what they depend on or is upstream of them: src, dst, hops, path."""
+        hit = self._stage(self.active.select(F.col("service").alias("node")).distinct(), "affected")
+        return P.reach(self.edges, hit).unionByName(P.reach(self.edges, hit, upstream=True)).distinct()
 
     @cached_property
     def closure(self) -> DataFrame:
-        return G.walk_closure(self.walks)
+        """All related pairs of the topology; the inspection itself needs only `related`."""
+        return P.reach(self.edges, self.services.select(F.col("service").alias("node")))
 
     @cached_property
     def clean(self) -> DataFrame:
@@ -79,8 +91,7 @@ class Inspection:
 
     @cached_property
     def rule_inputs(self) -> rules.Inputs:
-        paths = G.leaf_walks(self.walks, self.edges)
-        return rules.Inputs(self.windowed, self.baselines, self.clean, self.windows, paths, self.policy, self.facts)
+        return rules.Inputs(self.windowed, self.baselines, self.clean, self.windows, None, self.policy, self.facts, self.graph)
 
     @cached_property
     def findings(self) -> DataFrame:
@@ -98,11 +109,11 @@ class Inspection:
     @cached_property
     def grouped(self) -> DataFrame:
         """Active anomalies with their cluster key and role."""
-        return self._stage(CL.assign(self.active, self.closure, self.services), "grouped")
+        return self._stage(CL.assign(self.active, self.related, self.services, edges=self.edges), "grouped")
 
     @cached_property
     def clusters(self) -> DataFrame:
-        return self._stage(CL.clusters(self.grouped, self.closure, self.walks), "clusters")
+        return self._stage(CL.clusters(self.grouped, self.related, self.longest), "clusters")
 
     @cached_property
     def members(self) -> DataFrame:

@@ -137,7 +137,7 @@ SELECT *, list_filter(full_path, lambda x: list_contains(services, x)) AS path,
 @query("anomaly_clusters", "SELECT run_id, anomaly_id, cluster_key FROM grp0")
 def anomaly_clusters(spark, d):
     i = inspection(spark, d)
-    return CL.group(i.active, i.closure, i.services).select("run_id", "anomaly_id", "cluster_key")
+    return CL.group(i.active, i.edges, i.services).select("run_id", "anomaly_id", "cluster_key")
 
 
 @query("anomaly_clusters_induced", """
@@ -151,14 +151,14 @@ def anomaly_clusters_induced(spark, d):
     """Components of the affected services only."""
     i = inspection(spark, d)
     hot = i.active.where("level = 1 AND rule_id <> 'BIZ-06'")
-    return CL.group(hot, i.closure, i.services, induced=True).select("run_id", "anomaly_id", "cluster_key")
+    return CL.group(hot, i.edges.withColumn("hops", F.lit(1)), i.services, induced=True).select("run_id", "anomaly_id", "cluster_key")
 
 
 @query("root_cause_pick", """
 SELECT run_id, anomaly_id, rnd(depth, 4) AS depth, rnd(cause_score, 5) AS cause_score, anomaly_id IN (SELECT p.anomaly_id FROM prim p WHERE p.run_id = c.run_id) AS is_primary FROM cause c""")
 def root_cause_pick(spark, d):
     i = inspection(spark, d)
-    s = CL.root_cause_scores(CL.group(i.active, i.closure, i.services), i.closure)
+    s = CL.root_cause_scores(CL.group(i.active, i.edges, i.services), i.related)
     pick = i.grouped.select("run_id", "anomaly_id", "is_primary")
     return s.join(pick, ["run_id", "anomaly_id"]).select(
         "run_id", "anomaly_id", rnd("depth").alias("depth"), rnd("cause_score", 5).alias("cause_score"), "is_primary")
@@ -168,8 +168,8 @@ def root_cause_pick(spark, d):
 def depth_norm(spark, d):
     from pulseframe.operators.graph import depth_share
     i = inspection(spark, d)
-    aff = CL.group(i.active, i.closure, i.services).select(*CL.CKEY, "service").distinct()
-    return depth_share(aff, i.closure, CL.CKEY).select(*CL.CKEY, "service", rnd("depth").alias("depth"))
+    aff = CL.group(i.active, i.edges, i.services).select(*CL.CKEY, "service").distinct()
+    return depth_share(aff, i.related, CL.CKEY).select(*CL.CKEY, "service", rnd("depth").alias("depth"))
 
 
 @query("clusters", """

@@ -77,7 +77,7 @@ def attribution_confidence(spark, d):
     return conclusions(spark, d, inspection(spark, d)).select("run_id", "cluster_id", "category", "confidence")
 
 
-_HOT = "This peak used nearly all there is: plan a third more for the next"
+_HOT = "This peak used nearly all there is: plan 30% more for the next"
 
 
 @query("suggestions", f"""

@@ -49,18 +49,13 @@ FROM (SELECT *, {obs} AS observed, coalesce(baseline_value, 0) <> 0 AS has FROM
 view("facts", _observed("facts0", "CASE WHEN hib THEN vmin ELSE vmax END"))
 
 
-def inputs(spark, d, with_paths=False):
-    """Rule inputs over the fixture, without any written stage."""
+def inputs(spark, d):
+    """Rule inputs over the fixture; only the chain rule writes stages."""
     p = X.policy()
     points = X.metric_points(spark, d)
-    paths = None
-    if with_paths:
-        services = p.service_dim(spark)
-        e = G.edges(services)
-        paths = G.leaf_walks(G.walks(e, services.select(F.col("service").alias("node"))), e)
     w = X.windows(spark)
     windowed = stats.window_series(assign_windows(points, w.select("run_id", "window_start", "window_end")), RKEY)
-    return Inputs(windowed, baselines(points, w, p), points, w, paths, p)
+    return Inputs(windowed, baselines(points, w, p), points, w, None, p)
 
 
 def _facts(spark, d):

@@ -154,7 +154,7 @@ def _register(rule):
 
     @query(key, f"SELECT {_OUT_SQL} FROM findings WHERE rule_id = '{rule.rule_id}'")
     def q(spark, d):
-        i = inputs(spark, d, with_paths=rule.kind == "chain")
+        i = inputs(spark, d)
         return out(R.findings(i, rule.rule_id))
     return q
 
@@ -174,7 +174,7 @@ def service_level_series(spark, d):
 
 @query("chain_health", "SELECT run_id, head, txt AS path, weakest, CAST(samples AS BIGINT) AS samples, rnd(observed, 4) AS observed, rnd(baseline_value, 4) AS baseline_value FROM chain")
 def chain_health(spark, d):
-    c = R.chain_health(inputs(spark, d, True), "success_rate", 2)
+    c = R.chain_health(inputs(spark, d), "success_rate", 2)
     return c.select("run_id", "head", F.col("path_text").alias("path"), "weakest", "samples", rnd("observed").alias("observed"),
                     rnd("baseline_value").alias("baseline_value"))
 

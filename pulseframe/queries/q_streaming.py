@@ -15,16 +15,17 @@ GAP = "12 hours 1 second"  # a sample exactly 12 hours later belongs to the sess
 BREACH = "metric = 'success_rate' AND value < 78.7"
 
 
-def landed(spark, d, df=None):
-    """Points landed as several Parquet files in the order of time, read as a stream file by file; and as a batch."""
+def landed(spark, d, df=None, beyond=None):
+    """Points landed as several Parquet files in the order of time, read as a stream file by file; then the mark of the end."""
     path = ST.fresh_path(spark, "landed")
     df = X.metric_points(spark, d) if df is None else df
     t = df.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(seconds(F.col("a")), seconds(F.col("b"))).first()
     third = F.floor((seconds(F.col("ts")) - t[0]) * 3 / (t[1] - t[0] + 1))
     for i in range(3):
         df.where(third == i).coalesce(1).write.mode("append").parquet(path)
-    return (spark.readStream.schema(METRIC_POINTS).option("maxFilesPerTrigger", 1).parquet(path),
-            spark.read.schema(METRIC_POINTS).parquet(path))
+    if beyond:
+        ST.land_end(df, path, beyond)
+    return spark.readStream.schema(METRIC_POINTS).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def samples(spark, d):
@@ -39,9 +40,9 @@ def _s(c, a):
 @query("stream_bucket_merge", f"""
 SELECT service, instance, event_type AS metric, t // {X.G} * {X.G} AS ts_s, rnd(avg(value), 4) AS value FROM ev GROUP BY ALL""")
 def stream_bucket_merge(spark, d):
-    stream, batch = landed(spark, d, samples(spark, d))
+    stream = landed(spark, d, samples(spark, d), "1 day")
     out = ST.run_available(ST.merge_buckets(stream, X.G, LATE), ST.fresh_path(spark, "merged"))
-    return ST.with_open(out, ST.merge_buckets(batch, X.G, LATE), [*KEY, "ts"]).select(*KEY, _s("ts", "ts_s"), rnd("value").alias("value"))
+    return out.select(*KEY, _s("ts", "ts_s"), rnd("value").alias("value"))
 
 
 @query("stream_sliding", f"""
@@ -49,15 +50,15 @@ WITH g AS (SELECT *, unnest([t // 172800 * 172800 - 172800, t // 172800 * 172800
 SELECT service, instance, metric, a AS start_s, CAST(count(*) AS BIGINT) AS n, min(value) AS vmin, max(value) AS vmax, rnd(avg(value), 4) AS mean
 FROM g WHERE t >= a AND t < a + 345600 GROUP BY ALL""")
 def stream_sliding(spark, d):
-    stream, batch = landed(spark, d)
+    stream = landed(spark, d, beyond="5 days")
     out = ST.run_available(ST.sliding_inspection(stream, "4 days", "2 days", LATE), ST.fresh_path(spark, "sliding"))
-    return ST.with_open(out, ST.sliding_inspection(batch, "4 days", "2 days", LATE), [*KEY, "window_start"]).select(
+    return out.select(
         *KEY, _s("window_start", "start_s"), "n", "vmin", "vmax", rnd("mean").alias("mean"))
 
 
 @query("stream_dedup", f"SELECT DISTINCT service, instance, event_type AS metric, t // {X.G} * {X.G} AS ts_s FROM ev")
 def stream_dedup(spark, d):
-    s = ST.drop_duplicates(landed(spark, d, samples(spark, d))[0], X.G, LATE)
+    s = ST.drop_duplicates(landed(spark, d, samples(spark, d)), X.G, LATE)
     return ST.run_available(s, ST.fresh_path(spark, "dedup")).select(*KEY, _s("bucket_ts", "ts_s"))
 
 
@@ -68,8 +69,8 @@ b AS (SELECT service, instance, metric, max(n) AS n, arg_max(t0, (n, -t0)) AS t0
 SELECT service, instance, metric, CAST(c.k AS BIGINT) AS samples, CAST(coalesce(b.n, 0) AS BIGINT) AS longest, b.t0 AS start_s
 FROM (SELECT service, instance, metric, count(*) AS k FROM p GROUP BY ALL) c LEFT JOIN b USING (service, instance, metric)""")
 def stream_breach_runs(spark, d):
-    p = landed(spark, d)[0].where("metric = 'success_rate'")
-    s = ST.breach_runs(p, F.col("value") < 78.7).withColumn("part", F.col("metric"))
+    p = landed(spark, d).where("metric = 'success_rate'")
+    s = ST.breach_runs(p, F.col("value") < 78.7, LATE).withColumn("part", F.col("metric"))
     out = ST.upsert_available(s, ST.fresh_path(spark, "runs"), "part", KEY)
     return out.select(*KEY, "samples", "longest", _s("run_start", "start_s"))
 
@@ -80,9 +81,9 @@ s AS (SELECT *, sum(CASE WHEN dt IS NULL OR dt > 43200 THEN 1 ELSE 0 END) OVER (
 SELECT service, instance, metric, min(t) AS start_s, max(t) + 43201 AS end_s, CAST(count(*) AS BIGINT) AS samples, min(value) AS vmin
 FROM s GROUP BY service, instance, metric, sid""")
 def stream_sessions(spark, d):
-    stream, batch = landed(spark, d)
+    stream = landed(spark, d, beyond="1 day")
     out = ST.run_available(ST.breach_sessions(stream, F.expr(BREACH), GAP, LATE), ST.fresh_path(spark, "sessions"))
-    return ST.with_open(out, ST.breach_sessions(batch, F.expr(BREACH), GAP, LATE), [*KEY, "session_start"]).select(
+    return out.select(
         *KEY, _s("session_start", "start_s"), _s("session_end", "end_s"), "samples", "vmin")
 
 
@@ -93,6 +94,6 @@ def stream_baseline_join(spark, d):
     """Static baselines of the last window, sink replaced per day with foreachBatch."""
     pts = X.metric_points(spark, d)
     base = write_stage(B.baselines(pts, X.windows(spark).where("run_id = 'run-4'"), X.policy()), "baselines")
-    s = ST.with_baseline(landed(spark, d, pts)[0], base).withColumn("day", F.date_format(bucket(F.col("ts"), 86400), "yyyyMMdd"))
+    s = ST.with_baseline(landed(spark, d, pts), base).withColumn("day", F.date_format(bucket(F.col("ts"), 86400), "yyyyMMdd"))
     out = ST.upsert_available(s, ST.fresh_path(spark, "scored"), "day", [*KEY, "ts"])
     return out.select(*KEY, _s("ts", "ts_s"), rnd("z").alias("z"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -44,6 +45,30 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """A stage that a loop adds to: one folder with a subfolder a round, read as a single table.
+
+    A plan over all rounds so far stays as small as one over the first, however many there are.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n, self.schema = spark, f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}", 0, None
+        self.added = 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write `df` as the next round and read it back; `added` is its number of rows, counted on the way."""
+        self.schema = df.schema
+        path = f"{self.path}/round={self.n}"
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        self.n, self.added = self.n + 1, seen.get["rows"]
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        """The rows of all rounds; at least one must have been added."""
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/round={k}" for k in range(self.n)])
+
+
 def literal_table(spark: SparkSession, columns: list[tuple[str, str]], rows: list[tuple]) -> DataFrame:
     """A small table of literal rows as a LocalRelation, whose exact size the optimizer knows."""
     def lit(v):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,11 @@ from pulseframe.schemas import KEY
 from pulseframe.session import stage_root, write_stage
 
 
+def is_end() -> Column:
+    """The mark of the input's end, see land_end()."""
+    return F.col("service").isNull()
+
+
 def merge_buckets(points: DataFrame, g: int, late: str) -> DataFrame:
     """One mean per series and bucket; buckets close once the watermark has passed them."""
     return points.withWatermark("ts", late).groupBy(F.window("ts", f"{g} seconds").alias("w"), *KEY).agg(
@@ -31,13 +37,13 @@ def sliding_inspection(points: DataFrame, length: str, slide: str, late: str) ->
 
 def drop_duplicates(points: DataFrame, g: int, late: str) -> DataFrame:
     """Repeated samples of one series and bucket are dropped while the watermark remembers them."""
-    p = points.withColumn("bucket_ts", bucket(F.col("ts"), g)).withWatermark("ts", late)
+    p = points.where(~is_end()).withColumn("bucket_ts", bucket(F.col("ts"), g)).withWatermark("ts", late)
     return p.dropDuplicatesWithinWatermark([*KEY, "bucket_ts"])
 
 
 def breach_sessions(points: DataFrame, breach: Column, gap: str, late: str) -> DataFrame:
-    """Stretches of breaching samples no further apart than `gap`."""
-    return points.where(breach).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), *KEY).agg(
+    """Stretches of breaching samples no further apart than `gap`. The mark of the input's end passes, to move the watermark."""
+    return points.where(breach | is_end()).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), *KEY).agg(
         F.count("*").alias("samples"), F.min("value").alias("vmin"), F.max("value").alias("vmax")).select(
         *KEY, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "samples", "vmin", "vmax")
 
@@ -51,36 +57,60 @@ def with_baseline(points: DataFrame, baselines: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ stateful run length
 RUN_SCHEMA = "service string, instance string, metric string, samples long, longest long, run_start timestamp"
-RUN_STATE = "samples long, cur long, cur_start long, best long, best_start long"
-
-
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Carry the running and the longest breach of one series across micro-batches.
-
-    A batch brings one row per bucket of the series since the last batch.
-    """
-    seen, cur, cur_start, best, best_start = state.get if state.exists else (0, 0, 0, 0, 0)
-    rows = pd.concat(list(batches)).sort_values("ts")
-    for ts, hit in zip(rows["ts"], rows["breach"]):
-        seen += 1
-        if not hit:
-            cur = 0
-            continue
-        if cur == 0:
-            cur_start = int(ts.timestamp())
-        cur += 1
-        if cur > best:
-            best, best_start = cur, cur_start
-    state.update((seen, cur, cur_start, best, best_start))
+RUN_STATE = "samples long, cur long, cur_start long, best long, best_start long, open_ts array<long>, open_hit array<boolean>"
+
+
+def longest_breach(closed: tuple, ts: np.ndarray, hit: np.ndarray) -> tuple:
+    """(samples, cur, cur_start, best, best_start) of a series after the samples at `ts`, in the order of time."""
+    seen, cur, cur_start, best, best_start = closed
+    if not len(ts):
+        return closed
+    # a run begins at a breach after a calm sample; the one in progress goes on if the first sample breaches
+    begins = hit & ~np.concatenate(([cur > 0], hit[:-1]))
+    starts = np.concatenate(([cur_start], ts[begins]))
+    sizes = np.bincount(np.cumsum(begins)[hit], minlength=len(starts))
+    sizes[0] += cur
+    top = int(np.argmax(sizes))
+    if sizes[top] > best:
+        best, best_start = int(sizes[top]), int(starts[top])
+    last = (int(sizes[-1]), int(starts[-1])) if hit[-1] else (0, 0)
+    return seen + len(ts), *last, best, best_start
+
+
+def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int) -> Iterator[pd.DataFrame]:
+    """Samples up to the watermark are final and join the run; later ones wait in the state, as others may still come before them."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    *closed, open_ts, open_hit = state.get if state.exists else (0, 0, 0, 0, 0, [], [])
+    rows = pd.concat(list(batches))
+    ts = np.concatenate((np.array(open_ts, np.int64), rows["ts"].astype("datetime64[us]").astype(np.int64).to_numpy() // 1_000_000))
+    hit = np.concatenate((np.array(open_hit, bool), rows["breach"].fillna(False).to_numpy(bool)))
+    order = np.argsort(ts, kind="stable")
+    ts, hit = ts[order], hit[order]
+    final = int(np.searchsorted(ts * 1000, state.getCurrentWatermarkMs()))
+    closed = longest_breach(tuple(closed), ts[:final], hit[:final])
+    state.update((*closed, ts[final:].tolist(), hit[final:].tolist()))
+    state.setTimeoutTimestamp(max(int(ts[-1]) * 1000, state.getCurrentWatermarkMs()) + idle_ms)
+    seen, _, _, best, best_start = longest_breach(closed, ts[final:], hit[final:])
     start = pd.Timestamp(best_start, unit="s") if best else pd.NaT
     yield pd.DataFrame({"service": [key[0]], "instance": [key[1]], "metric": [key[2]], "samples": [seen], "longest": [best],
                         "run_start": pd.Series([start], dtype="datetime64[ns]")})
 
 
-def breach_runs(points: DataFrame, breach: Column) -> DataFrame:
-    """Longest run of breaching samples per series, updated with every micro-batch."""
-    p = points.select(*KEY, "ts", breach.alias("breach"))
-    return p.groupBy(*KEY).applyInPandasWithState(_advance, RUN_SCHEMA, RUN_STATE, "update", GroupStateTimeout.NoTimeout)
+def breach_runs(points: DataFrame, breach: Column, late: str = "1 hour", idle_hours: float = 24 * 14) -> DataFrame:
+    """Longest run of breaching samples per series, updated with every micro-batch.
+
+    Samples take their place by their own time, in whatever batch they come, unless they are later than `late`.
+    The state of a series holds its counters and the samples younger than that; it goes once the series has been
+    silent for `idle_hours`, after which the series starts anew. A breach that is null counts as calm.
+    """
+    p = points.where(~is_end()).select(*KEY, "ts", breach.alias("breach")).withWatermark("ts", late)
+    idle_ms = int(idle_hours * 3_600_000)
+
+    def advance(key, batches, state):
+        yield from _advance(key, batches, state, idle_ms)
+    return p.groupBy(*KEY).applyInPandasWithState(advance, RUN_SCHEMA, RUN_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 # ------------------------------------------------------------------ running
@@ -92,15 +122,15 @@ def run_available(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/data")
 
 
-def with_open(emitted: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """What a stream has emitted, and of the same operator over the whole bounded input what it has not:
-    the windows that were still open when the input ended.
+def land_end(points: DataFrame, path: str, beyond: str) -> None:
+    """Land the mark of the input's end beside landed points: one row without a service, `beyond` after the last sample.
 
-    The batch result is written first: an anti-join on a session's start must not move below
-    the step that merges sessions.
+    It moves the watermark past every window of the samples, so the stream itself closes and emits them; its own
+    window stays open. `beyond` must exceed the longest window or session gap and the lateness together.
     """
-    batch = write_stage(batch, "whole-input")
-    return emitted.unionByName(batch.join(emitted.select(*keys), keys, "left_anti").select(*emitted.columns))
+    end = points.agg((F.max("ts") + F.expr(f"INTERVAL {beyond}")).alias("ts")).where("ts IS NOT NULL")
+    empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in points.schema}
+    end.select(*[F.col("ts") if c == "ts" else v for c, v in empty.items()]).coalesce(1).write.mode("append").parquet(path)
 
 
 def upsert_available(df: DataFrame, path: str, by: str, keys: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import json
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from pulseframe.schemas import KEY, METRIC_POINTS
@@ -108,6 +110,62 @@ def test_breach_runs_carry_over_batches(spark, tmp_path):
     assert (r.samples, r.longest, r.run_start.timestamp()) == (7, 4, END - 120)
 
 
+def test_a_late_sample_takes_its_own_place_in_a_run(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def go(**options):
+        s = spark.readStream.schema(METRIC_POINTS).parquet(src)
+        df = ST.breach_runs(s, F.col("value") > 5, "5 minutes", **options).withColumn("part", F.col("metric"))
+        return ST.upsert_available(df, out, "part", KEY).first()
+
+    _land(points(spark, rows("cpu_usage", [9], end=END - 120), rows("cpu_usage", [9], end=END)), src)
+    assert go().longest == 2
+    _land(points(spark, rows("cpu_usage", [1], end=END - 60)), src)  # calm, between the two
+    assert (go().samples, go().longest) == (3, 1)
+
+
+def test_an_idle_series_leaves_the_state(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def go():
+        s = spark.readStream.schema(METRIC_POINTS).parquet(src)
+        return {r.metric: r for r in ST.upsert_available(
+            ST.breach_runs(s, F.col("value") > 5, "1 minute", 1).withColumn("part", F.col("metric")), out, "part", KEY).collect()}
+
+    _land(points(spark, rows("cpu_usage", [9, 9], end=END)), src)
+    assert go()["cpu_usage"].longest == 2
+    _land(points(spark, rows("qps", [9], end=END + 4 * 3600)), src)
+    go()
+    _land(points(spark, rows("cpu_usage", [9], end=END + 4 * 3600 + 60)), src)
+    assert (go()["cpu_usage"].samples, go()["cpu_usage"].longest) == (1, 1)
+
+
+def test_runs_over_parts_equal_runs_over_all():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        hit = rng.random(30) < 0.7
+        ts = np.arange(30) * 60
+        whole = ST.longest_breach((0, 0, 0, 0, 0), ts, hit)
+        cut = int(rng.integers(0, 31))
+        assert ST.longest_breach(ST.longest_breach((0, 0, 0, 0, 0), ts[:cut], hit[:cut]), ts[cut:], hit[cut:]) == whole
+        best, cur = (0, 0), 0
+        for t, h in zip(ts, hit):
+            cur = cur + 1 if h else 0
+            if cur > best[0]:
+                best = (cur, t - (cur - 1) * 60)
+        assert (whole[0], whole[3], whole[4]) == (30, *best)
+
+
+def test_the_end_mark_closes_all_windows_in_the_stream(spark, tmp_path):
+    src = str(tmp_path / "in")
+    pts = points(spark, rows("qps", [1.0, 2.0, 3.0, 4.0], end=END))
+    _land(pts, src)
+    ST.land_end(pts, src, "1 hour")
+    stream = spark.readStream.schema(METRIC_POINTS).option("maxFilesPerTrigger", 1).parquet(src)
+    got = ST.run_available(ST.merge_buckets(stream, 60, "2 minutes"), str(tmp_path / "out"))
+    assert got.count() == 4 and got.where("service IS NULL").count() == 0
+
+
 def test_late_samples_within_the_watermark_count(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
 
