@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulseframe.functions import duration_text, fmt
+from pulseframe.operators.similarity import tokens
+from pulseframe.operators.skew import split_keys
 
 RECURRENCE = 0.6
 
@@ -29,23 +31,22 @@ def jaccard_matches(
 ) -> DataFrame:
     """Signature similarity of each cluster to clusters of other windows, best k per cluster.
 
-    Exact, over shared tokens only. Both sides: run_id, cluster_id, signature. A frequent
-    token makes many pairs, so tokens meet under a salted key and pair counts combine
-    map-side; pairs without a common token are never formed.
+    Exact, over shared tokens only. Both sides: run_id, cluster_id, signature. Pairs without a
+    common token are never formed; a frequent token makes many, so its rows are split by their
+    number and pair counts combine map-side. What only asks for similar pairs uses
+    similarity.recurring(), which forms no others.
     """
     w = runs.select("run_id", "window_end")
 
-    def tokens(df, p):
-        t = F.array_distinct(F.filter(F.split("signature", "&"), lambda x: x != ""))
+    def token_rows(df, p):
+        t = tokens(F.col("signature"))
         return df.join(w, "run_id").select(
             F.col("run_id").alias(f"{p}_run"), F.col("cluster_id").alias(f"{p}_cluster"), F.col("window_end").alias(f"{p}_end"),
             F.size(t).alias(f"{p}_n"), F.explode(t).alias("token"))
 
-    salt = 8
-    a = tokens(clusters, "a").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    b = tokens(history, "b").withColumn("_s", F.pmod(F.xxhash64("b_run", "b_cluster"), F.lit(salt)).cast("int"))
+    a, b = split_keys(token_rows(clusters, "a"), token_rows(history, "b"), ["token"], ["b_run", "b_cluster"])
     apart = (F.col("b_end") < F.col("a_end")) if earlier_only else (F.col("b_end") != F.col("a_end"))
-    pairs = a.join(b, ["token", "_s"]).where((F.col("a_run") != F.col("b_run")) & apart).groupBy(
+    pairs = a.join(b, ["token", "_part"]).where((F.col("a_run") != F.col("b_run")) & apart).groupBy(
         "a_run", "a_cluster", "b_run", "b_cluster").agg(
         F.count("*").alias("common"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
     sim = pairs.withColumn("similarity", F.col("common") / (F.col("a_n") + F.col("b_n") - F.col("common")))

@@ -7,6 +7,7 @@ from pulseframe.operators import anomalies as A
 from pulseframe.operators import attribution as AT
 from pulseframe.operators import evaluate as EV
 from pulseframe.operators import history as H
+from pulseframe.operators import similarity as S
 from pulseframe.queries import fixtures as X
 from pulseframe.queries import q_score  # noqa: F401 - registers the score views used below
 from pulseframe.queries.q_attribution import conclusions
@@ -50,7 +51,7 @@ def jaccard_matches(spark, d):
 @query("recurrence", "SELECT * FROM recur")
 def recurrence(spark, d):
     s = signatures(inspection(spark, d))
-    return H.recurrence(s, H.jaccard_matches(s, s, X.windows(spark), k=None))
+    return S.recurring(s, s, X.windows(spark), H.RECURRENCE)
 
 
 @query("sync_recurrence", """
@@ -58,7 +59,7 @@ SELECT run_id, cluster_id, is_recurring, (run_id = 'run-2') <> is_recurring AS c
 def sync_recurrence(spark, d):
     s = signatures(inspection(spark, d))
     claimed = s.select("run_id", "cluster_id", (F.col("run_id") == "run-2").alias("is_recurring"))
-    rec = H.recurrence(s, H.jaccard_matches(s, s, X.windows(spark), k=None))
+    rec = S.recurring(s, s, X.windows(spark), H.RECURRENCE)
     return AT.sync_recurrence(claimed, rec).select("run_id", "cluster_id", "is_recurring", "corrected")
 
 

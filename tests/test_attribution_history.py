@@ -1,5 +1,7 @@
 """Attribution, outside conclusions, similarity and comparison on hand-made rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,8 @@ from pulseframe.operators import attribution as AT
 from pulseframe.operators import clusters as CL
 from pulseframe.operators import evaluate as EV
 from pulseframe.operators import history as H
+from pulseframe.operators import similarity as S_
+from pulseframe.operators.skew import split_keys
 from pulseframe.session import literal_table
 from tests.test_groups_scores import active, topo
 
@@ -103,6 +107,36 @@ def test_jaccard_matches_brute_force_with_a_hot_token(spark):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.8, 1.0])
+def test_similar_sets_brute_force(spark, threshold):
+    rng = random.Random(int(threshold * 10))
+    sets = {f"s{i:03d}": frozenset(rng.sample("abcdefghijkl", rng.randint(0, 6))) | ({"hot"} if rng.random() < 0.6 else set()) for i in range(120)}
+    df = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id string, tokens array<string>")
+    got = {(r.a, r.b): r.similarity for r in S_.similar_sets(df, threshold).collect()}
+    want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a != b and x and y and len(x & y) / len(x | y) >= threshold}
+    assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("earlier", [True, False])
+def test_recurring_equals_the_best_of_all_matches(spark, earlier):
+    rng = random.Random(7)
+    items = [(f"r{i}", f"c{j}", "&".join(rng.sample("abcdefg", rng.randint(1, 5)) + (["a"] if j else []))) for i in range(12) for j in range(3)]
+    items += [("r3", "none", ""), ("r5", "null", None), ("ghost", "c", "a&b")]
+    w = windows(spark, *[(f"r{i}", i // 2) for i in range(12)])
+    cur = sig(spark, *items)
+    want = H.recurrence(cur, H.jaccard_matches(cur, cur, w, k=None, earlier_only=earlier))
+    got = S_.recurring(cur, cur, w, 0.6, earlier_only=earlier)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.where("is_recurring").count() > 3
+
+
+def test_split_keys(spark):
+    left = spark.range(3).select(F.col("id").alias("k"), F.lit("l").alias("v"))
+    right = spark.range(100).select(F.when(F.col("id") < 90, 0).otherwise(5).cast("long").alias("k"), F.col("id").alias("w"))
+    a, b = split_keys(left, right, ["k"], ["w"], rows=10)
+    assert a.where("k = 0").count() == 9 and a.where("k > 0").count() == 0
+    assert sorted(r.w for r in a.join(b, ["k", "_part"]).collect()) == list(range(90))
+
+
 def test_run_diff_and_trend(spark):
     a = literal_table(spark, [("run_id", S), ("anomaly_id", S), ("is_suppressed", "boolean")],
                       [("p", "x", False), ("p", "y", False), ("q", "y", False), ("q", "z", True)])
@@ -117,6 +151,30 @@ def test_run_diff_and_trend(spark):
     assert H.previous_run(r, per_scenario=True).where("prev_run_id IS NOT NULL").count() == 0
 
 
+@pytest.fixture
+def many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_asof_over_range_borders(spark, many_ranges):
+    """Ranges without a change of their own take the last one before them; ties go to the smallest id."""
+    rng = random.Random(3)
+    ch = [(f"c{i:02d}", rng.choice("ab"), rng.randint(0, 8000) // 60 * 60, "x") for i in range(25)] + [("null", None, 5, "x"), ("never", "a", None, "x")]
+    on = [(i, rng.choice("abz"), rng.randint(0, 9000)) for i in range(300)] + [(900, "a", None), (901, None, 50)]
+    got = {r.k: (r.change_id, r.minutes_before) for r in AT.asof_change(
+        spark.createDataFrame(on, "k long, service string, t long").select("k", "service", F.timestamp_seconds("t").alias("onset")),
+        spark.createDataFrame(ch, "change_id string, service string, t long, type string").select("change_id", "service", F.timestamp_seconds("t").alias("ts"), "type"),
+        ["k"]).collect()}
+    want = {}
+    for k, s, t in on:
+        near = [(t - u, c) for c, v, u, _ in ch if None not in (t, s, u) and v == s and 0 <= t - u <= 1800]
+        if near:
+            want[k] = (min(near)[1], min(near)[0] / 60)
+    assert got == want and len(got) > 100
+
+
 def test_asof_edges_and_hot_service(spark):
     on = literal_table(spark, [("k", L), ("service", S), ("t", L)], [(i, "hot", 10_000 + i * 600) for i in range(20)]).select(
         "k", "service", F.timestamp_seconds("t").alias("onset"))
