@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,10 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import write_stage
+from pulseframe.llm.common import per_process, write_stage
+from pulseframe.llm.wordbpe import PLAIN, Numbers, char_class
 
 #: Bytes of text that share a dictionary of pairs, and characters that are aligned and that are encoded at a time.
 BATCH, ALIGN, ENCODE = 4 << 20, 512 << 10, 128 << 10
+#: Pre-tokens whose ids a worker remembers before it forgets them all.
+REMEMBER = 500_000
 #: Entries that a row product expands at a time.
 EXPAND = 1_000_000
 
@@ -117,21 +121,55 @@ class Pair:
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.long_a, self.long_b = (np.array([len(x) for x in xs], np.int64) for xs in (self.bytes_a, self.bytes_b))
+        self.split, self.known = byte_level_splitter(), Numbers([])
+        self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
         n = (len(self.bytes_a), len(self.bytes_b))
         self.parts = [str(i) + end for k, ends in enumerate((",|", ",;")) for end in ends for i in range(n[k])]
         self.offset = (0, n[0], 2 * n[0], 2 * n[0] + n[1])
 
-    def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def ids_a(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of space + text. Merges never cross pre-tokens, so each distinct pre-token is merged once, by the library."""
+        if len(self.known) > REMEMBER:
+            self.known, self.flat, self.sizes = Numbers([]), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        parts: list[np.ndarray | None] = []
+        for t in texts:
+            words = self.split.findall(" " + t) if PLAIN.fullmatch(t) else None
+            parts.append(None if words is None else np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
+        new, self.known.waiting = self.known.waiting, []
+        if new:
+            got = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
+            self.flat = np.concatenate((self.flat, np.array([i for ids in got for i in ids], np.int32)))
+            self.sizes = np.concatenate((self.sizes, np.array([len(ids) for ids in got], np.int64)))
+        start = np.cumsum(self.sizes) - self.sizes
+        whole = iter([e.ids for e in self.a.encode_batch_fast([" " + t for t, x in zip(texts, parts) if x is None], add_special_tokens=False)])
+        out = []
+        for x in parts:
+            if x is None:
+                out.append(np.array(next(whole), np.int32))
+            else:
+                n = self.sizes[x]
+                out.append(self.flat[np.repeat(start[x] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
+        return out
+
+    def ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both, none where a text is empty or its tokens' bytes are not the text's."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        for i, t in enumerate(texts):
+        a, none = self.ids_a(texts), np.zeros(0, np.int32)
+        b = []
+        for i, (t, ids) in enumerate(zip(texts, self.b.encode(texts, num_threads=1))):
             want = b" " + t.encode()
-            if not t or b"".join(map(self.bytes_a.__getitem__, a[i])) != want or b"".join(map(self.bytes_b.__getitem__, b[i])) != want:
-                a[i], b[i] = [], []
+            same = t and b"".join(map(self.bytes_b.__getitem__, ids)) == want and b"".join(map(self.bytes_a.__getitem__, a[i].tolist())) == want
+            b.append(np.array(ids, np.int32) if same else none)
+            if not same:
+                a[i] = none
         return a, b
 
 
+def byte_level_splitter() -> re.Pattern:
+    """The byte-level vocabulary's pre-token pattern for the characters of PLAIN, whose white space is tab, line ends and space."""
+    letter, number = char_class("L"), char_class("N")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^\t\n\r {letter}{number}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from U+0100 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -147,8 +185,8 @@ class Aligned:
         a, b = [], []
         for part in by_bytes(texts):
             x, y = pair.ids(part)
-            a += [np.array(i, np.int32) for i in x]
-            b += [np.array(i, np.int32) for i in y]
+            a += x
+            b += y
         none = [np.zeros(0, np.int32)]
         self.n_a, self.n_b = (np.array([len(i) for i in x], np.int64) for x in (a, b))
         self.a, self.b = np.concatenate(a + none), np.concatenate(b + none)
@@ -242,7 +280,7 @@ def token_links(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = None
         for t in batches_of(batches):
-            pair = pair or Pair(path_a, path_b)
+            pair = pair or per_process(("alignment", path_a, path_b), lambda: Pair(path_a, path_b))
             x = Aligned(pair, [v or "" for v in t["text"].to_pylist()])
             row, column, value = x.overlap_links()
             cut_a, cut_b = (np.concatenate(([0], np.cumsum(n))) for n in (x.n_a, x.n_b))
@@ -269,7 +307,7 @@ def linked(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, number = None, 0
         for t in batches_of(batches):
-            pair = pair or Pair(path_a, path_b)
+            pair = pair or per_process(("alignment", path_a, path_b), lambda: Pair(path_a, path_b))
             texts, keys, digests, figures, at = [], [], [], [], 0
             for part in by_bytes([v or "" for v in t["text"].to_pylist()], ALIGN):
                 x = Aligned(pair, part)

@@ -25,6 +25,17 @@ def pieces_of(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordB
         yield batch.slice(at, rows)
 
 
+def per_process(key: tuple, make: Callable[[], object]) -> object:
+    """What `make` gives, once a worker process: its later tasks find it again.
+
+    Functions travel by value, so their modules' globals begin anew in each task; an imported module's attribute stays.
+    """
+    held = pa.__dict__.setdefault("_held_by_process", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table], schema: str) -> DataFrame:
     """Apply `fn` to the rows of `df`, a few megabytes at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
