@@ -45,25 +45,24 @@ def baselines(archive: DataFrame, windows: DataFrame, policy: Policy, min_sample
     """One row per (run, series) in the archive.
 
     One exchange on the series key. A group is one series' archive range, at most
-    (archive range / step) samples after cleaning, so it is gathered once and sorted; every
-    order statistic is then an index into that array, where separate percentile aggregates
-    would each build a map of the values.
+    (archive range / step) samples after cleaning, so its values are gathered once as plain
+    arrays and sorted; every order statistic is then an index into an array, where separate
+    percentile aggregates would each build a map of the values. What needs no order is
+    aggregated as it comes; only the deviations from the median are computed per element.
     """
     min_samples = policy.baseline_min_samples if min_samples is None else min_samples
     s = archive_samples(archive, windows, policy)
+    slot, v = F.when(F.col("in_slot"), F.col("value")), F.col("value")
     # the hash leads the grouping key: the sort behind the aggregate then compares one long, not four strings
-    a = s.withColumn("_k", F.xxhash64(*RKEY)).groupBy("_k", *RKEY).agg(F.collect_list(F.struct(
-        "value", "in_slot", (F.col("hour") == F.col("anchor_hour")).alias("at_hour"))).alias("_s"))
-    a = a.withColumns({
-        "n_all": F.expr("bigint(size(_s))"), "n_slot": F.expr("bigint(size(filter(_s, x -> x.in_slot)))"),
-        "_h": F.expr("sort_array(transform(filter(_s, x -> x.at_hour), x -> x.value))")})
-    a = a.withColumn("_v", F.expr(
-        f"sort_array(transform(IF(n_slot >= {min_samples}, filter(_s, x -> x.in_slot), _s), x -> x.value))"))
-    a = a.withColumns({"sample_size": F.expr("bigint(size(_v))"), "median": F.expr(_quantile("_v", 0.5)),
-                       "mean": F.expr("aggregate(_v, 0D, (t, v) -> t + v) / size(_v)")})
-    a = a.withColumns({
-        "_d": F.expr("sort_array(transform(_v, v -> abs(v - median)))"),
-        "stdev": F.expr("sqrt(aggregate(_v, 0D, (t, v) -> t + (v - mean) * (v - mean)) / size(_v))")})
+    a = s.withColumn("_k", F.xxhash64(*RKEY)).groupBy("_k", *RKEY).agg(
+        F.count("*").alias("n_all"), F.count_if("in_slot").alias("n_slot"), F.collect_list(v).alias("_all"), F.collect_list(slot).alias("_slot"),
+        F.collect_list(F.when(F.col("hour") == F.col("anchor_hour"), v)).alias("_hour"), F.avg(v).alias("_ma"), F.avg(slot).alias("_ms"),
+        F.stddev_pop(v).alias("_sa"), F.stddev_pop(slot).alias("_ss"))
+    own = f"n_slot >= {min_samples}"
+    a = a.selectExpr(*RKEY, "n_all", "n_slot", f"sort_array(IF({own}, _slot, _all)) AS _v", "sort_array(_hour) AS _h",
+                     f"IF({own}, _ms, _ma) AS mean", f"IF({own}, _ss, _sa) AS stdev")
+    a = a.withColumns({"sample_size": F.expr("bigint(size(_v))"), "median": F.expr(_quantile("_v", 0.5))})
+    a = a.withColumn("_d", F.expr("sort_array(transform(_v, v -> abs(v - median)))"))
     a = a.withColumn("mad", F.expr(_quantile("_d", 0.5)))
     a = a.withColumn("scale", F.expr(f"greatest(mad * {MAD_SCALE}D, abs(median) * {RELATIVE_FLOOR}D)"))
     dynamic = f"sample_size >= {min_samples} AND scale > 0"

@@ -26,6 +26,22 @@ def percentiles(points: DataFrame, keys: list[str], qs=(0.5, 0.95, 0.99)) -> Dat
         *[F.percentile("value", F.lit(q)).alias(f"p{round(q * 100)}") for q in qs])
 
 
+def trailing(points: DataFrame, length_seconds: int, block_seconds: int | None = None) -> DataFrame:
+    """Each point with the count, mean and maximum of its own trailing window (ts - length, ts] of its series.
+
+    A series is cut into time blocks, so a long or busy one spreads over many tasks; a block also gets the points
+    before it that its windows reach back to.
+    """
+    block = max(block_seconds or 7 * 86_400, length_seconds)
+    t = seconds(F.col("ts"))
+    own = F.floor(t / block)
+    p = points.withColumn("_t", t).withColumn("_own", own).withColumn(
+        "_b", F.explode(F.sequence(own, F.floor((t + F.lit(length_seconds - 1)) / block))))
+    w = W.partitionBy("service", "instance", "metric", "_b").orderBy("_t").rangeBetween(-(length_seconds - 1), 0)
+    out = p.withColumns({"n": F.count("*").over(w), "mean": F.avg("value").over(w), "vmax": F.max("value").over(w)})
+    return out.where(F.col("_b") == F.col("_own")).drop("_t", "_own", "_b")
+
+
 def worst(points: DataFrame, keys: list[str], catalog: DataFrame) -> DataFrame:
     """Worst value in the metric's bad direction, with the plain extremes for two-sided metrics."""
     out = points.groupBy(*keys).agg(F.min("value").alias("vmin"), F.max("value").alias("vmax"))

@@ -20,6 +20,7 @@ from pulseframe.operators.windows import assign_windows
 from pulseframe.policy import Policy
 from pulseframe.schemas import RKEY
 from pulseframe.session import write_stage
+from pulseframe.sources.points import scan_windows
 
 
 @dataclass
@@ -73,7 +74,13 @@ class Inspection:
 
     @cached_property
     def clean(self) -> DataFrame:
-        return self._stage(self.points, "clean")
+        """The points that the windows, the rules' lookbacks and, of a shared input, the archives need."""
+        span = self.policy.max_lookback_seconds(0)
+        start = F.least(F.col("window_start"), F.timestamp_seconds(F.unix_seconds("window_end") - span))
+        end = F.col("window_end")
+        if self.archive is self.points:
+            start, end = F.least(start, F.col("archive_start")), F.greatest(end, F.col("archive_end"))
+        return self._stage(scan_windows(self.points, self.windows, start, end), "clean")
 
     @cached_property
     def windowed(self) -> DataFrame:
@@ -82,7 +89,9 @@ class Inspection:
 
     @cached_property
     def baselines(self) -> DataFrame:
-        archive = self.clean if self.archive is self.points else self.archive
+        archive = self.clean
+        if self.archive is not self.points:
+            archive = scan_windows(self.archive, self.windows, F.col("archive_start"), F.col("archive_end"))
         return self._stage(B.baselines(archive, self.windows, self.policy, self.min_samples), "baselines")
 
     @cached_property

@@ -230,3 +230,44 @@ def replace_run_outputs(spark, d):
     sinks.write_run_outputs(rows, path)
     sinks.write_run_outputs(rows.limit(0), path, X.windows(spark).where("run_id = 'run-3'"))
     return spark.read.parquet(path).select("run_id", "change_id")
+
+
+@query("window_scan", """
+SELECT strftime(make_timestamp(t // 86400 * 86400::BIGINT * 1000000), '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS points FROM points
+WHERE t >= (SELECT min(ws) FROM windows WHERE run_id IN ('run-1', 'run-4')) AND t < (SELECT max(we) FROM windows WHERE run_id IN ('run-1', 'run-4'))
+  AND EXISTS (SELECT 1 FROM windows w WHERE run_id IN ('run-1', 'run-4') AND t // 86400 >= ws // 86400 AND t // 86400 <= we // 86400) GROUP BY 1""")
+def window_scan(spark, d):
+    """Points stored by day, read for the first and the last window only."""
+    path = fresh_path(spark, "stored")
+    X.metric_points(spark, d).withColumn("date", F.to_date("ts")).write.partitionBy("date").parquet(path)
+    w = X.windows(spark).where("run_id IN ('run-1', 'run-4')")
+    p = P.scan_windows(spark.read.parquet(path), w, F.col("window_start"), F.col("window_end"))
+    return p.groupBy(F.date_format("date", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("points"))
+
+
+@query("distinct_sketch", """
+SELECT event_type, CAST(count(DISTINCT user_id) AS BIGINT) AS exact, CAST(count(*) AS BIGINT) AS points, TRUE AS within FROM events
+WHERE CAST(ts AS DATE) < (SELECT max(CAST(ts AS DATE)) FROM events) GROUP BY event_type""")
+def distinct_sketch(spark, d):
+    """Users per event type over all days but the last, from stored day sketches, beside the exact number."""
+    e = X.load(spark, d, "events").withColumn("date", F.to_date("ts"))
+    path = fresh_path(spark, "sketches")
+    P.day_sketches(e, F.col("user_id"), ("date", "event_type")).write.parquet(path)
+    last = e.agg(F.max("date")).first()[0]
+    s = P.distinct_of(spark.read.parquet(path).where(F.col("date") < F.lit(last)), ("event_type",))
+    exact = e.where(F.col("date") < F.lit(last)).groupBy("event_type").agg(F.countDistinct("user_id").alias("exact"))
+    return s.join(exact, "event_type").select("event_type", "exact", "points", (F.abs(F.col("about") - F.col("exact")) <= 0.02 * F.col("exact")).alias("within"))
+
+
+@query("alert_files", f"""
+SELECT service AS run_id, concat(metric, ' ', CAST(count(*) AS BIGINT)) AS text FROM points WHERE metric = 'qps' AND service <> 'svc-0' GROUP BY service, metric
+UNION ALL SELECT service, concat(metric, ' ', CAST(count(*) AS BIGINT)) FROM points WHERE metric = 'cpu_usage' AND service = 'svc-4' GROUP BY service, metric""")
+def alert_files(spark, d):
+    """Alerts of every service, written again for two of them: one has another alert, the other none any more."""
+    n = X.metric_points(spark, d).where("metric IN ('qps', 'cpu_usage')").groupBy("service", "metric").agg(F.count("*").alias("n"))
+    a = n.select(F.col("service").alias("run_id"), F.concat_ws(" ", "metric", F.col("n").cast("string")).alias("text"))
+    path = fresh_path(spark, "alerts")
+    sinks.write_alerts(a.where("text LIKE 'qps%'"), path)
+    again = a.where("run_id = 'svc-4'")
+    sinks.write_alerts(again, path, a.where("run_id IN ('svc-0', 'svc-4')").select("run_id"))
+    return spark.read.schema("text string, run_id string").json(path).select("run_id", "text")

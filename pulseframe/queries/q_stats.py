@@ -123,3 +123,11 @@ SELECT {RK}, CASE WHEN ds IS NULL OR len(ds) = 0 THEN 1 ELSE greatest(1, ds[(len
 def series_step(spark, d):
     w = X.windows(spark).select("run_id", "window_start", "window_end")
     return S.step_minutes(assign_windows(X.sparse_points(spark, d), w), RKEY)
+
+
+@query("trailing_stats", """
+SELECT service, instance, metric, t AS ts_s, CAST(count(*) OVER w AS BIGINT) AS n, rnd(avg(value) OVER w, 4) AS mean, max(value) OVER w AS vmax FROM points
+WINDOW w AS (PARTITION BY service, instance, metric ORDER BY t RANGE BETWEEN 172799 PRECEDING AND CURRENT ROW)""")
+def trailing_stats(spark, d):
+    t = S.trailing(X.metric_points(spark, d), 172_800)
+    return t.select("service", "instance", "metric", seconds(F.col("ts")).alias("ts_s"), "n", rnd("mean").alias("mean"), "vmax")

@@ -68,6 +68,24 @@ def collection_range(policy: Policy, windows: DataFrame, window_seconds: int) ->
         F.col("window_end").alias("collect_end"))
 
 
+def scan_windows(points: DataFrame, windows: DataFrame, start: Column, end: Column) -> DataFrame:
+    """The points that windows with the range [start, end) can need, and no other days.
+
+    The outermost range is a literal filter, which reaches partitions and row groups; one row comes to the driver
+    for it. Where points are stored by `date`, a semi join with the days of all ranges prunes the folders between
+    distant windows as well, at run time.
+    """
+    w = windows.select(start.alias("_a"), end.alias("_z"))
+    lo, hi = w.agg(F.min("_a").cast("long"), F.max("_z").cast("long")).first()
+    if lo is None:
+        return points.limit(0)
+    points = points.where((F.col("ts") >= F.timestamp_seconds(F.lit(lo))) & (F.col("ts") < F.timestamp_seconds(F.lit(hi))))
+    if "date" not in points.columns:
+        return points
+    days = w.select(F.explode(F.sequence(F.to_date("_a"), F.to_date("_z"))).alias("date")).distinct()
+    return points.join(days.where(F.col("date") >= F.to_date(F.timestamp_seconds(F.lit(lo)))), "date", "left_semi")
+
+
 def manifest(points: DataFrame) -> DataFrame:
     """Series, points and time range per dataset: series first, so one hot dataset combines map-side."""
     per = points.groupBy("dataset_id", *KEY).agg(F.count("*").alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
@@ -80,6 +98,16 @@ def dataset_counts(points: DataFrame) -> DataFrame:
     return per.groupBy("dataset_id").agg(F.sum("n").alias("points"), F.count("*").alias("instances"))
 
 
+def day_sketches(points: DataFrame, what: Column, keys: tuple[str, ...] = ("date",), precision: int = 16) -> DataFrame:
+    """A mergeable sketch of the distinct values of `what` per day (or other keys): stored once, merged for any set of days."""
+    return points.groupBy(*keys).agg(F.hll_sketch_agg(what, precision).alias("sketch"), F.count("*").alias("points"))
+
+
+def distinct_of(sketches: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """About how many distinct values the sketches hold together (standard error 0.4 %), without a look at the points."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("about"), F.sum("points").alias("points"))
+
+
 def fingerprint(points: DataFrame, keys: tuple[str, ...] = ("dataset_id",)) -> DataFrame:
     """Count, range and order-independent hashes of all values, per dataset: equal rows cancel in the xor but not in the sum."""
     row = F.xxhash64(*KEY, "ts", "value")
@@ -115,9 +143,9 @@ def replace_keys(df: DataFrame, path: str, by: tuple[str, ...], keys: DataFrame)
 
     Partitions of these keys that `df` does not fill are removed after the write, so a
     dataset of fewer dates or a run without rows leaves nothing old behind. Only the names
-    of such folders reach the driver.
+    of such folders reach the driver. `df` is computed once, before the table changes under it.
     """
-    spark = df.sparkSession
+    spark, df = df.sparkSession, write_stage(df, "replacement")
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     stale = []
