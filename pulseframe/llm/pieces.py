@@ -5,14 +5,15 @@ and around characters that stand in no longer piece. In each part an agenda hold
 candidate merges, best score first, ties from the left. A candidate is skipped when the
 keyed hash of (seed, document, part number, place, merged piece) is below `dropout`; a
 skipped one only comes back if a neighbour changes. So every occurrence of a word has draws
-of its own, and always the same at the same place of the same document. A task remembers
+of its own, and always the same at the same place of the same document. A worker remembers
 for each part a tree of what was skipped or not, and so merges anew only where an occurrence
 takes a path that none took before. With `variants` above zero, the draws depend on (seed, one
 of so many variants, part) instead. With dropout 0 the ids equal the library's. What is no
 piece becomes bytes; a literal U+2581 does too, so that every text decodes to itself.
 
 Defined results: null and empty texts have no ids and decode to the empty text; a null id
-keys its document as -1, and rows of equal id and text have equal ids.
+keys its document as -1, and rows of equal id and text have equal ids. Very long texts are
+encoded whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulseframe.llm.common import per_process
+
 SPACE = "▁"
 LITERAL = "\0" + SPACE  # stands for a U+2581 of the text: in no piece
-#: Draws that a task remembers before it forgets them all, and characters of the longest part that it remembers.
+#: Draws that a worker remembers before it forgets them all, and characters of the longest part that it remembers.
 REMEMBER, LONGEST = 4_000_000, 32
 M64, GOLDEN, MIX, MIX2 = 0xFFFFFFFFFFFFFFFF, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -201,7 +204,7 @@ def encoded(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 13, va
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("token_ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
     def run(batches):
-        pieces = Pieces(path, dropout, seed, variants)
+        pieces = per_process(("pieces", path, dropout, seed, variants), lambda: Pieces(path, dropout, seed, variants))
         for b in batches:
             own, texts = b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist()
             ids = [pieces.encode(t or "", -1 if d is None else d) for d, t in zip(own, texts)]
@@ -214,7 +217,7 @@ def digests(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 13, va
             text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, ids_crc32 and lossless (decoding gives the text back) of every whole text."""
     def run(batches):
-        pieces = Pieces(path, dropout, seed, variants)
+        pieces = per_process(("pieces", path, dropout, seed, variants), lambda: Pieces(path, dropout, seed, variants))
         for b in batches:
             rows = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
