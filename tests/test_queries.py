@@ -10,7 +10,8 @@ from tests.check_oracles import compare
 
 SF = os.environ.get("PULSEFRAME_SF", "/root/testdata/sf0.001")
 FEW = ["series_compact", "clean", "clean_stats", "baseline_robust_slot", "all_findings", "stats_grouping_sets", "suggestions",
-       "asof_change", "closure", "stream_sessions"]
+       "asof_change", "closure", "stream_sessions", "stream_bucket_merge", "chain_health", "recurrence", "comparison_items", "window_scan",
+       "replace_dataset", "write_if_changed", "alert_files", "trailing_stats", "distinct_sketch"]
 NAMES = list(QUERIES) if os.environ.get("PULSEFRAME_FULL") else FEW
 
 
