@@ -110,10 +110,12 @@ def clusters(grouped: DataFrame, closure: DataFrame, walks: DataFrame) -> DataFr
     up = closure.groupBy(F.col("dst").alias("_o")).agg(F.min_by("path", F.struct(-F.col("hops"), "path")).alias("_up"))
     hit = grouped.select("service").distinct()
     near = closure.join(hit.withColumnRenamed("service", "src"), "src", "left_semi").join(hit.withColumnRenamed("service", "dst"), "dst", "left_semi")
-    anc = near.groupBy(F.col("dst").alias("_o")).agg(F.collect_set("src").alias("_anc"))
-    desc = near.groupBy(F.col("src").alias("_o")).agg(F.collect_set("dst").alias("_desc"))
+    ends = F.explode(F.array(F.struct(F.col("dst").alias("o"), F.col("src").alias("up"), F.lit(None).cast("string").alias("down")),
+                             F.struct(F.col("src").alias("o"), F.lit(None).cast("string").alias("up"), F.col("dst").alias("down"))))
+    kin = near.select(ends.alias("e")).groupBy(F.col("e.o").alias("_o")).agg(
+        F.collect_set("e.up").alias("_anc"), F.collect_set("e.down").alias("_desc"))
     c = c.withColumn("_o", service)
-    for side in (down, up, anc, desc):
+    for side in (down, up, kin):
         c = c.join(side, "_o", "left")
     empty = F.array().cast("array<string>")
     long = F.when(F.size(F.coalesce("_down", empty)) > 1, F.col("_down")).otherwise(F.coalesce("_up", F.array(service)))
