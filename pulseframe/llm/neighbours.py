@@ -2,24 +2,29 @@
 
 Each of CURVES orderings projects the vectors on a few random directions, shifts and
 quantises them, and sorts them by their Hilbert key. Spark range-partitions the keys; the
-ordering is cut into blocks of `block` vectors, and a query meets the vectors of its own
-block and of the nearer neighbouring one. The candidates of all orderings merge and are
-ranked by their exact inner product. Longer vectors are lifted onto a sphere by one more
-coordinate (queries by zero), so that near on the curve means a large inner product.
-
-A query whose neighbours the orderings do not confirm (fewer than `confirmed` of them were
-met by two orderings or more) is not left at that: it is compared with all vectors, in
-blocks. Isotropic data without near neighbours needs that; clustered data does not. So is
-a query beside vectors of one key of which it met only a part: equal vectors share a key
-in every ordering, and only a comparison with all finds the smallest ids of them.
+ordering is cut into blocks, and a query meets the vectors of its own block and of the
+nearer neighbouring one. The candidates of all orderings merge and are ranked by their
+exact inner product. Longer vectors are lifted onto a sphere by one more coordinate
+(queries by zero), so that near on the curve means a large inner product.
+
+A block holds 12 times the square root of the number of vectors, one rule at every size: a
+query meets 24 sqrt(n) of them on each curve, so the work grows with n^1.5 and not with n^2.
+The answers come from the curves. Two cases are left to a comparison with all vectors, in
+blocks: a query beside vectors of one key of which it met only a part (equal vectors share
+a key in every ordering, and only that comparison finds the smallest ids of them), and, if
+`confirmed` is given, a query of whose k neighbours less than that share was met by two
+orderings or more.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part, nor does a null id. Rows of equal id count as one candidate of
-the larger score. Ties go to the smaller id.
+the larger score. Ties go to the smaller id. An empty table, or one without usable
+vectors, gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,13 +34,15 @@ from pyspark.sql import functions as F
 
 from pulseframe.llm.common import sorted_groups, write_stage
 
-CURVES, DIMS, BITS = 4, 7, 9
+CURVES, DIMS, BITS = 12, 7, 9
 PAIRS = "curve int, query_id long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id, v (array<double>) of the vectors that take part."""
-    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    """vec_id, v of the vectors that take part; single precision stays as it is, all else is double."""
+    v = F.col(vec_col)
+    if vectors.select(v).schema[0].dataType.simpleString() != "array<float>":
+        v = F.transform(v, lambda x: x.cast("double"))
     df = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND size(v) > 0")
     fine = F.forall("v", lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     return df.where(fine & F.exists("v", lambda x: x != 0))
@@ -72,7 +79,7 @@ def hilbert_keys(x: np.ndarray, bits: int) -> np.ndarray:
 def matrix(column, dim: int) -> np.ndarray:
     """Rows of an Arrow list column as a matrix."""
     chunk = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return chunk.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return chunk.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64, copy=False)
 
 
 def best(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
@@ -95,7 +102,7 @@ def best(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndar
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = 2048, confirmed: float = 0.9, seed: int = 7,
+def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int | None = None, confirmed: float | None = None, seed: int = 7,
            id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the `k` nearest found of each row whose id `every` divides."""
     spark = vectors.sparkSession
@@ -106,7 +113,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = 2048,
         return none
     dim = most["d"]
     base = write_stage(base.where(F.size("v") == dim), "vectors")
-    top = float(base.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0])
+    kind = base.schema["v"].dataType.simpleString()
+    longest, total = base.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), F.count("*")).first()
+    top, block = float(longest), block or math.ceil(12 * math.sqrt(total))
 
     def order(batches):
         rng = np.random.default_rng(seed)
@@ -128,7 +137,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = 2048,
                         [pa.array(np.full(len(on), c), pa.int32()), pa.array(hilbert_keys(cell, BITS)), pa.array(np.full(len(on), query)),
                          pa.array(ids[on]), b.column(1).take(pa.array(on))], ["curve", "key", "query", "vec_id", "v"])
 
-    keyed = base.mapInArrow(order, "curve int, key long, query boolean, vec_id long, v array<double>")
+    keyed = base.mapInArrow(order, f"curve int, key long, query boolean, vec_id long, v {kind}")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = ["curve", "key", F.xxhash64("curve", "vec_id"), "query"]
 
@@ -141,7 +150,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = 2048,
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(q), part), pa.int32()), pa.array(pos)],
                                              ["curve", "key", "query", "vec_id", "v", "part", "pos"])
     placed = keyed.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(
-        place, "curve int, key long, query boolean, vec_id long, v array<double>, part int, pos long")
+        place, f"curve int, key long, query boolean, vec_id long, v {kind}, part int, pos long")
     placed = write_stage(placed, "curves")
     # A row for each partition of the ordering: running sums over them are small.
     sizes = placed.where("NOT query").groupBy("part").agg(F.count("*").alias("n"))
@@ -176,12 +185,16 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = 2048,
     found = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.countDistinct("curve").alias("curves"))
     first = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = write_stage(found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k), "found")
-    sure = found.groupBy("query_id").agg(F.sum((F.col("curves") > 1).cast("int")).alias("twice"))
-    sure = sure.where(F.col("twice") >= confirmed * k).select("query_id").join(past, "query_id", "left_anti")
-    open_ = base.where(F.col("vec_id") % every == 0).join(sure.withColumnRenamed("query_id", "vec_id"), "vec_id", "left_anti")
-    rest = scanned(base, open_, dim, k).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
-    return found.join(sure, "query_id").select("query_id", "rank", "vec_id", "score").unionByName(
-        rest.select("query_id", "rank", "vec_id", "score"))
+    found, open_ = found.select("query_id", "rank", "vec_id", "score", "curves"), past
+    if confirmed is not None:
+        twice = found.groupBy("query_id").agg(F.sum((F.col("curves") > 1).cast("int")).alias("twice"))
+        open_ = write_stage(open_.unionByName(twice.where(F.col("twice") < confirmed * k).select("query_id")).distinct(), "open")
+    found = found.drop("curves")
+    if open_.isEmpty():
+        return found
+    asked = base.join(open_.withColumnRenamed("query_id", "vec_id"), "vec_id", "left_semi")
+    rest = scanned(base, asked, dim, k).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+    return found.join(open_, "query_id", "left_anti").unionByName(rest.select("query_id", "rank", "vec_id", "score"))
 
 
 def packed(vectors: DataFrame, dim: int, rows: int) -> DataFrame:

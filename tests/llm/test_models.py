@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pulseframe.llm import neighbours, quality
@@ -47,6 +48,24 @@ def test_neighbours_in_a_large_group_of_equal_vectors(spark):
     assert len(grouped) > 20 and all([j for _, j in sorted(got[q])] == [j for _, j in want[q]] for q in grouped)
 
 
+@pytest.mark.parametrize("element", ["float", "double"])
+def test_recall_of_the_curves_alone(spark, element):
+    """Vectors without any clusters, blocks far smaller than the table, nothing compared with all."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(4000, 24)).astype(np.float32)
+    rows = [(i, x.tolist(), 1, i) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{element}>, curve int, query_id long")
+    found = neighbours.search(df, k=10)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    want = plain_neighbours([r[:2] for r in rows], 10, 20)
+    assert sum(len(set(got[q]) & {j for _, j in want[q]}) for q in want) >= 0.9 * 10 * len(want)
+    assert all(abs(s - float(v[q].astype(float) @ v[j].astype(float))) < 1e-9 for q in want for j, s in got[q].items())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_hilbert_keys_are_a_path():
     side = 1 << 3
     points = np.array([(a, b) for a in range(side) for b in range(side)])
