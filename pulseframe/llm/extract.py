@@ -8,12 +8,13 @@ here by Gini impurity on the few labelled pages below, keeps or drops each block
 Character references are decoded, white space inside a block becomes one space, blocks join
 by an empty line. Scripts, styles, templates, hidden parts and comments hold no blocks.
 Defined results: null or empty html has empty text; markup left open ends with the page;
-a `<` that begins no tag is text; repeated rows and null ids each have their row.
+a `<` that begins no tag is text; the work grows with a page's length however broken its markup is; repeated rows and null ids each have their row.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -41,19 +42,29 @@ SIDE_WORDS = frozenset("ad ads advert advertisement adverts banner sponsor spons
 WHOLE = frozenset("page layout site template theme".split())
 STATES = frozenset("has no not with without".split())
 TEXTS = frozenset("article entry post story".split())
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+# Words that name a part beside a text or its subject, and words of parts of a page's layout.
+SUBJECTS = frozenset("legal social tags notice notices alert rail reply search login banner".split())
+LAYOUT = frozenset("area bar block box buttons container content group icons inner left links list media outer panel right section "
+                   "text top bottom wrap wrapper".split())
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile(r"""[>"']""")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
 FIELDS = ("words", "links", "before_words", "before_links", "after_words", "after_links", "main", "side", "heading", "sentence")
 
 
-def beside(attributes: str) -> bool:
-    """Whether a class, id or role name is that of a part beside the text: not of a page that has such a part, or of a text's own header."""
+def beside(attributes: str, within: bool = False) -> bool:
+    """Whether a class, id or role name is that of a part beside the text: not of a page that has such a part, or of a text's own header.
+
+    `within` a text, a word that can be its subject needs more than another word beside it: social-reform is no such part, social-links is.
+    """
     names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)) if "=" in attributes else ""
     for name in names.split():
         parts = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
         side = SIDE_WORDS.intersection(parts)
+        if within and side <= SUBJECTS and not LAYOUT.union(side).issuperset(parts):
+            continue
         if side and not WHOLE.intersection(parts[-1:]) and not STATES.intersection(parts) and not (side <= {"header"} and TEXTS.intersection(parts)):
             return True
     return False
@@ -63,28 +74,74 @@ def hidden(attributes: str) -> bool:
     return bool(attributes) and bool(HIDDEN.search(QUOTED.sub("", attributes)) or re.search(r"""style\s*=\s*["'][^"']*display\s*:\s*none|aria-hidden\s*=\s*["']?true""", attributes, re.I))
 
 
+class Tags:
+    """The tags of a page in order; each stretch of it is looked at a bounded number of times, however broken it is."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {c: html.rfind(c) for c in ">\"'"}
+        self.lost: set[int] = set()  # quotes that begin values from which no end of a tag is reached
+
+    def end(self, at: int) -> int:
+        """Where the `>` stands that ends a tag from `at` on, outside of quotes; where there is none, the first one."""
+        first, passed = at, []
+        while at <= max(self.last.values()):
+            m = SPECIAL.search(self.html, at)
+            c, i = m.group(), m.start()
+            if c == ">":
+                return i
+            passed.append(i)
+            if i in self.lost or i >= self.last[c]:
+                break
+            at = self.html.index(c, i + 1) + 1
+        self.lost.update(passed)
+        return self.html.find(">", first)
+
+    def next(self, at: int):
+        """(start, end, closing, name, attributes) of the next tag from `at` on, without a name for comments and the like; None if there is none."""
+        html = self.html
+        while (i := html.find("<", at)) >= 0:
+            if html.startswith("<!--", i):
+                end = html.find("-->", i + 4)
+                return i, end + 3 if end >= 0 else len(html), False, "", ""
+            if i > self.last[">"]:
+                i = html.find("<!--", i)  # nothing else is a tag from here on
+                return (i, len(html), False, "", "") if i >= 0 else None
+            m = NAME.match(html, i)
+            if m:
+                end = self.end(m.end())
+                return i, end + 1, bool(m.group(1)), m.group(2).lower(), html[m.end():end]
+            if html[i + 1:i + 2] in ("!", "?", "/"):
+                return i, html.index(">", i) + 1, False, "", ""
+            at = i + 1
+        return None
+
+
 def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, words in links, in main part, beside it, heading) of each block, in page order."""
     out, stack, runs, linked = [], [], [], 0
-    silent = side = main = anchors = 0
+    opened, tags = Counter(), Tags(html)
+    silent = side = main = anchors = headings = 0
 
     def flush():
         nonlocal runs, linked
         if runs:
             words = "".join(runs).split()
             if words:
-                out.append((" ".join(words), len(words), linked, main > 0, side > 0, any(t in HEADINGS for t, *_ in stack)))
+                out.append((" ".join(words), len(words), linked, main > 0, side > 0, headings > 0))
             runs, linked = [], 0
 
     def pop():
-        nonlocal silent, side, main, anchors
+        nonlocal silent, side, main, anchors, headings
         tag, quiet, aside, inner = stack.pop()
+        opened[tag] -= 1
+        headings -= tag in HEADINGS
         silent, side, main, anchors = silent - quiet, side - aside, main - inner, anchors - (tag == "a")
 
     at = 0
     while at < len(html):
-        m = TAG.search(html, at)
-        end = m.start() if m else len(html)
+        m = tags.next(at)
+        end = m[0] if m else len(html)
         if end > at and not silent:
             text = unescape(html[at:end])
             runs.append(text)
@@ -92,17 +149,15 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 linked += len(text.split())
         if not m:
             break
-        at = m.end()
-        name = m.group(2) or m.group(5)
-        if not name:
+        _, at, close, tag, attributes = m
+        if not tag:
             continue
-        close, tag, attributes = m.group(1) or m.group(4), name.lower(), m.group(3) or m.group(6) or ""
         if tag not in INLINE and not silent:
             flush()
         elif tag == "br" and not silent:
             runs.append(" ")
         if close:
-            if any(t == tag for t, *_ in stack):
+            if opened[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -110,22 +165,25 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if tag in VOID or attributes.endswith("/"):
             continue
         if tag not in INLINE:
-            while stack and (stack[-1][0] == "p" or stack[-1][0] in INLINE and any(t == "p" for t, *_ in stack)):
+            while stack and (stack[-1][0] == "p" or stack[-1][0] in INLINE and opened["p"]):
                 pop()  # a new block ends an open paragraph and what is open in it
         if tag == "li" and stack and stack[-1][0] == "li":
             pop()
         quiet = tag in SILENT or hidden(attributes)
         inner = tag in MAIN
-        aside = tag in ASIDE or (tag == "header" and not main) or (not inner and tag not in ("body", "html") and beside(attributes))
+        aside = tag in ASIDE or (tag == "header" and not main) or (not inner and tag not in ("body", "html") and beside(attributes, main > 0))
         if tag == "main" and not main:
             aside = -side  # the main part is beside nothing, whatever it stands in
         stack.append((tag, quiet, aside, inner))
+        opened[tag] += 1
+        headings += tag in HEADINGS
         silent, side, main, anchors = silent + quiet, side + aside, main + inner, anchors + (tag == "a")
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
+            stop = re.compile(rf"</{re.escape(tag)}\b", re.I).search(html, at)
+            end = html.find(">", stop.end()) if stop else -1
             if not quiet and tag != "title":
-                runs.append(unescape(html[at:stop.start() if stop else len(html)]))
-            at = stop.end() if stop else len(html)
+                runs.append(unescape(html[at:stop.start() if end >= 0 else len(html)]))
+            at = end + 1 if end >= 0 else len(html)
             pop()
     flush()
     return out

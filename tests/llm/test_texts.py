@@ -1,6 +1,7 @@
 """Extraction, tokens, pieces, id files, licences against the libraries or brute force."""
 
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -45,6 +46,31 @@ def test_wrappers_of_a_text_are_not_beside_it(name, header):
     assert [b[4] for b in found] == [False, False, False, True]
 
 
+@pytest.mark.parametrize("unit", ["<div>x", "<a <a ", "<a<a", "</p>", '<a ">" ', "<a '", "<b><p>x", "<!-", "</title", "<h1><i>x", '<a title="x>'])
+@pytest.mark.parametrize("end", ["", ">"])
+def test_broken_markup_takes_time_by_its_length(unit, end):
+    html = "<title>t" * (unit == "</title") + unit * (1_000_000 // len(unit)) + end
+    begun = time.process_time()
+    extract.blocks(html)
+    extract.blocks("<div>" * 5_000 + html)
+    assert time.process_time() - begun < 20
+
+
+@pytest.mark.parametrize("name, kept", [("legal-history", True), ("social-reform", True), ("social-links", False), ("legal", False), ("share-buttons", False)])
+def test_subjects_of_an_article_are_not_beside_it(name, kept):
+    found = extract.blocks(f'<article><p>First.</p><div class="{name}">Second part.</div></article>')
+    assert [b[4] for b in found] == [False, not kept]
+
+
+def test_ends_of_tags():
+    """Quotes hide a `>`; where they leave no end of a tag, the first `>` ends it."""
+    def texts(html):
+        return [b[0] for b in extract.blocks(html)]
+    assert texts("""<p title="a > b" id='x>y'>one<p title="open>two</p>""") == ["one", "two"]
+    assert texts("five <!-- no > <p>no -->six<? x > 5 < 6 <!-- end") == ["five six 5 < 6"]
+    assert texts("one <b two") == ["one <b two"] and texts("<p") == ["<p"]
+
+
 ODD = ["", "<|endoftext|> a<|startoftext|>", "Σας ΣΑΣ", "it's 12 don't WE'LL !!'s", "İstanbul ſ ²½ x̀e", "a\x1cb\x0bc d　e", "A\tB\r\nc", "x" * 3000]
 
 
