@@ -38,6 +38,17 @@ def series_explode(spark, d):
     return p.select("service", "instance", "metric", seconds(F.col("ts")).alias("ts_s"), rnd("value").alias("value"))
 
 
+@query("series_file_scan", f"""
+SELECT dataset_id, service, instance, metric, t AS ts_s, rnd(value, 4) AS value FROM {DATASETS} WHERE t >= {T0 + 7} AND t < {T1 + 7}""")
+def series_file_scan(spark, d):
+    """Both datasets landed as JSON documents, read back in pieces, cut to a range."""
+    path = fresh_path(spark, "series-files")
+    series = S.compact_series(_datasets(spark, d), X.G, ("dataset_id",))
+    S.write_series_files(series.withColumn("scenario_id", F.lit("S0")), path)
+    p = S.explode_series(S.read_series_records(spark, path), _ts(T0 + 7), _ts(T1 + 7))
+    return p.select("dataset_id", "service", "instance", "metric", seconds(F.col("ts")).alias("ts_s"), rnd("value").alias("value"))
+
+
 @query("series_compact", f"""
 WITH b AS (SELECT service, instance, metric, min(t) AS t0, max(t) AS t1 FROM sparse GROUP BY ALL),
 s AS (SELECT service, instance, metric, t0, unnest(generate_series(t0, t1, {X.G})) AS t FROM b)

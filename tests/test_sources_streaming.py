@@ -31,6 +31,33 @@ def test_series_file_round_trip(spark, tmp_path):
     assert early["values"] == [] and early.start_epoch == 600
 
 
+def test_a_large_series_file_is_read_by_many_tasks(spark, tmp_path):
+    """Every layout gives what reading whole files gives: braces in names, nested objects, the header behind, no series."""
+    def one(i, **more):
+        return {"service": f"s{i}", "instance": f"s{i}-0", "metric": "qps", "unit": "", "start_epoch": 600, "step_seconds": 60,
+                "values": [float(i), None, 0.5]} | more
+    docs = {"large": {"dataset_id": "large", "scenario_id": "S0", "series": [one(i) for i in range(500)]},
+            "behind": {"series": [one(1), one(2, unit=None)], "scenario_id": "S1", "dataset_id": "behind"},
+            "single": {"dataset_id": "single", "series": [one(1)]}, "none": {"dataset_id": "none", "series": []},
+            "braces": {"dataset_id": "braces", "series": [one(1, service="a},{b"), one(2, service='"{'), one(3, instance="}")]},
+            "nested": {"dataset_id": "nested", "series": [one(1, labels={"values": "x"}), one(2), one(3, labels={})]},
+            "nested-last": {"dataset_id": "n2", "series": [{**one(1), "more": {"service": "wrong"}}]},
+            "meta": {"meta": {"dataset_id": "wrong"}, "dataset_id": "meta", "series": [one(1)]}}
+    for i, (name, doc) in enumerate(docs.items()):
+        (tmp_path / f"{name} {i}.json").write_text(json.dumps(doc, indent=i % 3 or None))
+    key = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = sorted(map(repr, SF.read_series_files(spark, str(tmp_path)).collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = SF.read_series_records(spark, str(tmp_path))
+        assert sorted(map(repr, got.collect())) == want and len(want) == 500 + 2 + 1 + 3 + 3 + 1 + 1
+        large = spark.read.option("lineSep", "}").text(str(tmp_path / "large 0.json"))
+        assert large.rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", key)
+    assert SF.read_series_records(spark, str(tmp_path / "none*")).count() == 0
+
+
 def test_points_table_is_replaced_per_dataset_and_prunes(spark, tmp_path):
     path = str(tmp_path / "points")
     a = points(spark, rows("qps", [1.0] * 10)).withColumn("dataset_id", F.lit("a"))
