@@ -8,12 +8,16 @@ from pulseframe.operators import attribution as AT
 from pulseframe.operators import evaluate as EV
 from pulseframe.operators import history as H
 from pulseframe.operators import similarity as S
+from pulseframe.operators import stats as ST
+from pulseframe.operators.windows import assign_windows
 from pulseframe.queries import fixtures as X
 from pulseframe.queries import q_score  # noqa: F401 - registers the score views used below
-from pulseframe.queries.q_attribution import conclusions
+from pulseframe.queries.q_attribution import conclusions, visible
 from pulseframe.queries.q_facts import _fmt
 from pulseframe.queries.q_rules import inspection
+from pulseframe.queries.q_stats import RK
 from pulseframe.queries.registry import query, rnd, values_sql, view
+from pulseframe.schemas import RKEY
 from pulseframe.session import literal_table
 
 view("sigs", """
@@ -201,3 +205,33 @@ SELECT CAST(count(*) AS BIGINT) AS graded, avg(cause_hit::INT) AS cause_accuracy
   avg(false_positive::INT) FILTER (expect_clean) AS false_positive_rate, CAST(0 AS DOUBLE) AS degraded_ratio FROM outcome""")
 def eval_summary(spark, d):
     return EV.summary(_outcomes(spark, d))
+
+
+@query("evidence_document", f"""
+WITH mem AS (SELECT g.*, c.cluster_id, c.pid, c.pfirst FROM grp0 g JOIN clus c USING (run_id, cluster_key)),
+dist AS (SELECT v.run_id, v.change_id, rnd(round((f.e - v.t) / CAST(60 AS DOUBLE), 1), 1) AS m
+  FROM vis v JOIN (SELECT run_id, min(pfirst) AS e FROM clus GROUP BY run_id) f USING (run_id)
+  WHERE EXISTS (SELECT 1 FROM clus c WHERE c.run_id = v.run_id AND list_contains(c.services, v.service)))
+SELECT run_id, cluster_id, 'temporal' AS section, 1 AS item, CAST(min(pfirst) AS VARCHAR) AS name, CAST(count(DISTINCT instance) AS DOUBLE) AS amount,
+  true AS told FROM mem GROUP BY run_id, cluster_id
+UNION ALL SELECT m.run_id, cluster_id, 'evidence', CAST(row_number() OVER (PARTITION BY m.run_id, cluster_id ORDER BY (anomaly_id = pid) DESC, level, deviation_score DESC, anomaly_id) AS INT),
+  anomaly_id, rnd(d.p50, 2), true FROM mem m LEFT JOIN dig d USING ({RK})
+UNION ALL SELECT run_id, cluster_id, 'history', CAST(rank AS INT), match_run || '/' || match_cluster, rnd(similarity, 6), true FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id, cluster_id ORDER BY similarity DESC, match_run, match_cluster) AS rank FROM sim) WHERE rank <= 3
+UNION ALL SELECT run_id, NULL, 'change', CAST(row_number() OVER (PARTITION BY run_id ORDER BY m, change_id) AS INT), change_id, m, true FROM dist""")
+def evidence_document(spark, d):
+    """Each section's rows; `told` says that an evidence item has its reason."""
+    i = inspection(spark, d)
+    dig = ST.digest(assign_windows(i.clean, X.windows(spark).select("run_id", "window_start", "window_end")), RKEY)
+    sig = signatures(i)
+    e = AT.evidence_document(i.clusters, i.members, dig, visible(spark, d), H.jaccard_matches(sig, sig, X.windows(spark), k=3))
+    b = F.from_json("body", "first_seen long, affected_instances double, anomaly_id string, reason string, series struct<p50 double>, match_run string, "
+                            "match_cluster string, similarity double, change_id string, minutes_before double")
+    e = e.withColumn("b", b)
+    is_ = {s: F.col("section") == s for s in ("temporal", "evidence", "history", "change")}
+    name = F.when(is_["temporal"], F.col("b.first_seen").cast("string")).when(is_["evidence"], F.col("b.anomaly_id")).when(
+        is_["history"], F.concat_ws("/", "b.match_run", "b.match_cluster")).otherwise(F.col("b.change_id"))
+    amount = F.when(is_["temporal"], F.col("b.affected_instances")).when(is_["evidence"], rnd("b.series.p50", 2)).when(
+        is_["history"], rnd("b.similarity", 6)).otherwise(rnd("b.minutes_before", 1))
+    told = ~is_["evidence"] | (F.length(F.coalesce("b.reason", F.lit(""))) > 0)
+    return e.select("run_id", "cluster_id", "section", "item", name.alias("name"), amount.alias("amount"), told.alias("told"))

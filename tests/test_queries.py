@@ -11,7 +11,7 @@ from tests.check_oracles import compare
 SF = os.environ.get("PULSEFRAME_SF", "/root/testdata/sf0.001")
 FEW = ["series_compact", "series_file_scan", "clean", "clean_stats", "baseline_robust_slot", "all_findings", "stats_grouping_sets", "suggestions",
        "asof_change", "closure", "stream_sessions", "stream_bucket_merge", "window_scan",
-       "replace_dataset", "write_if_changed", "alert_files", "trailing_stats", "distinct_sketch"]
+       "replace_dataset", "write_if_changed", "alert_files", "evidence_document", "trailing_stats", "distinct_sketch"]
 NAMES = list(QUERIES) if os.environ.get("PULSEFRAME_FULL") else FEW
 
 
