@@ -328,8 +328,10 @@ def write_frames(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
             yield from rows()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Rows of one id, or of none, go by their texts: their order is the same in every attempt, and many of them spread.
+    by = ["doc_id", F.xxhash64("text")]
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = dealt.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    dealt = dealt.repartitionByRange(n, *by).sortWithinPartitions(*by, "text")
     dealt.mapInArrow(run, FRAME_SCHEMA).write.parquet(path)
 
 

@@ -126,6 +126,21 @@ def test_id_files(spark, docs, rows, tmp_path):
     assert idfile.read_frames(spark, str(tmp_path / "h")).count() == 0
 
 
+def test_rows_of_one_id_have_one_order_and_spread(spark, tmp_path):
+    rows = [(d, f"text {i} " * (i % 7)) for d in (3, None) for i in range(60)]
+    found = []
+    for k in (1, 5):
+        df = spark.createDataFrame(rows[::-1] if k == 5 else rows, "doc_id long, text string").repartition(k)
+        idfile.write_frames(df, str(tmp_path / f"n{k}"), WORD_BPE, end_id=1)
+        found.append(sorted(((r.doc_id or 0, *r[1:]) for r in idfile.read_frames(spark, str(tmp_path / f"n{k}")).collect()), key=lambda r: (r[1], r[2])))
+    assert found[0] == found[1] and len(found[0]) == 120
+    at = 0
+    for r in found[0]:
+        assert r[1] == at
+        at += r[2]
+    assert spark.read.parquet(str(tmp_path / "n1")).select("shard").distinct().count() > 2
+
+
 PLAIN = ["", " ", "  a  b ", "\n\n x\t", "日本語 🎉 é", "a" * 500, "x\0y", "    code\n        indent", "Hello, World!! 1234"]
 
 
