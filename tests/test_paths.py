@@ -1,6 +1,7 @@
 """Layered path operators against listed paths."""
 
 import random
+from math import prod
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +94,48 @@ def test_reach_from_some_nodes_equals_the_closure(spark, pairs):
 def test_empty_graphs(spark):
     none = edges(spark, [])
     assert P.longest_paths(none).count() == 0 and P.reach(none, spark.createDataFrame([], "node string")).count() == 0
+
+
+def smallest_shortest(pairs):
+    out = {}
+    for s, d in pairs:
+        out.setdefault(s, []).append(d)
+    want = {}
+    for s in out:
+        front = [[s]]
+        while front:
+            longer = sorted(([*p, d] for p in front for d in out.get(p[-1], ()) if p[-1] is not None or len(p) == 1), key=str)
+            front = []
+            for p in longer:
+                if (s, p[-1]) not in want:
+                    want[s, p[-1]] = p
+                    front.append(p)
+    return want
+
+
+def spied(monkeypatch, few):
+    """The loops with `few` rows as their bound: (plans, rows) that they write, each by the name of the stage."""
+    plans, rows, add = [], {}, G.Rounds.add
+
+    def spy(self, df):
+        name = self.path.rsplit("/", 1)[1][:-33]
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = add(self, df)
+        rows[name] = rows.get(name, 0) + self.added
+        return out
+    monkeypatch.setattr(G, "FEW", few)
+    monkeypatch.setattr(G.Rounds, "add", spy)
+    return plans, rows
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_closure_writes_each_pair_once(spark, monkeypatch, few):
+    """Loops, cycles and null ends included; with many rows no side is broadcast."""
+    plans, rows = spied(monkeypatch, few)
+    pairs = [*[(f"n{i}", f"n{i + 1}") for i in range(6)], ("n2", "n1"), ("n1", "n1"), ("n0", "n10"), ("n10", "n2"), (None, "n0"), ("n3", None)]
+    want = smallest_shortest(pairs)
+    got = G.closure(edges(spark, pairs), with_paths=True).collect()
+    assert {(r.src, r.dst): r.path for r in got} == want and len(got) == rows["closure"] == len(want)
+    rows.clear()
+    assert {(r.src, r.dst, r.hops) for r in G.closure(edges(spark, pairs)).collect()} == {(*k, len(p) - 1) for k, p in want.items()}
+    assert rows["closure"] == len(want) and (few or not any("Broadcast" in p for p in plans))
