@@ -151,21 +151,21 @@ def components(e: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 def leaf_paths(e: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Every simple path from every node to a node without dependencies: head, path.
 
-    Partial paths advance one edge per round; the finished ones leave the loop.
+    From the leaves up: the end of such a path is one itself, so each round puts one more node before the paths of the
+    round before, all that is written is result, and no path is begun that reaches no leaf.
     """
-    inner = e.select("src").distinct().withColumnRenamed("src", "node")
-    nodes = inner.unionByName(e.select(F.col("dst").alias("node"))).distinct()
-    open_ = write_stage(nodes.select(F.col("node").alias("head"), "node", F.array("node").alias("path")), "paths")
-    done = None
+    spark = e.sparkSession
+    links, paths = Rounds(spark, "path-edges"), Rounds(spark, "paths")
+    e = links.add(e.select("src", F.col("dst").alias("head")))
+    inner = e.select(F.col("src").alias("head")).distinct()
+    nodes = e.select(F.col("src").alias("head")).unionByName(e.select("head")).distinct()
+    new = paths.add(nodes.join(inner if links.added <= FEW else inner.hint("merge"), "head", "left_anti").select("head", F.array("head").alias("path")))
     for _ in range(max_rounds):
-        ended = open_.join(inner, "node", "left_anti").select("head", "path")
-        done = ended if done is None else done.unionByName(ended)
-        nxt = open_.join(e.withColumnRenamed("src", "node"), "node").where(
-            ~F.array_contains("path", F.col("dst"))).select(
-            "head", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        open_ = write_stage(nxt, "paths")
-        if open_.isEmpty():
-            return done
+        if not paths.added:
+            return paths.all()
+        few = min(paths.added, links.added) <= FEW
+        nxt = (new if few else new.hint("merge")).join(e, "head").where(~F.array_contains("path", F.col("src")))
+        new = paths.add(nxt.select(F.col("src").alias("head"), F.concat(F.array("src"), "path").alias("path")))
     raise RuntimeError("paths longer than max_rounds")
 
 

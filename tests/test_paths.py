@@ -139,3 +139,17 @@ def test_closure_writes_each_pair_once(spark, monkeypatch, few):
     rows.clear()
     assert {(r.src, r.dst, r.hops) for r in G.closure(edges(spark, pairs)).collect()} == {(*k, len(p) - 1) for k, p in want.items()}
     assert rows["closure"] == len(want) and (few or not any("Broadcast" in p for p in plans))
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_leaf_paths_writes_only_paths_to_leaves(spark, monkeypatch, few):
+    plans, rows = spied(monkeypatch, few)
+    pairs = [*CYCLES, *DAG, ("a", "b"), (None, "a"), ("a", None)]
+    _, walks, leaves = listed([p for p in pairs if None not in p])
+    each = {tuple(p) for ps in walks.values() for p in ps if p[-1] in leaves}
+    # repeated edges repeat their paths; a null end is a node without dependencies
+    want = sorted(p for p in each for _ in range(prod(pairs.count(x) for x in zip(p, p[1:]))))
+    got = G.leaf_paths(edges(spark, pairs)).collect()
+    assert sorted(tuple(r.path) for r in got if r.head) == want and [r.path for r in got if not r.head] == [[None]]
+    assert all(r.head == r.path[0] for r in got)
+    assert rows["paths"] == len(got) and (few or not any("Broadcast" in p for p in plans))
