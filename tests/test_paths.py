@@ -153,3 +153,12 @@ def test_leaf_paths_writes_only_paths_to_leaves(spark, monkeypatch, few):
     assert sorted(tuple(r.path) for r in got if r.head) == want and [r.path for r in got if not r.head] == [[None]]
     assert all(r.head == r.path[0] for r in got)
     assert rows["paths"] == len(got) and (few or not any("Broadcast" in p for p in plans))
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_components_without_broadcasts(spark, monkeypatch, few):
+    plans, _ = spied(monkeypatch, few)
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(9)] + [("x", "y"), ("y", "x"), ("z", "z")]
+    got = {r.node: r.component for r in G.components(edges(spark, pairs), spark.createDataFrame([("lone",)], "node string")).collect()}
+    assert got == {**{f"n{i}": "n0" for i in range(10)}, "x": "x", "y": "x", "z": "z", "lone": "lone"}
+    assert few or not any("Broadcast" in p for p in plans)
