@@ -182,6 +182,27 @@ def test_every_occurrence_has_draws_of_its_own(spark):
     assert [again.encode(t, d) for d in (5, 3)] == [p.encode(t, d) for d in (5, 3)]
 
 
+@pytest.mark.parametrize("dropout, variants", [(0, 0), (0.1, 0), (0.5, 0), (0.3, 3)])
+def test_parts_merged_side_by_side_take_the_agenda_way(monkeypatch, dropout, variants):
+    """Each occurrence has the ids of an agenda of its own, drawn one by one; short parts need no agenda."""
+    p, rng = pieces.Pieces(PIECES, dropout, 7, variants), np.random.default_rng(3)
+    letters = [*"etaoinsr  ", *"é日🎉▁\n"]
+    texts = [*PLAIN, "the quick market bridges " * 40, *("".join(rng.choice(letters, 200)) for _ in range(20)), "y" * 64, "z" * 65, ""]
+
+    def by_agenda(t, d):
+        parts, ids = p.parts.findall(" " + t) if t else [], []
+        for part, own in zip(parts, p.occurrences(parts, d).tolist() if parts else []):
+            ids += p.segment(part, lambda i, r: (own ^ pieces.one_mixed(r << 32 | i)) * pieces.MIX % 2**64 < p.dropout)
+        return ids
+    want = [by_agenda(t, d) for d, t in enumerate(texts)]
+    monkeypatch.setattr(pieces, "AT_ONCE", 64)
+    monkeypatch.setattr(pieces, "CELLS", 100)
+    assert [x.tolist() for x in p.encode_all(texts, list(range(len(texts))))] == want
+    monkeypatch.setattr(p, "segment", None)
+    short = [i for i, t in enumerate(texts) if all(len(x) <= pieces.LONGEST for x in p.parts.findall(" " + t))]
+    assert [p.encode(texts[i], i) for i in short] == [want[i] for i in short] and len(short) > 25
+
+
 def plain_scan(t, threshold):
     words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
