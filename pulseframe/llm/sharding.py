@@ -22,6 +22,8 @@ from pulseframe.llm.common import write_stage
 PRIME = (1 << 31) - 1
 #: Bits of a row's number within its partition in monotonically_increasing_id().
 AT_BITS = 33
+#: Codec of the files that hold whole rows: the numbered rows and the shards stand on disk at the same time.
+CODEC = "zstd"
 
 
 def round_keys(seed: int, rounds: int) -> list[tuple[int, ...]]:
@@ -92,7 +94,7 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.struct(*docs.columns).alias("r"), F.col(id_col).alias("i"), F.octet_length(text).alias("size"),
                        F.md5(text.cast("binary")).alias("digest"), F.monotonically_increasing_id().alias("u"))
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = write_stage(rows.select("r", F.monotonically_increasing_id().alias("at")), "numbered")
+    rows = write_stage(rows.select("r", F.monotonically_increasing_id().alias("at")), "numbered", CODEC)
     sizes = rows.groupBy(F.shiftright("at", AT_BITS).alias("p")).count().collect()
     counts = np.zeros(max((r.p for r in sizes), default=-1) + 1, np.int64)
     for r in sizes:
@@ -126,7 +128,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 0, id_
     Each task holds rows of all shards and writes a file for each, so no shard is gathered in one task.
     """
     rows = sharded(docs, shards, seed, id_col, text_col)
-    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path, compression=CODEC)
 
 
 def read_shards(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pulseframe.llm import alignment, ranking, sharding
+from pulseframe.llm.common import write_stage
 
 A, B = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 
@@ -57,6 +59,20 @@ def test_shards(spark, docs, rows, tmp_path):
     assert again.exceptAll(back.select("doc_id", "text", "shard", F.col("slot"))).count() == 0
 
 
+def test_files_of_whole_rows_are_small(spark, tmp_path, monkeypatch):
+    """The numbered rows and the shards, which stand on disk at the same time, take less than the rows as plain Parquet."""
+    texts = [" ".join(f"word{i * k * k % 997}" for k in range(300)) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    docs.write.parquet(str(tmp_path / "plain"), compression="snappy")
+    monkeypatch.setattr(sharding, "write_stage", lambda df, name, *a: written.append(out := write_stage(df, name, *a)) or out)
+    written = []
+    sharding.write_shards(docs, str(tmp_path / "s"), 2)
+    size = lambda files: sum(os.path.getsize(f.removeprefix("file:")) for f in files)
+    plain = size(spark.read.parquet(str(tmp_path / "plain")).inputFiles())
+    assert [size(w.inputFiles()) < 0.9 * plain for w in written] == [True]
+    assert size(spark.read.parquet(str(tmp_path / "s")).inputFiles()) < 0.9 * plain
+
+
 def test_equal_rows_and_empty_tables_in_shards(spark, empty):
     same = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("text"))
     got = sharding.sharded(same, 3).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("top"), F.countDistinct("slot").alias("d")).collect()
