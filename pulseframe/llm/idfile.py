@@ -3,23 +3,25 @@
 Format. A file is a Parquet file of frames in ascending document order. A frame holds whole
 documents: their ids (numbers and lengths as 64-bit integers) and its payload, blocks of
 BLOCK ids (the last may be shorter), each coded on its own from a reset model, with its
-byte length and the CRC-32 of its ids. A block that fails its checksum raises an error and
-harms no other block. A frame ends at a document's end once it has FRAME ids, so a longer
-document makes a longer frame.
-
-Coder. An id is predicted in three orders: the id that last followed the two ids before it
-(order 2), the id before it (order 1), and adaptive frequencies of id classes (order 0).
-A binary decision says whether order 2 is right, else one whether order 1 is; else the
-class follows and the id within it. A decision's probability mixes three adaptive
-estimates by weights that follow how well each has done. A range coder with 16-bit words
-takes the probabilities; carries are resolved when a block ends. All of it is integer
-arithmetic on arrays with one lane for each block of a batch, so results do not depend on
-the machine, and numpy's cost is shared by all lanes.
+byte length and the CRC-32 of its ids, and then the frame's distinct ids, the most frequent
+first. A block that fails its checksum raises an error and harms no other block. A frame ends
+at a document's end once it has FRAME ids, so a longer document makes a longer frame.
+
+Coder. An id is coded as its rank among the frame's ids, and predicted in three orders: the id
+that last followed the two ids before it (order 2), the id before it (order 1), and adaptive
+frequencies of classes of ranks (order 0), taken anew every REFRESH ids. One symbol of three
+outcomes says whether order 2 or else order 1 is right; if none is, the class follows and, in
+plain bits, the rank within it. The symbol's probabilities mix three adaptive estimates by
+weights that follow how well each has done. A range coder of 63 bits takes the probabilities;
+carries are resolved when a block ends. All of it is integer arithmetic on arrays with one
+lane for each block of a batch, so results do not depend on the machine, and numpy's cost is
+shared by all lanes. A block: its number of coded words, these words, the plain bits.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,222 +30,367 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulseframe.llm.wordbpe import Words, encoded, whole_tokens
+from pulseframe.llm.common import pieces_of
+from pulseframe.llm.wordbpe import encoded, process_words, whole_tokens
 
 BLOCK = 2048
 FRAME = 1 << 20
 IDS = 1 << 16
 CLASSES = 32
 SLOTS = 1024
-NONE = IDS  # no id: a prediction that never comes true
+LANES = 3072
+FRAMES = 8  # read at once
+ONE = 1 << 15
+BITS = 10
+TOTAL = 1 << BITS
+REFRESH = 256
+LOW31 = (1 << 31) - 1
 U = np.uint64
+# Two probabilities side by side in 64 bits.
+BOTH = (1 << 32) + 1
+LOW32 = (1 << 32) - 1
+FIELDS = ((1 << 28) - 1) * BOTH
+LEAST = (ONE << 7) * BOTH
+RIGHT = np.array([0, ONE - 1 >> 4, (ONE - 1 >> 4) << 32], U)
 FRAME_SCHEMA = ("shard int, frame int, start_in_shard long, doc_ids binary, null_ids binary, doc_lengths binary, "
                 "block_bytes binary, block_crcs binary, payload binary")
 
 
+def edges() -> np.ndarray:
+    """Where each class of ranks begins: 0, 1, 2, 3, then two classes an octave, so that a class holds a power of two."""
+    return np.array([0, 1, 2, 3] + [b << k for k in range(1, 15) for b in (2, 3)] + [IDS], np.int64)
+
+
 class Model:
-    """The predictions of each lane, the same while encoding and decoding."""
+    """The predictions of each lane, the same while encoding and decoding. Conditions are masks, -1 for true: numpy is quickest so."""
 
     def __init__(self, lanes: int):
-        self.k = np.arange(lanes)
-        self.p2 = np.full(lanes * SLOTS, NONE, np.int32)
-        self.p1 = np.full(lanes * SLOTS, NONE, np.int32)
-        self.c2 = np.zeros(lanes * SLOTS, np.int8)
-        self.c1 = np.zeros(lanes * SLOTS, np.int8)
-        self.prev = np.zeros(lanes, np.int64)
-        self.prev2 = np.zeros(lanes, np.int64)
-        self.freq = np.full((lanes, CLASSES), 4, np.int32)
-        self.total = np.full(lanes, 4 * CLASSES, np.int64)
-        # decision 0: order 2; 1: order 1. Estimates by own confidence, the other's confidence, last outcome.
-        self.est = [[np.full(lanes * n, 1 << 15, np.int64) for n in (16, 16, 4)] for _ in range(2)]
-        self.wgt = [[np.full(lanes, 1 << 12, np.int64) for _ in range(3)] for _ in range(2)]
-        self.hits = np.zeros(lanes, np.int64)
-
-    def guess(self):
-        k = self.k[:len(self.prev)]
-        self.s1 = k * SLOTS + (self.prev * 40503 >> 4) % SLOTS
-        self.s2 = k * SLOTS + ((self.prev * 40503 + self.prev2 * 30011) >> 4) % SLOTS
-        return self.p2[self.s2], self.p1[self.s1]
-
-    def chance(self, d: int, rows: np.ndarray, g2: np.ndarray, g1: np.ndarray):
-        """Probability of a hit in 1/65536 for `rows`, and what is needed to learn from it."""
-        k = self.k[rows]
-        own, other = self.c2[self.s2[rows]], self.c1[self.s1[rows]]
-        if d:
-            own, other = other, own
-        at = (k * 16 + own * 2 + (g2[rows] == g1[rows]), k * 16 + other * 2 + (own > 3), k * 4 + (self.hits[rows] & 3))
-        p = [e[i] for e, i in zip(self.est[d], at)]
-        w = [x[rows] for x in self.wgt[d]]
-        mix = (p[0] * w[0] + p[1] * w[1] + p[2] * w[2]) // (w[0] + w[1] + w[2])
-        return np.clip(mix, 64, 65536 - 64), (at, p)
-
-    def learn(self, d: int, rows: np.ndarray, hit: np.ndarray, seen) -> None:
-        at, p = seen
-        for i in range(3):
-            self.est[d][i][at[i]] = p[i] + (((hit << 16) - p[i]) >> 4)
-            w = self.wgt[d][i][rows]
-            right = np.where(hit == 1, p[i], 65536 - p[i])
-            self.wgt[d][i][rows] = w + ((right - w) >> 5) + 1
-        self.hits[rows] = (self.hits[rows] << 1 | hit) & 3
-
-    def see(self, ids: np.ndarray, g2: np.ndarray, g1: np.ndarray) -> None:
-        for pred, conf, slot, g in ((self.p2, self.c2, self.s2, g2), (self.p1, self.c1, self.s1, g1)):
-            c = conf[slot]
-            hit = g == ids
-            conf[slot] = np.where(hit, np.minimum(c + 1, 7), c >> 1)
-            pred[slot] = np.where(hit | (c < 2), ids, g)
-        self.prev2, self.prev = self.prev, ids
-
-    def count(self, rows: np.ndarray, cls: np.ndarray) -> None:
-        self.freq[rows, cls] += 24
-        self.total[rows] += 24
-        over = rows[self.total[rows] > 16000]
-        if len(over):
-            self.freq[over] = (self.freq[over] >> 1) + 1
-            self.total[over] = self.freq[over].sum(axis=1)
+        self.n, self.lanes, self.t = lanes, lanes, 0
+        # Rank that came last after a context, << 3, and how sure it is; order 2, then order 1.
+        self.last = np.full(2 * lanes * SLOTS, 0, np.int32)
+        # Probability of order 2 in the low half, of order 1 in the high half.
+        self.est = np.full(3 * lanes * 16, (ONE >> 2) * BOTH, U)
+        self.bad = np.zeros((3, lanes), np.int64)
+        self.prev, self.prev2, self.past = (np.zeros(lanes, np.int64) for _ in range(3))
+        self.count = np.full((lanes, CLASSES), 2, np.int64)
+        self.seen = np.zeros((REFRESH, lanes), np.uint8)
+        self.held = 0
+        self.keep(lanes)
+        self.weigh()
+        self.refresh()
 
     def keep(self, n: int) -> None:
         """Lanes from n on have ended."""
-        self.prev, self.prev2, self.hits = self.prev[:n], self.prev2[:n], self.hits[:n]
+        self.n, self.k = n, np.arange(n)
+        self.prev, self.prev2, self.past, self.count = self.prev[:n], self.prev2[:n], self.past[:n], self.count[:n]
+        self.bad, self.seen = self.bad[:, :n], self.seen[:, :n]
+        self.slot = np.stack((self.k, self.k + self.lanes)) * SLOTS
+        self.place = (self.k + np.arange(3)[:, None] * self.lanes) * 16
+        self.at, self.key, self.cell, self.value = np.empty((3, n), np.int64), np.empty((2, n), np.int64), self.k * CLASSES, self.k * TOTAL
+        if self.t:  # as they were: what a lane does must not depend on when others end
+            self.w = np.ascontiguousarray(self.w[:, :n])
+            self.freq, self.start, self.class_at = self.freq[:n * CLASSES], self.start[:n * CLASSES], self.class_at[:n * TOTAL]
+
+    def weigh(self) -> None:
+        """An estimate's weight falls with the square of how far it was off, of late."""
+        q = ((1 << 26) // (self.bad + 4096)) ** 2
+        self.w = (q * (ONE - (ONE >> 7)) // q.sum(axis=0)).astype(U)
+        self.bad >>= 1
+
+    def refresh(self) -> None:
+        """Frequencies of classes anew from the misses so far."""
+        n = self.n
+        if self.held:
+            new = np.bincount((self.seen[:self.held] + self.k * (2 * CLASSES)).ravel(), minlength=n * 2 * CLASSES)
+            self.count += new.reshape(n, 2 * CLASSES)[:, :CLASSES] * 8
+            self.held = 0
+        f = 1 + self.count * (TOTAL - CLASSES) // self.count.sum(axis=1)[:, None]
+        f[self.k, f.argmax(axis=1)] += TOTAL - f.sum(axis=1)
+        self.freq, self.start = f.ravel(), (np.cumsum(f, axis=1) - f).ravel()
+        self.class_at = np.repeat(np.tile(np.arange(CLASSES, dtype=np.uint8), n), self.freq)
+        if self.t & 511 == 0:
+            self.count -= self.count >> 1
 
+    def guess(self):
+        """(the ranks that order 2 and order 1 predict, their probabilities in 1/ONE; the rest is a miss)."""
+        if self.t & 15 == 0 and self.t:
+            self.weigh()
+            if self.t & (REFRESH - 1) == 0 or self.t in (16, 32, 64, 128):
+                self.refresh()
+        key, at = self.key, self.at
+        np.multiply(self.prev, 40503, out=key[1])
+        np.multiply(self.prev2, 30011, out=key[0])
+        key[0] += key[1]
+        key >>= 4
+        key &= SLOTS - 1
+        key += self.slot
+        self.e = e = self.last.take(key)
+        self.g, self.c = g, c = e >> 3, e & 7
+        twice = c << 1
+        twice[0] |= np.minimum(g[0] ^ g[1], 1)
+        twice[1] |= c[0] >> 2
+        at[:2] = twice
+        at[2] = self.past
+        at += self.place
+        self.p = self.est.take(at)
+        m = self.p * self.w
+        mix = m[0]
+        mix += m[1]
+        mix += m[2]
+        mix += LEAST
+        return g, ((mix & LOW32) >> 15).view(np.int64), (mix >> 47).view(np.int64)
+
+    def learn(self, x, x32, wrong, not2, miss, cls) -> None:
+        """Rank x came. `wrong` says of each order whether it was, `miss` that both were and the class was coded."""
+        p, e, c = self.p, self.e, self.c
+        which = 1 - not2
+        which &= ~miss
+        if self.t & 15 == 0:
+            chance = np.stack(((ONE * BOTH - p - (p << 32)) >> 32, p & LOW32, p >> 32)).view(np.int64)
+            self.bad += 4 * (ONE - np.choose(which, chance))
+        p -= (p >> 4) & FIELDS
+        p += RIGHT.take(which)
+        self.est[self.at.ravel()] = p.ravel()
+        less = e - (c + 1 >> 1)
+        less += ((x32 << 3) - less) & (c - 2 >> 31)
+        more = np.minimum(e + 1, e | 7)
+        more += (less - more) & wrong
+        self.last[self.key.ravel()] = more.ravel()
+        self.past <<= 2
+        self.past |= which
+        self.past &= 15
+        np.bitwise_or(cls, ~miss.astype(np.uint8) & CLASSES, out=self.seen[self.held])
+        self.held += 1
+        self.prev2, self.prev = self.prev, x
+        self.t += 1
+
+
+class Words:
+    """Numbers of up to 33 bits that each lane puts out, the uppermost bit being carried into the one before."""
 
-class Encoder:
     def __init__(self, lanes: int, room: int):
-        self.low, self.range = np.zeros(lanes, U), np.full(lanes, 1 << 32, U)
-        self.out, self.pos = np.zeros((lanes, room), np.int32), np.zeros(lanes, np.int64)
-
-    def put(self, rows, start, freq, bits: int | None, total=None) -> None:
-        r = self.range[rows] >> U(bits) if total is None else self.range[rows] // total.astype(U)
-        low, rng = self.low[rows] + r * start.astype(U), r * freq.astype(U)
-        small = np.flatnonzero(rng < U(1 << 16))
-        if len(small):
-            x = rows[small]
-            self.out[x, self.pos[x]] = (low[small] >> U(16)).view(np.int64)
-            self.pos[x] += 1
-            low[small] = (low[small] & U(0xFFFF)) << U(16)
-            rng[small] <<= U(16)
-        self.low[rows], self.range[rows] = low, rng
+        self.lanes, self.out, self.pos = lanes, np.zeros(room * lanes, U), np.arange(lanes)
+
+    def put(self, n: int, values, which) -> None:
+        """A lane whose `which` is no -1 writes, too, but over its next number."""
+        pos = self.pos[:n]
+        self.out[pos] = values
+        pos += which & self.lanes
+
+    def finish(self) -> list[bytes]:
+        n = self.pos // self.lanes
+        out = self.out.reshape(-1, self.lanes)[:int(n.max())]
+        for i in range(len(out) - 1, 0, -1):
+            out[i - 1] += out[i] >> 32
+        words = np.ascontiguousarray(out.T.astype(">u4"))
+        return [words[i, :n].tobytes() for i, n in enumerate(n.tolist())]
+
+
+class Encoder:
+    """Range coder of 63 bits, and beside it the plain bits that place a rank in its class."""
+
+    def __init__(self, lanes: int, steps: int):
+        self.low, self.range = np.zeros(lanes, U), np.full(lanes, 1 << 62, np.int64)
+        self.acc, self.held = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.coded, self.plain = Words(lanes, steps * 27 // 32 + 4), Words(lanes, steps * 14 // 32 + 3)
+
+    def put(self, n: int, f0, f1, not2, miss, start, freq) -> None:
+        """That order 2 or order 1 is right, or a miss and the class from `start`."""
+        r, low = self.range[:n], self.low[:n]
+        q = r >> 15
+        first, second = q * f0, q * f1
+        wide = r - first
+        wide -= second
+        cell = wide >> BITS
+        start *= cell
+        start += second
+        start &= miss
+        start += first & not2
+        low += start.view(U)
+        cell *= freq
+        second -= first
+        second &= not2
+        first += second
+        cell -= first
+        cell &= miss
+        cell += first
+        self.coded.put(n, low >> 31, small := cell - (1 << 31) >> 63)
+        low &= (~small | LOW31).view(U)
+        small &= 32
+        low <<= small.view(U)
+        np.left_shift(cell, small, out=r)
+
+    def put_plain(self, n: int, value, bits) -> None:
+        acc, held = self.acc[:n], self.held[:n]
+        acc <<= bits
+        acc |= value
+        held += bits
+        self.plain.put(n, ((acc >> (held - 32 & 63)) & LOW32).view(U), full := 31 - held >> 63)
+        held -= full & 32
 
     def finish(self) -> list[bytes]:
-        k = np.arange(len(self.low))
-        for v in (self.low >> U(16), self.low & U(0xFFFF)):
-            self.out[k, self.pos] = v.view(np.int64)
-            self.pos += 1
-        for i in range(self.out.shape[1] - 1, 0, -1):
-            self.out[:, i - 1] += self.out[:, i] >> 16
-            self.out[:, i] &= 0xFFFF
-        words = self.out.astype(">u2")
-        return [words[i, :n].tobytes() for i, n in enumerate(self.pos.tolist())]
+        """Each lane: number of coded words, these, plain words. At least 31 bits of range are left, so one more word tells it."""
+        n = len(self.low)
+        self.coded.put(n, (self.low + U(LOW31)) >> 31, np.full(n, -1))
+        self.plain.put(n, ((self.acc << 32 - self.held) & LOW32).view(U), -self.held >> 63)
+        self.plain.out[self.plain.pos] = 0
+        return [(len(a) // 4).to_bytes(2, "little") + a + b for a, b in zip(self.coded.finish(), self.plain.finish())]
 
 
 class Decoder:
     def __init__(self, data: list[bytes]):
-        self.at = np.zeros(len(data), np.int64)
-        sizes = np.array([len(d) // 2 for d in data])
-        self.base = np.cumsum(sizes + 2) - sizes - 2
-        self.words = np.frombuffer(b"".join(d + bytes(4) for d in data), ">u2").astype(U)
-        self.range = np.full(len(data), 1 << 32, U)
-        self.code = (self.words[self.base] << U(16)) | self.words[self.base + 1]
-        self.pos = self.base + 2
-        self.end = len(self.words) - 1
-
-    def look(self, rows, bits: int | None, total=None):
-        self.r = self.range[rows] >> U(bits) if total is None else self.range[rows] // total.astype(U)
-        most = U((1 << bits) - 1) if total is None else total.astype(U) - U(1)
-        return np.minimum(self.code[rows] // self.r, most).view(np.int64)
-
-    def take(self, rows, start, freq) -> None:
-        code, rng = self.code[rows] - self.r * start.astype(U), self.r * freq.astype(U)
-        small = np.flatnonzero(rng < U(1 << 16))
-        if len(small):
-            x = rows[small]
-            code[small] = (code[small] << U(16)) | self.words[np.minimum(self.pos[x], self.end)]
-            self.pos[x] += 1
-            rng[small] <<= U(16)
-        self.code[rows], self.range[rows] = code, rng
-
-
-def within() -> tuple[np.ndarray, np.ndarray]:
-    """Class of each id and where each class begins: classes grow with the id, as merges made late are rare."""
-    edge = np.round((np.arange(CLASSES + 1) / CLASSES) ** 2.2 * IDS).astype(np.int64)
-    return np.repeat(np.arange(len(edge) - 1), np.diff(edge)), edge
-
-
-def code_ids(lengths: np.ndarray, ids: np.ndarray | None, data: list[bytes] | None):
-    """Encode rows of `ids` (lane, step), or decode `data`; lanes are in descending order of length."""
+        heads = [2 + 4 * int.from_bytes(d[:2], "little") for d in data]
+        base, words = self.words([d[2:h] for d, h in zip(data, heads)])
+        self.code = words[base] << 31 | words[base + 1] >> 1
+        self.next = (words[:-1] & 1) << 31 | words[1:] >> 1
+        self.pos = base + 1
+        self.range = np.full(len(data), 1 << 62, np.int64)
+        base, words = self.words([d[h:] for d, h in zip(data, heads)])
+        self.pairs, self.bit = words[:-1].view(U) << 32 | words[1:].view(U), base << 5
+
+    def words(self, parts: list[bytes]):
+        """Where each part begins, and all words; three of zeros follow a part."""
+        parts = [d + bytes(12 + -len(d) % 4) for d in parts]
+        sizes = np.array([len(d) // 4 for d in parts])
+        return np.cumsum(sizes) - sizes, np.frombuffer(b"".join(parts), ">u4").astype(np.int64)
+
+    def look(self, n: int, f0, f1):
+        """(order 2 is not right, a miss)"""
+        r, code = self.range[:n], self.code[:n]
+        q = r >> 15
+        first, second = q * f0, q * f1
+        not2 = first - 1 - code >> 63
+        wide = r - first
+        code -= first & not2
+        miss = (second - 1 - code >> 63) & not2
+        code -= second & miss
+        wide -= second
+        self.cell = wide >> BITS
+        second -= first
+        second &= not2
+        first += second
+        self.wide = first
+        return not2, miss
+
+    def look_class(self, n: int, class_at, value):
+        v = (self.code[:n].view(U) // self.cell.view(U)).view(np.int64)
+        np.minimum(v, TOTAL - 1, out=v)
+        v += value
+        return class_at.take(v)
+
+    def take(self, n: int, miss, start, freq) -> None:
+        code, cell = self.code[:n], self.cell
+        start *= cell
+        start &= miss
+        code -= start
+        cell *= freq
+        cell -= self.wide
+        cell &= miss
+        cell += self.wide
+        small, pos = cell - (1 << 31) >> 63, self.pos[:n]
+        word = self.next.take(pos, mode="clip")
+        word &= small
+        pos -= small
+        small &= 32
+        code <<= small
+        code |= word
+        np.left_shift(cell, small, out=self.range[:n])
+
+    def take_plain(self, n: int, bits, mask):
+        bit = self.bit[:n]
+        got = self.pairs.take(bit >> 5, mode="clip")
+        got >>= (64 - (bit & 31) - bits).view(U)
+        bit += bits
+        return got.view(np.int64) & mask
+
+
+def code_ranks(lengths: np.ndarray, ranks: np.ndarray | None, data: list[bytes] | None):
+    """Encode rows of `ranks` (step, lane), or decode `data`; lanes are in descending order of length."""
     lanes, steps = len(lengths), int(lengths.max())
-    model, cls_of, edge = Model(lanes), *within()
-    if ids is None:
-        dec, ids, enc = Decoder(data), np.zeros((lanes, steps), np.int64), None
+    model, edge = Model(lanes), edges()
+    size = np.diff(edge)
+    width = np.round(np.log2(size)).astype(np.int64)
+    class_of = np.repeat(np.arange(CLASSES, dtype=np.uint8), size)
+    if ranks is None:
+        dec, enc, ranks = Decoder(data), None, np.zeros((steps, lanes), np.uint16)
     else:
-        enc, dec = Encoder(lanes, steps * 3 + 8), None
-    for t in range(steps):
-        n = int(np.searchsorted(-lengths, -t, side="left"))
-        if n < len(model.prev):
+        enc = Encoder(lanes, steps)
+    alive = np.searchsorted(-lengths, -np.arange(steps), side="left").tolist()
+    for t, n in enumerate(alive):
+        if n < model.n:
             model.keep(n)
-        rows = model.k[:n]
-        g2, g1 = model.guess()
-        x = ids[:n, t].copy() if enc else np.zeros(n, np.int64)
-        for d, g in ((0, g2), (1, g1)):
-            p, seen = model.chance(d, rows, g2, g1)
-            if enc:
-                hit = (x[rows] == g[rows]).astype(np.int64)
-                enc.put(rows, np.where(hit == 1, 0, p), np.where(hit == 1, p, 65536 - p), 16)
-            else:
-                hit = (dec.look(rows, 16) < p).astype(np.int64)
-                dec.take(rows, np.where(hit == 1, 0, p), np.where(hit == 1, p, 65536 - p))
-                x[rows[hit == 1]] = g[rows[hit == 1]]
-            model.learn(d, rows, hit, seen)
-            rows = rows[hit == 0]
-        if len(rows):
-            cum = np.cumsum(model.freq[rows], axis=1, dtype=np.int32)
-            total = model.total[rows]
-            if enc:
-                c = cls_of[x[rows]]
-            else:
-                c = (cum <= dec.look(rows, None, total)[:, None]).sum(axis=1)
-            f = model.freq[rows, c].astype(np.int64)
-            start = cum[np.arange(len(rows)), c] - f
-            size = edge[c + 1] - edge[c]
-            if enc:
-                enc.put(rows, start, f, None, total)
-                enc.put(rows, x[rows] - edge[c], np.ones(len(rows), np.int64), None, size)
-            else:
-                dec.take(rows, start, f)
-                low = dec.look(rows, None, size)
-                dec.take(rows, low, np.ones(len(rows), np.int64))
-                x[rows] = edge[c] + low
-            model.count(rows, c)
-        if dec:
-            ids[:n, t] = x
-        model.see(x, g2, g1)
-    return enc.finish() if enc else ids
+        g, f0, f1 = model.guess()
+        if enc:
+            x = ranks[t, :n].astype(np.int64)
+            x32 = x.astype(np.int32)
+            wrong = -(g ^ x32) >> 31
+            not2 = wrong[0].astype(np.int64)
+            miss = not2 & wrong[1]
+            cls = class_of.take(x)
+            at = model.cell + cls
+            enc.put(n, f0, f1, not2, miss, model.start.take(at), model.freq.take(at))
+            enc.put_plain(n, (x - edge.take(cls)) & miss, width.take(cls) & miss)
+        else:
+            not2, miss = dec.look(n, f0, f1)
+            cls = dec.look_class(n, model.class_at, model.value)
+            at = model.cell + cls
+            dec.take(n, miss, model.start.take(at), model.freq.take(at))
+            own = dec.take_plain(n, width.take(cls) & miss, size.take(cls) - 1)
+            own += edge.take(cls)
+            x = g[0] + ((g[1] - g[0]) & not2)
+            x += (own - x) & miss
+            x32 = x.astype(np.int32)
+            ranks[t, :n] = x
+            wrong = -(g ^ x32) >> 31
+        model.learn(x, x32, wrong, not2, miss, cls)
+    return enc.finish() if enc else ranks
 
 
 def blocks_of(n: int) -> np.ndarray:
     return np.array([BLOCK] * (n // BLOCK) + [n % BLOCK] * (n % BLOCK > 0), np.int64)
 
 
+def alphabet(ids: np.ndarray) -> np.ndarray:
+    """The distinct ids, the most frequent first; equal ones by id."""
+    n = np.bincount(ids)
+    return np.argsort(-n, kind="stable")[:np.count_nonzero(n)]
+
+
+def in_lanes(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of blocks that are coded side by side, longest first."""
+    order = np.argsort(-lengths, kind="stable")
+    yield from np.array_split(order, -(-len(order) // LANES))
+
+
 def encode_frames(frames: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, bytes]]:
-    """(block byte lengths, block checksums, payload) of each array of ids; all blocks are coded side by side."""
+    """(block byte lengths, block checksums, payload) of each array of ids; blocks are coded side by side."""
     lengths = np.concatenate([blocks_of(len(f)) for f in frames])
-    flat = np.concatenate(frames).astype(np.int64)
+    flat = np.concatenate(frames)
     if not len(flat):
         return [(np.zeros(0, "<u4"), np.zeros(0, "<u4"), b"") for _ in frames]
+    if flat.max() >= IDS:
+        raise ValueError(f"ids from {IDS} on have no place in the format")
+    own, ranks = [], []
+    for f in frames:
+        own.append(alphabet(f))
+        rank_of = np.zeros(IDS, np.uint16)
+        rank_of[own[-1]] = np.arange(len(own[-1]))
+        ranks += np.split(rank_of.take(f), range(BLOCK, len(f), BLOCK)) if len(f) else []
     starts = np.cumsum(lengths) - lengths
-    order = np.argsort(-lengths, kind="stable")
-    wide = flat[np.minimum(starts[order][:, None] + np.arange(int(lengths.max()))[None, :], len(flat) - 1)]
-    coded = code_ids(lengths[order], wide, None)
-    blocks = [b""] * len(order)
-    for i, b in zip(order.tolist(), coded):
-        blocks[i] = b
+    blocks = [b""] * len(lengths)
+    for lanes in in_lanes(lengths):
+        wide = np.zeros((len(lanes), int(lengths[lanes].max())), np.uint16)
+        for i, r in zip(lanes.tolist(), wide):
+            r[:lengths[i]] = ranks[i]
+        for i, b in zip(lanes.tolist(), code_ranks(lengths[lanes], np.ascontiguousarray(wide.T), None)):
+            blocks[i] = b
     raw = flat.astype("<u4").tobytes()
     crcs = [zlib.crc32(raw[4 * s:4 * (s + n)]) for s, n in zip(starts.tolist(), lengths.tolist())]
     out, at = [], 0
-    for f in frames:
+    for f, a in zip(frames, own):
         k = len(blocks_of(len(f)))
-        own = blocks[at:at + k]
-        out.append((np.array([len(b) for b in own], "<u4"), np.array(crcs[at:at + k], "<u4"), b"".join(own)))
+        out.append((np.array([len(b) for b in blocks[at:at + k]], "<u4"), np.array(crcs[at:at + k], "<u4"),
+                    b"".join(blocks[at:at + k]) + a.astype("<u2").tobytes()))
         at += k
     return out
 
@@ -251,22 +398,26 @@ def encode_frames(frames: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray
 def decode_frames(frames: list[tuple[int, bytes, bytes, bytes]]) -> list[np.ndarray]:
     """The ids of each frame (number of ids, block byte lengths, checksums, payload)."""
     lengths = np.concatenate([blocks_of(n) for n, *_ in frames])
-    data, crcs = [], []
+    data, crcs, own = [], [], []
     for n, sizes, crc, payload in frames:
-        ends = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64))
-        data += [payload[a:b] for a, b in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist())]
+        ends = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)).tolist()
+        data += [payload[a:b] for a, b in zip([0] + ends[:-1], ends)]
         crcs += np.frombuffer(crc, "<u4").tolist()
-    order = np.argsort(-lengths, kind="stable")
-    ids = code_ids(lengths[order], None, [data[i] for i in order.tolist()])
-    rank = np.argsort(order, kind="stable")
+        own.append(np.frombuffer(payload, "<u2", offset=ends[-1]).astype("<u4"))
+    blocks = [None] * len(lengths)
+    for lanes in in_lanes(lengths):
+        ranks = np.ascontiguousarray(code_ranks(lengths[lanes], None, [data[i] for i in lanes.tolist()]).T)
+        for i, r in zip(lanes.tolist(), ranks):
+            blocks[i] = r[:lengths[i]]
     out, at = [], 0
-    for n, *_ in frames:
+    for (n, *_), a in zip(frames, own):
         k = len(blocks_of(n))
-        parts = [ids[rank[i], :lengths[i]].astype("<u4") for i in range(at, at + k)]
-        for i, part in zip(range(at, at + k), parts):
-            if zlib.crc32(part.tobytes()) != crcs[i]:
-                raise ValueError(f"block {i - at} of a frame does not match its checksum")
-        out.append(np.concatenate(parts))
+        ids = a.take(np.concatenate(blocks[at:at + k]), mode="clip")
+        raw = ids.tobytes()
+        for i in range(k):
+            if zlib.crc32(raw[4 * BLOCK * i:4 * BLOCK * (i + 1)]) != crcs[at + i]:
+                raise ValueError(f"block {i} of a frame does not match its checksum")
+        out.append(ids)
         at += k
     return out
 
@@ -276,7 +427,7 @@ def integers(values, dtype: str = "<i8") -> bytes:
 
 
 def write_frames(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = None, id_col: str = "doc_id",
-                 text_col: str = "text", coded_at_once: int = 4 << 20) -> None:
+                 text_col: str = "text", coded_at_once: int = 6 << 20) -> None:
     """Encode every whole text and write the ids as files of frames under `path`.
 
     Documents are range-partitioned by id, so files ascend; a null id comes first. A null
@@ -286,7 +437,7 @@ def write_frames(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(vocabulary))
 
     def run(batches):
-        words, shard = Words(vocabulary, whole.value), TaskContext.get().partitionId()
+        words, shard = process_words(vocabulary, whole), TaskContext.get().partitionId()
         frames, ids, doc_ids, done, number, waiting = [], [], [], 0, 0, 0
 
         def close():
@@ -310,9 +461,8 @@ def write_frames(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
                     [pa.array([v], t) for v, t in zip(r, [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 6)],
                     ["shard", "frame", "start_in_shard", "doc_ids", "null_ids", "doc_lengths", "block_bytes", "block_crcs", "payload"])
 
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, x in zip(batch.column(0).to_pylist(), encoded(words, texts)):
+        for batch in (p for b in batches for p in pieces_of(b)):
+            for doc, x in zip(batch.column(0).to_pylist(), encoded(words, batch.column(1))):
                 ids.append(x if end_id is None else np.append(x, np.uint32(end_id)))
                 doc_ids.append(doc)
                 waiting += len(ids[-1])
@@ -353,8 +503,7 @@ def read_frames(spark, path: str) -> DataFrame:
     base = size.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("base"))
 
     def run(batches):
-        for b in batches:
-            rows = b.to_pylist()
+        for rows in (b.slice(at, FRAMES).to_pylist() for b in batches for at in range(0, b.num_rows, FRAMES)):
             lengths = [np.frombuffer(r["doc_lengths"], "<i8") for r in rows]
             full = [(i, (int(m.sum()), r["block_bytes"], r["block_crcs"], r["payload"])) for i, (r, m) in enumerate(zip(rows, lengths)) if m.sum()]
             ids = dict(zip([i for i, _ in full], decode_frames([f for _, f in full]))) if full else {}

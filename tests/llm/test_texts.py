@@ -1,5 +1,6 @@
 """Extraction, tokens, pieces, id files, licences against the libraries or brute force."""
 
+import random
 import re
 import time
 import zlib
@@ -109,6 +110,53 @@ def test_repeated_ids_are_coded_in_few_bytes():
     assert len(idfile.encode_frames([ids])[0][2]) < len(ids) // 4
 
 
+def frame_ids(rng, n):
+    """Ids as texts have them: a few are frequent, many follow what they followed before."""
+    ids = np.minimum(rng.zipf(1.3, n), 40000) - 1
+    back = rng.integers(1, 400, n)
+    for i in range(400, n):
+        if i % 9 < 5:
+            ids[i] = ids[i - back[i - i % 9]]
+    return ids.astype(np.uint32)
+
+
+def test_blocks_coded_together_are_read_apart(monkeypatch):
+    rng = np.random.default_rng(4)
+    frames = [frame_ids(rng, n) for n in (9000, 2048, 300, 7001, 1)]
+    coded = idfile.encode_frames(frames)
+    packed = [(len(f), a.tobytes(), b.tobytes(), c) for f, (a, b, c) in zip(frames, coded)]
+    assert [idfile.decode_frames([p])[0].tolist() for p in packed] == [f.tolist() for f in frames]
+    monkeypatch.setattr(idfile, "LANES", 3)
+    assert [x.tolist() for x in idfile.decode_frames(packed)] == [f.tolist() for f in frames]
+    assert [c[2] for c in idfile.encode_frames(frames)] == [c[2] for c in coded]
+
+
+def test_ids_take_fewer_bytes_than_deflate():
+    frame = frame_ids(np.random.default_rng(6), 100_000)
+    raw = frame.astype("<u2").tobytes()
+    deflated = sum(len(zlib.compress(raw[i:i + 4096], 6)) for i in range(0, len(raw), 4096))
+    sizes, _, payload = idfile.encode_frames([frame])[0]
+    assert len(payload) + sizes.nbytes < deflated
+
+
+def test_ids_beyond_the_format_are_refused():
+    with pytest.raises(ValueError):
+        idfile.encode_frames([np.array([5, 1 << 16], np.uint32)])
+
+
+def test_contractions_and_letters_beyond_ascii_equal_the_library():
+    tok, words = wordbpe.load(WORD_BPE), wordbpe.Words(WORD_BPE, wordbpe.whole_tokens(WORD_BPE))
+    rng = random.Random(2)
+    common = [*"abcsStTrReEvVlLdDmM''''12  \"!.-\n\t", "é", "É", "²", "Ɓ", "ǅ", "¼"]
+    signs = common + ["×", "Ⱥ", "İ", "ɐ", "\x85", "\xa0", "日", "<|endoftext|>"]
+    texts = ["".join(rng.choice(signs if i % 4 == 0 else common) for _ in range(rng.randint(0, 30))) for i in range(900)]
+    texts += [None, "'", "'l", "x'", "aⱥȺ"]
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in wordbpe.encoded(words, texts)] == want
+    assert wordbpe.counted(words, texts).tolist() == [len(x) for x in want]
+    assert wordbpe.encoded(words, []) == []
+
+
 def test_id_files(spark, docs, rows, tmp_path):
     tok = wordbpe.load(WORD_BPE)
     fine = [r for r in rows if r[0] is not None and r[0] != 10]
