@@ -169,7 +169,7 @@ class Words:
         """(numbers of pre-tokens, how many come before each text and in all, the texts taken whole by the library, their ids)."""
         if len(self.number) > REMEMBER:
             self.forget()
-        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        column = (texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
         found = self.classes(column)
         hard = self.hard(column, *found)
         whole = [np.array(self.tok.encode(column[i].as_py(), add_special_tokens=False).ids, np.uint32) for i in hard]
