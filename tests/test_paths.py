@@ -1,6 +1,8 @@
 """Layered path operators against listed paths."""
 
 import random
+import re
+import time
 from math import prod
 
 import pytest
@@ -141,6 +143,45 @@ def test_closure_writes_each_pair_once(spark, monkeypatch, few):
     assert rows["closure"] == len(want) and (few or not any("Broadcast" in p for p in plans))
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
+@pytest.mark.parametrize("with_paths", [True, False])
+def test_closure_cuts_a_large_round_by_source(spark, monkeypatch, few, with_paths):
+    """Rounds whose join passes the bound write slices that share no source; nulls, loops and ties come out the same."""
+    spied(monkeypatch, few)
+    monkeypatch.setattr(G, "MANY", 40)
+    slices, add = [], G.Rounds.add
+
+    def spy(self, df):
+        out = add(self, df)
+        if self.path.rsplit("/", 1)[1][:-33] == "closure":
+            slices.append([r.src for r in out.select("src").distinct().collect()])
+        return out
+    monkeypatch.setattr(G.Rounds, "add", spy)
+    pairs = [*[(f"{s}{i}", f"{t}{i + 1}") for i in range(6) for s in "ab" for t in "ab"], ("a3", "a1"), ("a1", "a1"), (None, "b0"), ("b3", None)]
+    want = smallest_shortest(pairs)
+    got = G.closure(edges(spark, pairs), with_paths=with_paths).collect()
+    assert {(r.src, r.dst): r.hops for r in got} == {k: len(p) - 1 for k, p in want.items()} and len(got) == len(want)
+    if with_paths:
+        assert {(r.src, r.dst): r.path for r in got} == want
+    rounds = 1 + max(len(p) - 1 for p in want.values()).bit_length()
+    assert len(slices) > rounds and sum(map(len, slices)) <= rounds * len({s for s, _ in pairs})
+
+
+def test_closure_leaves_nothing_but_its_pairs_on_disk(spark, monkeypatch, tmp_path):
+    """Helper stages go with their round and shuffle files with their job; they do not stay until the driver's JVM collects them."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_\d+_\d+", disk.getAllFiles().mkString(" ")))
+    monkeypatch.setattr("pulseframe.session.stage_root", lambda spark: str(tmp_path))
+    before, key = shuffles(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    pairs = G.closure(edges(spark, [(f"n{i}", f"n{i + 1}") for i in range(9)]), with_paths=True)
+    stages, end = {p.name[:-33] for p in tmp_path.iterdir()}, time.time() + 20
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.2)
+    assert stages == {"closure"} and not shuffles() - before and spark.conf.get(key) == was
+    assert pairs.count() == 45
+
+
 @pytest.mark.parametrize("few", [200_000, 0])
 def test_leaf_paths_writes_only_paths_to_leaves(spark, monkeypatch, few):
     plans, rows = spied(monkeypatch, few)
